@@ -7,6 +7,9 @@ from importlib import import_module
 #: query name -> module of this package that defines it
 _WHERE = {
     "op1_substring_dedup": "substring_dedup",
+    "op2_suffix_array_dedup": "suffix_dedup",
+    "op3_packing": "packing",
+    "op4_simhash": "simhash",
 }
 
 
