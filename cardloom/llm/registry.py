@@ -10,6 +10,8 @@ _WHERE = {
     "op2_suffix_array_dedup": "suffix_dedup",
     "op3_packing": "packing",
     "op4_simhash": "simhash",
+    "op5_pii": "pii",
+    "op6_quality_rules": "quality",
 }
 
 
