@@ -12,6 +12,8 @@ _WHERE = {
     "op4_simhash": "simhash",
     "op5_pii": "pii",
     "op6_quality_rules": "quality",
+    "op7_embedding_dedup": "embedding_dedup",
+    "op9_url_filters": "url_filters",
 }
 
 
