@@ -14,6 +14,7 @@ _WHERE = {
     "op6_quality_rules": "quality",
     "op7_embedding_dedup": "embedding_dedup",
     "op9_url_filters": "url_filters",
+    "op10_lm_scoring": "lm_scoring",
 }
 
 
