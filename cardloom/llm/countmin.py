@@ -2,8 +2,9 @@
 
 A merged cell counts every key that falls into it, so the smallest of a key's cells
 never lies below the key's true count.  Only two questions are asked of the sketch
-(is the count at least 2, at least `hot`), so the driver receives one bit a cell and
-question: at most depth * 2**MAX_LOG2 / 8 bytes each, whatever the corpus.  Beyond the
+(is the count at least 2, at least `hot`), so the driver receives one bit a cell for the
+first, at most depth * 2**MAX_LOG2 / 8 bytes whatever the corpus, and one bit for every
+`_FOLD` cells for the second.  Beyond the
 load for which that is roomy, more keys are estimated repeated and the exact pass that
 follows takes more rows; none is lost.
 """
@@ -23,20 +24,31 @@ from .textview import mix
 DEPTH = 2
 MIN_LOG2, MAX_LOG2 = 20, 28
 _BLOCK_LOG2 = 19
+#: Neighbouring cells that share a "hot" bit.
+_FOLD = 16
 #: Cells held by a task before it emits its partial sketch.
 _FLUSH = 3_000_000
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
 def width_for(keys: int) -> int:
-    """log2 of the cells of a row: about 8 for each expected key, within the bounds."""
-    return max(MIN_LOG2, min(MAX_LOG2, int(np.ceil(np.log2(max(keys, 1) * 8)))))
+    """log2 of the cells of a row: 4 to 8 for each expected key, within the bounds."""
+    return max(MIN_LOG2, min(MAX_LOG2, int(np.ceil(np.log2(max(keys, 1) * 4)))))
 
 
 def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
     return (mix(keys ^ _SALTS[row]) >> np.uint64(64 - log2)).astype(np.int64)
 
 
+def _planes(cell: np.ndarray) -> bytes:
+    """Steps of sorted cells, low bytes of all first: the shuffle's compression then keeps little more than a byte each."""
+    return np.diff(cell, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _cells(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
 def _partial(keys: np.ndarray, log2: int) -> Iterator[pa.RecordBatch]:
     """Sparse partial sketch of the keys: for each row and block the touched cells and their counts (at most 255)."""
     names, parts, cell_bytes, count_bytes = [], [], [], []
@@ -47,7 +59,7 @@ def _partial(keys: np.ndarray, log2: int) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts, [*cuts[1:], len(cell)], strict=True):
             names.append(row)
             parts.append(int(block[lo]))
-            cell_bytes.append((cell[lo:hi] & ((1 << _BLOCK_LOG2) - 1)).astype(np.uint32).tobytes())
+            cell_bytes.append(_planes(cell[lo:hi] & ((1 << _BLOCK_LOG2) - 1)))
             count_bytes.append(np.minimum(count[lo:hi], 255).astype(np.uint8).tobytes())
     if names:
         yield pa.RecordBatch.from_pydict({"row": pa.array(names, pa.int32()), "block": pa.array(parts, pa.int32()), "cells": pa.array(cell_bytes, pa.binary()), "counts": pa.array(count_bytes, pa.binary())})
@@ -63,7 +75,7 @@ class Repeated:
     def _test(self, keys: np.ndarray, level: int) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
         for row in range(DEPTH):
-            at = cells(keys, row, self.log2)
+            at = cells(keys, row, self.log2) // (1, _FOLD)[level]
             found &= (np.frombuffer(self.bits.value[level][row], np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return found
 
@@ -93,16 +105,15 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(1 << _BLOCK_LOG2, dtype=np.int64)
         for at, count in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint32)] += np.frombuffer(count, np.uint8)  # a partial sketch names a cell once
-        bits = [np.packbits(total >= level, bitorder="little").tobytes() for level in (2, hot)]
+            total[_cells(at)] += np.frombuffer(count, np.uint8)  # a partial sketch names a cell once
+        bits = [np.packbits(x, bitorder="little").tobytes() for x in (total >= 2, (total >= hot).reshape(-1, _FOLD).any(axis=1))]
         return pa.table({"row": [key[0].as_py()], "block": [key[1].as_py()], "twice": [bits[0]], "hot": [bits[1]]}, schema=_merged)
 
     _merged = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("twice", pa.binary()), ("hot", pa.binary())])
     merged = docs.mapInArrow(build, "row int, block int, cells binary, counts binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, twice binary, hot binary")
-    size = 1 << max(0, log2 - 3)
-    bits = [[bytearray(size) for _ in range(DEPTH)] for _ in range(2)]
-    step = 1 << (_BLOCK_LOG2 - 3)
+    bits = [[bytearray((1 << log2) // fold // 8) for _ in range(DEPTH)] for fold in (1, _FOLD)]
     for r in merged.toLocalIterator():
         for level, name in enumerate(("twice", "hot")):
+            step = (1 << _BLOCK_LOG2) // (1, _FOLD)[level] // 8
             bits[level][r["row"]][r["block"] * step : (r["block"] + 1) * step] = r[name]
     return Repeated(log2, docs.sparkSession.sparkContext.broadcast([[bytes(x) for x in level] for level in bits]))

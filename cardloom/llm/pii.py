@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import bounded_batches
+from .substring_dedup import recounted
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("login", "iban", "account")
@@ -168,6 +169,20 @@ def redact(text: str, found: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every span in `text` replaced by its kind, and `n_chars` (if there) brought up to date."""
+    names = docs.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = automaton()
+        for batch in batches:
+            texts = [None if t is None else redact(t, [{"kind": k, "start": a, "end": b} for k, a, b in spans(t, anchors)]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    bounded_batches(docs.sparkSession)
+    return recounted(docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
+
+
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     is_base = lambda x: x["kind"].isin(*BASE)

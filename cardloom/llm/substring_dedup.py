@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +169,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with a column `_spans`: the packed spans of each row, or null."""
+    """docs with `_text`, the text compressed for the way through the shuffle (null: null), in place of `text`, and `_spans`, the packed spans of each row or null."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], names=[*names, "_text"])
+
     own = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
     keyed = docs.withColumn("_row", row_key()).withColumn("_own", F.coalesce("doc_id", F.lit(int(_LAST))))
+    names = [c for c in keyed.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in names), "_text binary"])
+    keyed = keyed.mapInArrow(shrink, schema)
     return keyed.join(own, (F.col("_own") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left").drop("_id", "_key", "_own", "_row")
 
 
@@ -183,9 +194,15 @@ def unpack_spans(packed: list[bytes] | None) -> np.ndarray:
     return np.stack([starts, ends], axis=1)
 
 
-def kept_words(text: str, packed: list[bytes] | None) -> tuple[int, int, bytes]:
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts of `with_spans` as UTF-8; null is empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) if t else b"" for t in batch.column("_text").to_pylist()]
+
+
+def kept_words(text: bytes, packed: list[bytes] | None) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by one space)."""
-    own = text.encode().split()
+    own = text.split()
     spans = unpack_spans(packed)
     if not len(spans):
         return len(own), 0, b" ".join(own)
@@ -200,11 +217,35 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(t or "", s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            rows = [kept_words(t, s) for t, s in zip(texts_of(batch), batch.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].decode() for r in rows], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, repeated_spans(docs, window)).select("doc_id", "text", "_spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    return with_spans(docs, repeated_spans(docs, window)).select("doc_id", "_text", "_spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the repeated words taken out of `text`, and `n_chars` (if there) brought up to date.
+
+    A text that loses words is the kept words joined by one space; any other stays as it is.
+    """
+    names = docs.columns
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for packed, raw, spans in zip(batch.column("_text").to_pylist(), texts_of(batch), batch.column("_spans").to_pylist(), strict=True):
+                texts.append(None if packed is None else (kept_words(raw, spans)[2] if spans else raw).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    spanned = with_spans(docs, repeated_spans(docs, window))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return recounted(spanned.mapInArrow(finish, schema))
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """`n_chars`, if it is there, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin
 from .jobs import BUCKET_BYTES, bounded_batches, row_key, text_bytes
-from .substring_dedup import ids_of, settle, unpack_spans, with_spans
+from .substring_dedup import ids_of, settle, texts_of, unpack_spans, with_spans
 from .textview import between, blocks, byte_prefix, leaders, merge_spans, mix, ranges
 
 LENGTH = 100
@@ -131,7 +132,7 @@ def _send(held: list, buckets: int, grouped: bool) -> Iterator[pa.RecordBatch]:
         table, row = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
         place = np.stack([np.diff(row.ravel(), prepend=0), np.diff(start[own], prepend=0)]).astype(np.int32)
         shape = np.stack([size[own], lead[own]]).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), *[pa.array([None], pa.int64())] * 2, *[pa.array([None], pa.binary())] * 2, *[pa.array([x.tobytes()], pa.binary()) for x in (table, place, shape, data[ranges(at[own], size[own])])]], schema=_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), *[pa.array([None], pa.int64())] * 2, *[pa.array([None], pa.binary())] * 2, *[pa.array([x.tobytes()], pa.binary()) for x in (table, place, shape)], pa.array([zstandard.compress(data[ranges(at[own], size[own])].tobytes(), 3)], pa.binary())], schema=_ROWS)
 
 
 def _contexts(table: pa.Table):
@@ -142,7 +143,7 @@ def _contexts(table: pa.Table):
         docs = np.frombuffer(docs, np.int64).reshape(2, -1)
         row, start = np.cumsum(np.frombuffer(place, np.int32).reshape(2, -1), axis=1, dtype=np.int64)
         size, lead = np.frombuffer(shape, np.uint16).reshape(2, -1).astype(np.int64)
-        for x, y in zip(parts, (docs[0][row], docs[1][row], start, size, lead, np.frombuffer(text, np.uint8)), strict=True):
+        for x, y in zip(parts, (docs[0][row], docs[1][row], start, size, lead, np.frombuffer(zstandard.decompress(text), np.uint8)), strict=True):
             x.append(y)
     return [np.concatenate(x) for x in parts] if parts[0] else None
 
@@ -242,7 +243,7 @@ def _found(docs: DataFrame, length: int, gram: int, grouped: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     total = text_bytes(docs)
     grams = countmin.repeated(docs, _gram_keys(length, gram), expected=total // 30, hot=HOT)
-    common = countmin.repeated(docs, _window_keys(grams, length, gram), expected=total // 30)
+    common = countmin.repeated(docs, _window_keys(grams, length, gram), expected=total // 60)
     buckets = max(64, total // BUCKET_BYTES)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +319,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, packed in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                raw, at, left = (text or "").encode(), 0, []
+            for raw, packed in zip(texts_of(batch), batch.column("_spans").to_pylist(), strict=True):
+                at, left = 0, []
                 spans = unpack_spans(packed).tolist()
                 for lo, hi in spans:
                     left.append(raw[at:lo])
@@ -331,7 +332,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, repeated_bytes(docs, length)).select("doc_id", "text", "_spans").mapInArrow(finish, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return with_spans(docs, repeated_bytes(docs, length)).select("doc_id", "_text", "_spans").mapInArrow(finish, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
