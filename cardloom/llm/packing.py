@@ -26,15 +26,38 @@ from .textview import between, blocks, byte_prefix, ranges, words
 
 LENGTH = 2048
 END_ID = 1
-#: Distinct words whose ids a task remembers before it starts over.
-CACHE_WORDS = 400_000
+#: Distinct pieces whose ids a worker remembers before it starts over.
+CACHE_WORDS = 1_200_000
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, dtype=bool)  # ASCII, neither letter nor white space
+_MARK[33:128] = ~_LETTER[33:128]
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut further where a Latin letter is followed by an ASCII digit or mark: start and end bytes, and each row's offsets."""
+    starts, ends, _ = words(data, off)
+    if len(data) > 1:
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF but the times and division signs
+        cut = np.zeros(len(data), dtype=bool)
+        cut[1:] = letter[:-1] & _MARK[data[1:]]
+        cut[starts] = False
+        cut = np.flatnonzero(cut)
+        starts, ends = np.sort(np.concatenate((starts, cut)), kind="stable"), np.sort(np.concatenate((ends, cut)), kind="stable")
+    return starts, ends, np.searchsorted(starts, off)
 
 
 class WordIds:
-    """Ids of the words of many documents, tokenising a distinct word once.
+    """Ids of the words of many documents, tokenising a distinct piece once.
 
-    For tokenizers that drop white space and never join across it, the ids of a text
-    are those of its white-space-separated words in turn.
+    For tokenizers that lower-case, drop white space and split letters from everything else
+    (as `word_bpe_49k` does), the ids of a text are those of its `units` in turn, whatever
+    the case of A-Z.
     """
 
     def __init__(self, path: str):
@@ -60,13 +83,13 @@ class WordIds:
         slot = np.arange(len(got)) + len(self._bounds) - 1
         self._ids = np.concatenate((self._ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))))
         self._bounds = np.concatenate((self._bounds, self._bounds[-1] + np.cumsum(sizes)))
-        keys, slot = np.concatenate((self._keys, keys)), np.concatenate((self._slot, slot))
-        order = np.argsort(keys)
-        self._keys, self._slot = keys[order], slot[order]
+        at = np.searchsorted(self._keys, keys)
+        self._keys, self._slot = np.insert(self._keys, at, keys), np.insert(self._slot, at, slot)
 
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and each row's id count."""
-        starts, ends, bounds = words(data, off)
+        data = _LOWER[data]
+        starts, ends, bounds = units(data, off)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         keys, first, which = np.unique(between(byte_prefix(data, 31), starts, ends), return_index=True, return_inverse=True)
@@ -86,11 +109,21 @@ class WordIds:
         return self._ids[ranges(self._bounds[slot], sizes)], np.diff(before[bounds])
 
 
+_sources: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One source a worker process, so what a task has learnt serves the next."""
+    if path not in _sources:
+        _sources[path] = WordIds(path)
+    return _sources[path]
+
+
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, before (ids before it in its partition), n_tokens, ids (little-endian uint32, end id included)."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, part, done = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        source, part, done = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, data, off in blocks(batch):
                 ids, sizes = source.of(data, off)
