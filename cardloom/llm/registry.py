@@ -13,6 +13,7 @@ _WHERE = {
     "op5_pii": "pii",
     "op6_quality_rules": "quality",
     "op7_embedding_dedup": "embedding_dedup",
+    "op8_sentencepiece": "sentencepiece_lattice",
     "op9_url_filters": "url_filters",
     "op10_lm_scoring": "lm_scoring",
 }
