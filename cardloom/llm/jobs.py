@@ -51,3 +51,9 @@ def text_bytes(docs: DataFrame) -> int:
 def row_key():
     """Tells rows with one doc_id but different texts apart."""
     return F.xxhash64("doc_id", "text")
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with every column but those used renamed out of the operators' way, and the expressions that restore names and order."""
+    names = {c: c if c in used else f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [f"`{new}` AS `{old}`" for old, new in names.items()]

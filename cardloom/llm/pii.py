@@ -137,7 +137,8 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """docs with a column `pii`: the spans found in `text`."""
+    """docs with a column `pii` (in place of one of that name): the spans found in `text`."""
+    docs = docs.drop("pii")
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .jobs import bounded_batches
+from .jobs import bounded_batches, set_aside
 from .textview import between, blocks, byte_prefix, prefix, words
 
 WINDOW = 8
@@ -115,7 +115,7 @@ RULES: dict[str, Callable[[Measures, np.ndarray], np.ndarray]] = {
     "symbols": _most(1, lambda m, rows: m.count(_SYMBOL[m.data], rows)),
     "long_words": _most(24, lambda m, rows: m.word_chars()[rows]),
     "duplicate_lines": lambda m, rows: 2 * m.dup_lines()[rows] > m.count(m.data == 10, rows) + 1,
-    "few_letters": lambda m, rows: 2 * m.count(_LETTER[m.data], rows) < _bytes(m, rows),
+    "few_letters": lambda m, rows: 4 * m.count(_LETTER[m.data], rows) < _bytes(m, rows),
 }
 
 
@@ -174,9 +174,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The kept documents with their own columns."""
-    own = {f"_own{i}": f"`{x}`" for i, x in enumerate(docs.columns)}  # names that clash with no measure
-    hidden = docs.selectExpr(*[f"{x} AS {i}" for i, x in own.items() if x != "`text`"], "text")
-    return quality(hidden).filter("kept").selectExpr(*["text" if x == "`text`" else f"{i} AS {x}" for i, x in own.items()])
+    renamed, restored = set_aside(docs, "text")
+    return quality(renamed).filter("kept").selectExpr(*restored)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

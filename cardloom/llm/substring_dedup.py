@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin
-from .jobs import BUCKET_BYTES, bounded_batches, row_key, text_bytes
+from .jobs import BUCKET_BYTES, bounded_batches, row_key, set_aside, text_bytes
 from .textview import between, blocks, byte_prefix, inside, leaders, merge_spans, prefix, words
 
 WINDOW = 20
@@ -229,6 +229,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A text that loses words is the kept words joined by one space; any other stays as it is.
     """
+    docs, restored = set_aside(docs, "doc_id", "text", "n_chars")
     names = docs.columns
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     spanned = with_spans(docs, repeated_spans(docs, window))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return recounted(spanned.mapInArrow(finish, schema))
+    return recounted(spanned.mapInArrow(finish, schema)).selectExpr(*restored)
 
 
 def recounted(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 #: Documents are taken together up to this many bytes (one longer document stands alone).
 BLOCK_BYTES = 2 << 20
 
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -47,9 +47,9 @@ def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = BLOCK_BYTES)
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the word offsets of each row."""
-    solid = ~_WHITE[data]
+def words(data: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (run of bytes that are not white), and the word offsets of each row."""
+    solid = ~white[data]
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
