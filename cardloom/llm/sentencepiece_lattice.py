@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .jobs import BUCKET_BYTES, bounded_batches, text_bytes
 from .lm_scoring import CHUNK_BYTES, _bucket, _planes, _unplanes, chunks
-from .textview import between, byte_prefix, ranges, words
+from .textview import BLOCK_BYTES, between, byte_prefix, ranges, words
 
 MARK = "▁"
 MAX_PIECE = 16
@@ -49,8 +49,11 @@ _FIRST_BYTE = 3  # id of <0x00>
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_OTHER = np.zeros(256, dtype=bool)  # ASCII, neither letter nor white space
-_OTHER[33:128] = ~_LETTER[33:128]
+#: No piece has these beside anything else; a carriage return may stand in a piece with marks.
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 32]] = True
+_OTHER = np.zeros(256, dtype=bool)  # ASCII, neither letter nor white
+_OTHER[:128] = ~_LETTER[:128] & ~_WHITE[:128]
 
 
 def piece_rows(model: str) -> list[tuple[str, int, float]]:
@@ -133,7 +136,7 @@ def lattice(units: DataFrame, pieces: DataFrame, kind: str = "bpe") -> DataFrame
 
 
 class Stream:
-    """Units and blanks of a chunk's texts, each text with its leading blank."""
+    """Units and blanks of some texts, each text with its leading blank."""
 
     def __init__(self, text: bytes, sizes: np.ndarray):
         raw = np.frombuffer(text, np.uint8)
@@ -142,7 +145,7 @@ class Stream:
         data = np.full(int(self.off[-1]), 32, np.uint8)
         some = sizes > 0
         data[ranges(self.off[:-1][some] + 1, sizes[some])] = raw
-        starts, ends, _ = words(data, self.off)
+        starts, ends, _ = words(data, self.off, _WHITE)
         if len(data) > 1:
             letter, other = _LETTER[data], _OTHER[data]
             cut = np.zeros(len(data), dtype=bool)
@@ -152,24 +155,23 @@ class Stream:
             cut[starts] = False
             cut = np.flatnonzero(cut)
             starts, ends = np.sort(np.concatenate((starts, cut)), kind="stable"), np.sort(np.concatenate((ends, cut)), kind="stable")
-        self.data, self.starts, self.ends = data, starts, ends
+        self.data, self.starts, self.ends = data, starts.astype(np.int32), ends.astype(np.int32)
         self.flag = data[starts - 1] == 32  # a text starts with a blank, so there is a byte before
-        keys = np.empty(len(starts), np.uint64)
-        for lo in range(0, len(data), 4 << 20):
-            a, b = np.searchsorted(starts, [lo, lo + (4 << 20)])
-            if a < b:
-                part = data[starts[a] : ends[b - 1]]
-                keys[a:b] = between(byte_prefix(part, _SEED), starts[a:b] - starts[a], ends[a:b] - starts[a])
+        keys = between(byte_prefix(data, _SEED), starts, ends)
         self.keys, first, at = np.unique(keys ^ np.where(self.flag, _FLAG, np.uint64(0)), return_index=True, return_inverse=True)
         self.first, self.at = first, at.astype(np.int32)
 
-    def units(self) -> list[str]:
-        """The distinct units in the order of their keys."""
-        raw = self.data.tobytes()
-        return [(MARK if f else "") + raw[a:b].decode() for f, a, b in zip(self.flag[self.first].tolist(), self.starts[self.first].tolist(), self.ends[self.first].tolist(), strict=True)]
-
-    def encode(self, bounds: np.ndarray, ids: np.ndarray, blanks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and each text's offsets in them; unit k has ids[bounds[k]:bounds[k + 1]]."""
+    def units(self, which: np.ndarray) -> list[str]:
+        """The distinct units of these indices."""
+        raw, own = self.data.tobytes(), self.first[which]
+        return [(MARK if f else "") + raw[a:b].decode() for f, a, b in zip(self.flag[own].tolist(), self.starts[own].tolist(), self.ends[own].tolist(), strict=True)]
+
+    def encode(self, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray, blanks: dict[int, int], controls: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and each text's offsets in them; the unit of keys[k] has ids[bounds[k]:bounds[k + 1]], the white-space character c controls[c]."""
+        own = np.searchsorted(keys, self.keys)
+        size = np.diff(bounds)[own]
+        ids = ids[ranges(bounds[own], size)]  # of this stream's units, in its order
+        bounds = np.concatenate(([0], np.cumsum(size)))
         data, white = self.data, self.data == 32
         edge = np.diff(white.astype(np.int8), prepend=0, append=0)
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -193,10 +195,10 @@ class Stream:
         start[unit[whole]] += 1
         size[unit[whole]] -= 1
         more = left > 0
-        other = np.flatnonzero((data >= 9) & (data <= 13))
+        other = np.flatnonzero((data >= 9) & (data <= 12))
         lengths = np.unique(left[more])
         runs = [blank_run(int(n), tuple(sorted(blanks.items()))) for n in lengths]
-        store = np.concatenate([ids, np.arange(_FIRST_BYTE, _FIRST_BYTE + 16).astype(ids.dtype), *[np.array(r, ids.dtype) for r in runs]])
+        store = np.concatenate([ids, np.array(controls, ids.dtype), *[np.array(r, ids.dtype) for r in runs]])
         run_at = len(ids) + 16 + np.cumsum([0, *map(len, runs)])
         k = np.searchsorted(lengths, left[more])
         place = np.concatenate((self.starts, lo[more], other))
@@ -207,6 +209,21 @@ class Stream:
         return store[ranges(begin[order], count[order])], total[np.searchsorted(place[order], self.off)]
 
 
+def streams(row: dict) -> Iterator[Stream]:
+    """A chunk's texts in streams of some BLOCK_BYTES, so that no task holds arrays many times a chunk's size."""
+    text, sizes = zstandard.decompress(row["text"]), np.frombuffer(row["sizes"], np.int64)
+    off, lo = np.concatenate(([0], np.cumsum(sizes))), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, side="right")) - 1)
+        yield Stream(text[off[lo] : off[hi]], sizes[lo:hi])
+        lo = hi
+
+
+def keys_of(parts) -> np.ndarray:
+    """Sorted distinct keys of a chunk's streams."""
+    return np.unique(np.concatenate([s.keys for s in parts]))
+
+
 @cache
 def blank_run(n: int, blanks: tuple[tuple[int, int], ...]) -> list[int]:
     """Ids of n blanks in a row: all their pieces score alike, so the leftmost merge comes first."""
@@ -230,25 +247,28 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     rows = piece_rows(model)
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
     score, number, blanks = {p: s for p, _, s in rows}, {p: i for p, i, _ in rows}, blank_rows(model)
+    controls = [number.get(chr(c), _FIRST_BYTE + c) for c in range(16)]
     gathered = _bucketed(spark, chunks(docs.select("doc_id", "text")).drop("held"), int(max(1, size // (2 * CHUNK_BYTES))))
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Stream]]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield row["chunk"], Stream(zstandard.decompress(row["text"]), np.frombuffer(row["sizes"], np.int64))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in streams(batches):
-            units = s.units()
-            for lo in range(0, len(units), 50_000):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(s.keys[lo : lo + 50_000].view(np.int64)), "unit": pa.array(units[lo : lo + 50_000], pa.string())})
+                seen = np.zeros(0, np.uint64)
+                for s in streams(row):
+                    new = np.flatnonzero(~np.isin(s.keys, seen, assume_unique=True))
+                    seen = np.concatenate((seen, s.keys[new]))
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(s.keys[new].view(np.int64)), "unit": pa.array(s.units(new), pa.string())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, s in streams(batches):
-            at = np.searchsorted(_bucket(s.keys, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(at)).tolist():
-                own = s.keys[at[b] : at[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([_planes(np.diff(own, prepend=np.uint64(0)))], pa.binary())], names=["bucket", "chunk", "keys"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from ask_for(row["chunk"], keys_of(streams(row)))
+
+    def ask_for(chunk: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            own = keys[at[b] : at[b + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([_planes(np.diff(own, prepend=np.uint64(0)))], pa.binary())], names=["bucket", "chunk", "keys"])
 
     def long_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,13 +307,16 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         ids = np.concatenate([empty, *[_unplanes(r["ids"], "<u2" if len(rows) < 65_000 else "<u4") for r in got]]).astype("<u4")
         out = []
         for row in left.to_pylist():
-            s = Stream(zstandard.decompress(row["text"]), np.frombuffer(row["sizes"], np.int64))
-            found, cut = s.encode(np.concatenate(([0], np.cumsum(sizes))), ids, blanks)
-            raw, at = found.tobytes(), (4 * cut).tolist()
-            out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_pieces": pa.array(np.diff(cut)), "ids": pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}))
+            parts, done = list(streams(row)), 0
+            keys, bounds = keys_of(parts), np.concatenate(([0], np.cumsum(sizes)))
+            while parts:
+                found, cut = parts.pop(0).encode(keys, bounds, ids, blanks, controls)
+                raw, at, n = found.tobytes(), (4 * cut).tolist(), len(cut) - 1
+                out.append(pa.table({"doc_id": pa.array(row["ids"][done : done + n], pa.int64()), "n_pieces": pa.array(np.diff(cut)), "ids": pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}))
+                done += n
         return pa.concat_tables(out)
 
-    units = gathered.mapInArrow(spell, "key long, unit string").groupBy("key").agg(F.first("unit").alias("unit"))
+    units = gathered.mapInArrow(spell, "key long, unit string").distinct()
     short = lattice(units.filter(F.length("unit") <= MAX_UNIT), pieces)
     known = short.union(units.filter(F.length("unit") > MAX_UNIT).mapInArrow(long_units, "key long, unit string, starts array<int>, ids array<int>"))
     place = F.shiftright(F.shiftrightunsigned(F.col("key"), 32) * buckets, 32).cast("int")

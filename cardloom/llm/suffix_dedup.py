@@ -44,9 +44,9 @@ LENGTH = 100
 GRAM = 40
 HOT = 16
 _SEEDS = (21, 22)
-_FLUSH = 300_000
+_FLUSH = 200_000
 #: Suffixes sorted together, unless one gram has more.
-_SORT = 150_000
+_SORT = 100_000
 
 
 def _runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
@@ -244,7 +244,7 @@ def _found(docs: DataFrame, length: int, gram: int, grouped: bool) -> DataFrame:
     total = text_bytes(docs)
     grams = countmin.repeated(docs, _gram_keys(length, gram), expected=total // 30, hot=HOT)
     common = countmin.repeated(docs, _window_keys(grams, length, gram), expected=total // 60)
-    buckets = max(64, total // BUCKET_BYTES)
+    buckets = max(64, 2 * total // BUCKET_BYTES)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -268,7 +268,7 @@ def _found(docs: DataFrame, length: int, gram: int, grouped: bool) -> DataFrame:
                 h1, h2 = between(sums, at, at + size) ^ mark, between(byte_prefix(data, _SEEDS[1]), at, at + size) ^ mark
                 held.append((data, at, h1, h2, ids[lo:hi][row], keys[lo:hi][row], at - off[row], size, lead, key[run]))
                 n += len(at)
-                if n >= _FLUSH or sum(len(x[0]) for x in held) > 64 << 20:
+                if n >= _FLUSH or sum(len(x[0]) for x in held) > 32 << 20:
                     yield from _send(held, buckets, grouped)
                     held, n = [], 0
         if n:
