@@ -114,7 +114,8 @@ def lattice(units: DataFrame, pieces: DataFrame, kind: str = "bpe") -> DataFrame
     inside = bit(F.col("e")) - bit(F.col("s") + 1)
     score = F.coalesce(F.col("score"), F.lit(-1e30 if kind == "bpe" else -100.0))
     first = -score if kind == "bpe" else F.col("e").cast("double")
-    edge = F.struct(first.alias("first"), F.col("s"), F.col("e"), ends.alias("ends"), inside.alias("inside"), score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    fields = [first.alias("first"), F.col("s"), ends.alias("ends"), inside.alias("inside"), F.coalesce("id", F.lit(-1)).alias("id")]
+    edge = F.struct(*fields, *([] if kind == "bpe" else [F.col("e"), score.alias("score")]))
     grouped = edges.groupBy("key", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"))
     if kind == "bpe":
         start = bit(F.col("n") + 1) - 1
@@ -238,8 +239,23 @@ def _bytes_for_unknown(unit: str, starts: list[int], ids: list[int]) -> list[int
     return out
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids): ids as little-endian uint32."""
+class Speller:
+    """Bytes of ids: pieces joined, marks as blanks, byte pieces as bytes, without the leading blank."""
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=model)
+        spelled = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
+        self.size = np.array([len(x) for x in spelled])
+        self.flat, self.first = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.size) - self.size
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.flat[ranges(self.first[ids], self.size[ids])].tobytes()[1:].decode()
+
+
+def encode(docs: DataFrame, model: str, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids): ids as little-endian uint32; `with_text` adds `text`, what the ids decode to, in the same pass."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = text_bytes(docs)
@@ -248,6 +264,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
     score, number, blanks = {p: s for p, _, s in rows}, {p: i for p, i, _ in rows}, blank_rows(model)
     controls = [number.get(chr(c), _FIRST_BYTE + c) for c in range(16)]
+    speller = Speller(model) if with_text else None
     gathered = _bucketed(spark, chunks(docs.select("doc_id", "text")).drop("held"), int(max(1, size // (2 * CHUNK_BYTES))))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +329,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             while parts:
                 found, cut = parts.pop(0).encode(keys, bounds, ids, blanks, controls)
                 raw, at, n = found.tobytes(), (4 * cut).tolist(), len(cut) - 1
-                out.append(pa.table({"doc_id": pa.array(row["ids"][done : done + n], pa.int64()), "n_pieces": pa.array(np.diff(cut)), "ids": pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}))
+                columns = {"doc_id": pa.array(row["ids"][done : done + n], pa.int64()), "n_pieces": pa.array(np.diff(cut)), "ids": pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
+                if speller:
+                    columns["text"] = pa.array([speller.text(found[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.string())
+                out.append(pa.table(columns))
                 done += n
         return pa.concat_tables(out)
 
@@ -322,7 +342,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     place = F.shiftright(F.shiftrightunsigned(F.col("key"), 32) * buckets, 32).cast("int")
     asked = gathered.mapInArrow(ask, "bucket int, chunk long, keys binary")
     answers = known.withColumn("bucket", place).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, sizes binary, ids binary")
-    return gathered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id long, n_pieces long, ids binary")
+    return gathered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id long, n_pieces long, ids binary" + ", text string" * with_text)
 
 
 def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
@@ -333,21 +353,13 @@ def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded (doc_id, ids) with `text`: pieces joined, marks as blanks, byte pieces as bytes, without the leading blank."""
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    spelled = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
-    size = np.array([len(x) for x in spelled])
-    flat, first = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size
+    """encoded (doc_id, ids) with `text`, what the ids spell."""
+    speller = Speller(model)
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                texts.append(flat[ranges(first[ids], size[ids])].tobytes()[1:].decode())
+            texts = [speller.text(np.frombuffer(raw, "<u4")) for raw in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "text string"])
@@ -358,5 +370,5 @@ def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, with_text=True)
     return found.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))

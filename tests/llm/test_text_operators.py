@@ -199,7 +199,9 @@ def test_sentencepiece_against_library(spark, monkeypatch):
     rows = [*corpus(14), *((600 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(120))]
     rows += [(2000, " "), (2001, " a" + " " * 40 + "b"), (2002, "\n"), (2003, "a" * 5000)]
     got = {r["doc_id"]: r for r in lattice.decode(lattice.encode(clashing(frame(spark, rows)), PIECES), PIECES).collect()}
+    both = {r["doc_id"]: r for r in lattice.encode(clashing(frame(spark, rows)), PIECES, with_text=True).collect()}
     for i, text in rows:
+        assert (both[i]["ids"], both[i]["text"]) == (got[i]["ids"], got[i]["text"])
         assert np.frombuffer(got[i]["ids"], "<u4").tolist() == library.encode(text or ""), text
         assert got[i]["text"] == (text or "") and got[i]["n_pieces"] == len(got[i]["ids"]) // 4
 
