@@ -43,6 +43,9 @@ MARK = "▁"
 MAX_PIECE = 16
 #: Boundaries are bits of one long.
 MAX_UNIT = 61
+#: Text bytes for each partition of distinct units, and units that one of its tasks groups in memory before it falls back to sorting.
+UNIT_BYTES = 4 << 20
+GROUPED = 60_000
 _SEED = 71
 _FLAG = np.uint64(0xD1B54A32D192ED03)
 _FIRST_BYTE = 3  # id of <0x00>
@@ -336,7 +339,9 @@ def encode(docs: DataFrame, model: str, with_text: bool = False) -> DataFrame:
                 done += n
         return pa.concat_tables(out)
 
-    units = gathered.mapInArrow(spell, "key long, unit string").distinct()
+    # A unit's edges come from one row, so grouping them by hash needs no sort while a task's units fit.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED))
+    units = gathered.mapInArrow(spell, "key long, unit string").repartition(int(max(16, size // UNIT_BYTES)), "key", "unit").distinct()
     short = lattice(units.filter(F.length("unit") <= MAX_UNIT), pieces)
     known = short.union(units.filter(F.length("unit") > MAX_UNIT).mapInArrow(long_units, "key long, unit string, starts array<int>, ids array<int>"))
     place = F.shiftright(F.shiftrightunsigned(F.col("key"), 32) * buckets, 32).cast("int")
