@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,22 +49,24 @@ def path_of(url: Column) -> Column:
 
 
 class DigestArray:
-    """Sorted keys, and for each the place of its string; read through memory maps."""
+    """Sorted keys, and for each the place of its string; read through memory maps of the files whose paths begin with `stem`."""
 
-    def __init__(self, folder: str):
-        self.keys = np.load(os.path.join(folder, "keys.npy"), mmap_mode="r")
-        self.ends = np.load(os.path.join(folder, "ends.npy"), mmap_mode="r")
-        self.blocks = np.load(os.path.join(folder, "blocks.npy"), mmap_mode="r")
-        self.prefixes = np.load(os.path.join(folder, "prefixes.npy")).tolist()
-        self.text = np.load(os.path.join(folder, "text.npy"), mmap_mode="r")
+    FILES = ("keys.npy", "ends.npy", "blocks.npy", "prefixes.npy", "text.npy")
+
+    def __init__(self, stem: str):
+        self.keys = np.load(f"{stem}keys.npy", mmap_mode="r")
+        self.ends = np.load(f"{stem}ends.npy", mmap_mode="r")
+        self.blocks = np.load(f"{stem}blocks.npy", mmap_mode="r")
+        self.prefixes = np.load(f"{stem}prefixes.npy").tolist()
+        self.text = np.load(f"{stem}text.npy", mmap_mode="r")
 
     @staticmethod
-    def write(rules: list[tuple[str, str]], folder: str) -> None:
+    def write(rules: list[tuple[str, str]], stem: str) -> None:
         verdict: dict[bytes, bool] = {}
         for rule, what in rules:
             verdict[rule.encode()] = verdict.get(rule.encode(), False) or what == "block"
         own = sorted(verdict, key=lambda r: (xxhash.xxh64_intdigest(r), r))
-        save = lambda name, x: np.save(os.path.join(folder, name), x)
+        save = lambda name, x: np.save(f"{stem}{name}", x)
         save("keys.npy", np.array([xxhash.xxh64_intdigest(r) for r in own], np.uint64))
         save("ends.npy", np.cumsum([0, *map(len, own)]))
         save("blocks.npy", np.array([verdict[r] for r in own], bool))
@@ -108,10 +111,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     context = pages.sparkSession.sparkContext
     names = []
     for part in _parts(list(rules)):
-        folder = tempfile.mkdtemp(prefix="url-digests-")
-        DigestArray.write(part, folder)
-        context.addFile(folder, recursive=True)
-        names.append(os.path.basename(folder))
+        name = f"{uuid.uuid4().hex}-"
+        stem = os.path.join(tempfile.mkdtemp(prefix="url-digests-"), name)
+        DigestArray.write(part, stem)
+        for file in DigestArray.FILES:  # a cluster takes no folders from the driver's disk
+            context.addFile(stem + file)
+        names.append(name)
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*[f"`{c}`" for c in own], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     split = split.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
