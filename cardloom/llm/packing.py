@@ -38,32 +38,51 @@ _MARK = np.zeros(256, dtype=bool)  # ASCII, neither letter nor white space
 _MARK[33:128] = ~_LETTER[33:128]
 
 
-def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, cut further where a Latin letter is followed by an ASCII digit or mark: start and end bytes, and each row's offsets."""
+def units(data: np.ndarray, off: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the words: the bytes to read them from, start and end bytes, and each row's offsets.
+
+    Pure ASCII words are lower-cased and cut where a letter is followed by a digit or mark.  Any other word stays
+    whole and keeps its case, as does one that holds (in any case) an added token, given in lower case.
+    """
     starts, ends, _ = words(data, off)
-    if len(data) > 1:
-        letter = _LETTER[data]
-        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF but the times and division signs
-        cut = np.zeros(len(data), dtype=bool)
-        cut[1:] = letter[:-1] & _MARK[data[1:]]
-        cut[starts] = False
-        cut = np.flatnonzero(cut)
-        starts, ends = np.sort(np.concatenate((starts, cut)), kind="stable"), np.sort(np.concatenate((ends, cut)), kind="stable")
-    return starts, ends, np.searchsorted(starts, off)
+    if not len(starts):
+        return data, starts, ends, np.searchsorted(starts, off)
+    low = _LOWER[data]
+    high = np.concatenate(([0], np.cumsum(data >= 128)))
+    whole = high[ends] > high[starts]
+    raw = low.tobytes()
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            whole[np.searchsorted(starts, at, side="right") - 1] = True
+            at = raw.find(token, at + 1)
+    kept = ranges(starts[whole], (ends - starts)[whole])
+    low[kept] = data[kept]
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    cut[starts] = False
+    cut[kept] = False
+    cut = np.flatnonzero(cut)
+    starts, ends = np.sort(np.concatenate((starts, cut)), kind="stable"), np.sort(np.concatenate((ends, cut)), kind="stable")
+    return low, starts, ends, np.searchsorted(starts, off)
 
 
 class WordIds:
     """Ids of the words of many documents, tokenising a distinct piece once.
 
     For tokenizers that lower-case, drop white space and split letters from everything else
-    (as `word_bpe_49k` does), the ids of a text are those of its `units` in turn, whatever
-    the case of A-Z.
+    (as `word_bpe_49k` does), the ids of a text are those of its `units` in turn.  Added tokens are
+    matched in the raw text and normal forms depend on case (J with a caron has none, j has), so words
+    with either go to the tokenizer as they stand.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._added = tuple(t.content.encode().lower() for t in self._tokenizer.get_added_tokens_decoder().values())
+        if any(len(t.split()) != 1 for t in self._added):
+            raise ValueError("an added token with white space cannot be found word by word")
         self._clear()
 
     def _clear(self) -> None:
@@ -88,8 +107,7 @@ class WordIds:
 
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and each row's id count."""
-        data = _LOWER[data]
-        starts, ends, bounds = units(data, off)
+        data, starts, ends, bounds = units(data, off, self._added)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         keys, first, which = np.unique(between(byte_prefix(data, 31), starts, ends), return_index=True, return_inverse=True)

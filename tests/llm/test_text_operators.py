@@ -42,6 +42,17 @@ def test_packing_round_trip(spark, length):
     assert found == expected and not held
 
 
+def test_packing_ids_of_added_tokens_and_marks_against_the_tokenizer():
+    tokenizer, source, rng = Tokenizer.from_file(BPE), packing.WordIds(BPE), random.Random(4)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>", "J", "j", "H", "\u030c", "\u0331", "\u0338", "=", "<", "|", "'s", "'RE", "'", "É", "é", "E\u0301", "İ", "Σ", "\u00a0", " ", "\n", "7", "½", "漢", "ab", "Zx", "-"]
+    texts = ["x<|endoftext|>y", "J\u030c a", "H\u0331", "<|ENDOFTEXT|> <|EndOfText|>", "", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000))]
+    raw = [t.encode() for t in texts]
+    ids, sizes = source.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ends = np.cumsum(sizes)
+    for text, lo, hi in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[lo:hi].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packing_edges(spark):
     assert packing.pack(frame(spark, []), BPE).count() == 0
     got = packing.with_checksums(packing.pack(frame(spark, [(1, None), (None, "")], 1), BPE)).collect()
