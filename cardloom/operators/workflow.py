@@ -120,12 +120,33 @@ def classify(results: DataFrame, assigned: DataFrame, children: DataFrame) -> Da
 
 
 def drained(requests: DataFrame, now, batch: int, interval_s: int) -> DataFrame:
-    """Continuation requests (scope_id, node_id, created_at) of scopes with `batch` requests or one older than interval_s."""
+    """Continuation requests (scope_id, node_id, created_at) of scopes with `batch` requests or one older than interval_s.
+
+    Only the test of a buffer kept for each scope; `continuation_work` is the whole drain.
+    """
     due = requests.groupBy("scope_id").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"))
     due = due.filter((F.col("n") >= batch) | (F.unix_timestamp(now) - F.unix_timestamp("oldest") >= interval_s))
     return requests.join(due.select("scope_id"), "scope_id", "left_semi")
 
 
+def continuation_work(requests: DataFrame, now, batch: int, interval_s: int, assigned: DataFrame, children: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The requests (request_id, scope_id, node_id, next_job_id, updated_at) that drains at `now` submit, repeated until none is due.
+
+    A drain takes the `batch` oldest of all requests if there are as many or the oldest waits for interval_s, so at
+    rest only the newest count % batch may be left.  Of those taken, requests go without work whose card is no longer assigned to the
+    scope, whose scope has no children (scope_id, child_id, name) but Unclassified, or whose first active job (id, scope_id,
+    node_id, job_id, terminal_state, processed_at) is not their own next job or is already sent.
+    """
+    rest = requests.orderBy(F.desc("updated_at"), F.desc("request_id")).limit(requests.count() % batch)
+    held = rest.crossJoin(rest.agg(F.min("updated_at").alias("_oldest"))).filter(F.col("_oldest") > now - F.expr(f"INTERVAL {interval_s} SECOND"))
+    taken = requests.join(held.select("request_id"), "request_id", "left_anti")
+    first = jobs.filter("terminal_state IS NULL AND processed_at IS NULL").groupBy("scope_id", "node_id").agg(F.min(F.struct("id", "job_id")).alias("_first"))
+    other = taken.join(first, ["scope_id", "node_id"]).filter(~F.col("_first.id").eqNullSafe(F.col("next_job_id")) | F.col("_first.job_id").isNotNull())
+    kept = taken.join(assigned.select("node_id", F.col("taxonomy_node_id").alias("scope_id")), ["scope_id", "node_id"], "left_semi")
+    kept = kept.join(children.filter("name <> 'Unclassified'").select("scope_id"), "scope_id", "left_semi")
+    return kept.join(other.select("request_id"), "request_id", "left_anti")
+
+
 def pipeline_replay(units: DataFrame, results: DataFrame, most_repairs: int = 8) -> DataFrame:
     """(candidate, unit_id, parent, state): the card pipeline at rest.
 

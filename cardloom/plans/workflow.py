@@ -116,6 +116,21 @@ def continuation_drain(spark, sf):
     return K.drained(requests, F.lit("2024-01-31 00:00:00").cast("timestamp"), 5, 26 * 86_400).select("scope_id", "node_id")
 
 
+def continuation_work(spark, sf):
+    """One request a scope and card, renewed by each event; every fourth event names Root, whatever the card's scope."""
+    own = D.assignments(spark, sf)
+    e = D.table(spark, sf, "events").withColumn("node_id", F.col("user_id") * 10 + F.col("event_id") % 10 + 1).join(own, "node_id", "left")
+    scope = F.when(F.col("event_id") % 4 == 0, F.lit(1)).otherwise(F.coalesce("taxonomy_node_id", F.lit(1))).cast("long")
+    latest = D.table(spark, sf, "orders").groupBy((F.col("o_custkey") + 1).alias("node_id")).agg(F.max("o_orderkey").alias("id"))
+    requests = e.groupBy(scope.alias("scope_id"), "node_id").agg(F.min("event_id").alias("request_id"), F.max(F.col("ts").cast("timestamp")).alias("updated_at"))
+    requests = requests.join(latest, "node_id", "left").select("request_id", "scope_id", "node_id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("next_job_id"), "updated_at")
+    sent, ended = F.when(F.col("id") % 3 != 0, F.col("id")).alias("job_id"), F.when(F.col("id") % 4 == 1, "DONE").alias("terminal_state")
+    jobs = latest.join(own, "node_id").select("id", F.col("taxonomy_node_id").alias("scope_id"), "node_id", sent, ended, F.when(F.col("id") % 5 == 0, F.lit("1998-01-01")).alias("processed_at"))
+    children = D.taxonomy_nodes(spark, sf).filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("scope_id"), F.col("id").alias("child_id"), "name")
+    found = K.continuation_work(requests, F.lit("2024-01-31 00:00:00").cast("timestamp"), 64, 86_400, own, children, jobs)
+    return found.select("request_id", "scope_id", "node_id", "next_job_id")
+
+
 def card_pipeline_replay(spark, sf):
     """Documents as units; reviews follow the labels, repairs give two cards or none."""
     docs, labels = D.table(spark, sf, "documents").select("doc_id"), D.table(spark, sf, "labels").select("doc_id", "quality")
@@ -135,7 +150,7 @@ def search_cache_key(spark, sf):
     return D.search_events(spark, sf).select("session_id", "turn", T.sha256(text).alias("cache_key"))
 
 
-QUERIES = {f.__name__: f for f in (document_upsert, latest_versions, idempotent_intake, ingestion_conflicts, conditional_request_upsert, proposal_validation, proposal_apply, reviewer_roles, classification_preflight, submission_allocation, classification_moves, continuation_drain, card_pipeline_replay, search_cache_key)}
+QUERIES = {f.__name__: f for f in (document_upsert, latest_versions, idempotent_intake, ingestion_conflicts, conditional_request_upsert, proposal_validation, proposal_apply, reviewer_roles, classification_preflight, submission_allocation, classification_moves, continuation_drain, continuation_work, card_pipeline_replay, search_cache_key)}
 
 _PROP = """prop AS (SELECT event_id AS proposal_id, CASE WHEN event_id % 7 = 0 THEN 'create' WHEN event_id % 5 = 0 THEN 'delete' ELSE 'edit' END AS kind,
   CASE WHEN event_id % 7 = 0 THEN event_id + 1000000 ELSE user_id END AS node_id, event_id % 4 + 1 AS base_version, CASE WHEN event_id % 6 <> 0 THEN event_type ELSE ' ' END AS reason,
@@ -166,5 +181,10 @@ SQL = {
         FROM r LEFT JOIN tree t ON t.parent_id = r.scope_id AND lower(t.name) = target LEFT JOIN assigned a ON a.node_id = r.node_id)
       SELECT node_id, outcome, CASE outcome WHEN 'move' THEN target_id WHEN 'stay' THEN scope_id END AS target_id FROM j""",
     "continuation_drain": """WITH q AS (SELECT user_id AS scope_id, event_id AS node_id, ts FROM events WHERE event_id % 20 = 0), d AS (SELECT scope_id FROM q GROUP BY 1 HAVING count(*) >= 5 OR date_diff('second', date_trunc('second', min(ts)), TIMESTAMP '2024-01-31') >= 26 * 86400) SELECT scope_id, node_id FROM q SEMI JOIN d USING (scope_id)""",
+    "continuation_work": f"""{D.with_views("tree", "assigned")}, jk AS (SELECT o_custkey + 1 AS node_id, max(o_orderkey) AS k FROM orders GROUP BY 1), ev AS (SELECT event_id, ts, user_id * 10 + event_id % 10 + 1 AS node_id FROM events),
+      q AS (SELECT (CASE WHEN event_id % 4 = 0 THEN 1 ELSE coalesce(taxonomy_node_id, 1) END)::BIGINT AS scope_id, ev.node_id, min(event_id) AS request_id, max(ts) AS updated_at FROM ev LEFT JOIN assigned a ON a.node_id = ev.node_id GROUP BY 1, 2),
+      o AS (SELECT *, row_number() OVER (ORDER BY updated_at, request_id) - 1 AS place, count(*) OVER () AS n FROM q), tick AS (SELECT *, count(*) OVER (PARTITION BY place // 64) AS size, min(updated_at) OVER (PARTITION BY place // 64) AS oldest FROM o)
+      SELECT request_id, t.scope_id, t.node_id, CASE WHEN k % 2 = 0 THEN k END AS next_job_id FROM tick t LEFT JOIN jk ON jk.node_id = t.node_id JOIN assigned a ON a.node_id = t.node_id AND a.taxonomy_node_id = t.scope_id
+      WHERE (size >= 64 OR TIMESTAMP '2024-01-31' - oldest >= INTERVAL 1 DAY) AND t.scope_id IN (SELECT parent_id FROM tree) AND (k IS NULL OR k % 4 = 1 OR k % 5 = 0 OR (k % 2 = 0 AND k % 3 = 0))""",
     "search_cache_key": D.with_views("searches") + r""" SELECT session_id, turn, sha256('{"limit":3,"pool":64,"query":"' || lower(trim(regexp_replace(raw_query, '\s+', ' ', 'g'))) || '"}') AS cache_key FROM searches""",
 }

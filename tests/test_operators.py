@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import random
 
@@ -241,6 +242,21 @@ def test_card_pipeline(spark):
     assert rows(workflow.pipeline_replay(units, df)) == [("1/0", 1, None, "handed off"), ("1/1", 1, None, "repaired"), ("1/1/0", 1, "1/1", "handed off"), ("1/1/1", 1, "1/1", "stopped")]
 
 
+def test_continuation_work_drops_requests_and_counts_over_all_scopes(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    asked = [(1, 2, 10, None, day(1)), (2, 2, 11, None, day(2)), (3, 9, 12, None, day(3)), (4, 2, 13, None, day(4)), (5, 2, 14, 50, day(5)), (6, 3, 15, 60, day(6)), (7, 2, 16, None, day(7)), (8, 3, 17, None, day(8))]
+    requests = spark.createDataFrame(asked, "request_id long, scope_id long, node_id long, next_job_id long, updated_at timestamp")
+    assigned = spark.createDataFrame([(10, 2), (11, 3), (12, 9), (13, 2), (14, 2), (15, 3), (16, 2), (17, 3)], "node_id long, taxonomy_node_id long")
+    children = spark.createDataFrame([(2, 20, "A"), (3, 30, "B"), (9, 90, "Unclassified")], "scope_id long, child_id long, name string")
+    # 11 has moved, 9 has no regular children, 13 and 15 have another or a sent job; 14's job is its own, 10's has ended and 16's is processed.
+    jobs = [(40, 2, 13, None, None, None), (50, 2, 14, None, None, None), (60, 3, 15, "r", None, None), (70, 2, 10, "s", "FAILED", None), (80, 2, 16, "t", None, "x")]
+    jobs = spark.createDataFrame(jobs, "id long, scope_id long, node_id long, job_id string, terminal_state string, processed_at string")
+    drain = lambda now, batch: sorted(r["request_id"] for r in workflow.continuation_work(requests, F.lit(now), batch, 86_400, assigned, children, jobs).collect())
+    assert drain(day(9), 8) == drain(day(9), 99) == [1, 5, 7, 8]
+    assert drain(day(8), 7) == [1, 5, 7] and drain(day(9), 7) == [1, 5, 7, 8]  # the newest waits for its age
+    assert drain(day(1), 9) == []
+
+
 def test_layout(spark):
     seed = spark.range(1).select(*FL.seed(F.lit(0)), *FL.seed(F.lit(0), 40.0, 10.0)).first()
     assert tuple(seed) == (176.0, 0.0, 50.0, 0.0)
