@@ -5,8 +5,8 @@ product of the codebooks is a grid of cells, and every vector has a home cell.
 cells in the order of a lower bound on its distance to anything at home there: for
 each half the distance to the plane between its own codeword and the cell's, squared and summed.
 Vectors of cosine >= t lie within squared distance 2 - 2 t, so visiting all cells up to that
-bound finds every link.  The traversal may stop earlier: `PROBES` sample vectors are compared with
-all vectors exactly, which tells how far it must go for `target_recall` of their links.
+bound finds every link, of pairs and small groups as of large ones.  A sample chooses the size of the
+codebooks, which changes cost only: where the bound excludes few cells the work is quadratic.
 A pair needs to meet once, so a vector visits only cells before its own home.
 
 Met vectors are verified in double precision.  Equal vectors are one node with a
@@ -14,17 +14,19 @@ multiplicity.  Cells are split into blocks of homes and of visitors by counts ta
 beforehand, so a cell that holds a third of all vectors becomes many tasks' work, and tasks
 return link counts and spanning stars, never lists of all pairs.
 
-Defined cases: vectors that are null, zero, of another length than the commonest, or hold
-null or non-finite components link with nothing; a null vec_id names no component; repeated rows
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing;
+vectors link with those of their own length only, each length having its own grid; a null vec_id names no component; repeated rows
 count as copies; label and other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,10 @@ from .textview import mix, ranges
 
 COSINE = 0.9
 TARGET_RECALL = 0.999
-#: Vectors that the codebooks are fitted on, and vectors that measure recall.
+#: Vectors that the codebooks are fitted on, and vectors that tell their cost.
 SAMPLE, PROBES = 8192, 256
 #: Homes and visitors of a block.
 BLOCK = 4096
-_BINS = 64
 _ROUNDS = 8
 
 
@@ -58,6 +59,8 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
 
 def codebook(x: np.ndarray, k: int) -> np.ndarray:
     """k-means from a fixed start."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rng = np.random.default_rng(7)
     x = np.unique(x, axis=0)
     k = max(1, min(k, len(x)))
@@ -76,7 +79,7 @@ class Grid:
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.books = (first, second)
-        self.gaps = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 1e-300)) for c in self.books]
+        self.gaps = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 1e-12)) for c in self.books]  # wider than true only lowers bounds
 
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Home cell; for each half the squared distances to the planes between own codeword and each other (0 at home)."""
@@ -115,15 +118,13 @@ def _prepared(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFram
     element = vectors.schema[column].dataType.elementType.typeName()
     kind = "<f4" if element == "float" else "<f8"
     own = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
-    length = own.groupBy(F.size("v").alias("n")).count().filter("n > 0").orderBy(F.desc("count"), "n").first()
-    width = length["n"] if length else 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = []
             for v in batch.column("v"):
                 x = v.values
-                ok = v.is_valid and len(x) == width and x.null_count == 0
+                ok = v.is_valid and len(x) > 0 and x.null_count == 0
                 a = x.to_numpy(zero_copy_only=False) + 0.0 if ok else None  # -0.0 becomes 0.0
                 raw.append(a.astype(kind).tobytes() if ok and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
@@ -138,50 +139,35 @@ def _columns(batch: pa.RecordBatch, kind: str):
     return units(batch.column("raw").to_pylist(), kind)
 
 
-def reach(distinct: DataFrame, grid: Grid, probes: np.ndarray, kind: str, cosine: float, target: float) -> float:
-    """The least bound at which the probes' links (found by brute force) are met in the share `target`."""
-    full = 2 - 2 * cosine + 1e-9
-    if target >= 1 or not len(probes):
-        return full
-    home, own = grid.bounds(probes)
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_BINS, np.int64)
-        for batch in batches:
-            x = _columns(batch, kind)
-            cell, bounds = grid.bounds(x)
-            p, r = np.nonzero(probes @ x.T >= cosine)
-            width = len(grid.books[1])
-            from_probe = own[0][p, cell[r] // width] + own[1][p, cell[r] % width]
-            to_probe = bounds[0][r, home[p] // width] + bounds[1][r, home[p] % width]
-            need = np.where(home[p] >= cell[r], from_probe, to_probe)
-            total += np.bincount(np.minimum((need / full * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
-        yield pa.RecordBatch.from_pydict({"bin": pa.array(np.arange(_BINS)), "n": pa.array(total)})
-
-    found = {r["bin"]: r["n"] for r in distinct.mapInArrow(needed, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    share = np.cumsum([found.get(i, 0) for i in range(_BINS)])
-    others = share[-1] - len(probes)  # each probe meets itself
-    if others < PROBES:
-        return full  # too few links to judge by
-    return full * (int(np.searchsorted(share, target * share[-1])) + 1) / _BINS
+def fitted(sample: np.ndarray, n: int, most: float) -> Grid:
+    """The grid of the least cost (vectors sent and, lighter, compared) for n vectors by its sample."""
+    half, best = sample.shape[1] // 2, None
+    for k in (2**i for i in range(9)):
+        if k > max(4, np.sqrt(n) / 4):
+            break
+        grid = Grid(codebook(sample[:, :half], k), codebook(sample[:, half:], k))
+        homes = np.bincount(grid.bounds(sample)[0], minlength=k * k) * (n / len(sample))
+        cells = grid.visits(sample[:PROBES], most)[2]
+        cost = float((np.ceil(homes[cells] / BLOCK) + homes[cells] / 256).sum())
+        if best is None or cost < best[0]:
+            best = cost, grid
+    return best[1]
 
 
-def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id), one row a vector."""
-    rows, kind, distinct = _prepared(vectors, id_column, column)
-    n = distinct.count()
+def _met(distinct: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
+    """(uid, n, a, b) of all links among n distinct vectors of one length: link counts, and stars over the least vec_ids."""
     sample = units([bytes(r["raw"]) for r in distinct.orderBy(F.xxhash64("uid"), "raw").limit(SAMPLE).collect()], kind)
-    half, k = sample.shape[1] // 2, int(min(256, max(4, np.sqrt(n) / 4)))
-    grid = Grid(codebook(sample[:, :half], k), codebook(sample[:, half:], k)) if len(sample) else Grid(np.zeros((1, 1)), np.zeros((1, 1)))
-    most = reach(distinct, grid, sample[:PROBES], kind, cosine, target_recall)
+    most = 2 - 2 * cosine + 1e-9
+    grid = fitted(sample, n, most)
+    rows = max(1, min(1000, 500_000 // (len(grid.books[0]) * len(grid.books[1]))))  # a chunk's visits fit in memory
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = len(grid.books[0]) * len(grid.books[1])
         homes, met = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
         for batch in batches:
             x = _columns(batch, kind)
-            for lo in range(0, len(x), 2000):
-                home, _, cell = grid.visits(x[lo : lo + 2000], most)
+            for lo in range(0, len(x), rows):
+                home, _, cell = grid.visits(x[lo : lo + rows], most)
                 homes += np.bincount(home, minlength=cells)
                 met += np.bincount(cell, minlength=cells)
         used = np.flatnonzero(homes + met)
@@ -202,10 +188,10 @@ def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
-            uid, least, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "least", "copies"))
-            least = np.nan_to_num(least.astype(np.float64), nan=-1).astype(np.int64) if least.dtype != np.int64 else least
-            for lo in range(0, len(raw), 1000):
-                part = raw[lo : lo + 1000]
+            uid, copies = (batch.column(c).to_numpy() for c in ("uid", "copies"))
+            least, named = pc.fill_null(batch.column("least"), 0).to_numpy(), batch.column("least").is_valid().to_numpy(zero_copy_only=False)
+            for lo in range(0, len(raw), rows):
+                part = raw[lo : lo + rows]
                 bits = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1)
                 home, row, cell = grid.visits(units(part, kind), most)
                 used = hb[cell] > 0
@@ -225,11 +211,11 @@ def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
                 for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                     own = order[a:b]
                     at = r[own] + lo
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (place[own], role[own], uid[at], least[at], copies[at].astype(np.int64), bits[r[own]])]], names=["bucket", "place", "role", "uid", "least", "copies", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (place[own], role[own], uid[at], least[at], named[at], copies[at].astype(np.int64), bits[r[own]])]], names=["bucket", "place", "role", "uid", "least", "named", "copies", "raw"])
 
     def compare(table: pa.Table) -> pa.Table:
         read = lambda name, t: np.concatenate([np.frombuffer(x, t) for x in table.column(name).to_pylist()])
-        place, role, uid, least, copies = read("place", np.int64), read("role", np.int8), read("uid", np.int64), read("least", np.int64), read("copies", np.int64)
+        place, role, uid, least, named, copies = read("place", np.int64), read("role", np.int8), read("uid", np.int64), read("least", np.int64), read("named", np.bool_), read("copies", np.int64)
         bits = read("raw", np.uint8).reshape(len(place), -1)
         order = np.lexsort((role, place))
         cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
@@ -254,8 +240,8 @@ def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
                 ids.append(uid[homes[y[other]]])
                 counts.append(copies[v[x[other]]])
                 a, b = least[v[x]], least[homes[y]]
-                named = (a >= 0) & (b >= 0) & (a != b)
-                stars.append(spanning(a[named], b[named]))
+                both = named[v[x]] & named[homes[y]] & (a != b)
+                stars.append(spanning(a[both], b[both]))
                 if sum(map(len, ids)) > 2_000_000:
                     ids, counts = _summed(ids, counts)
         ids, counts = _summed(ids, counts)
@@ -264,8 +250,17 @@ def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
         n, m = len(ids[0]), len(a)
         return pa.table({"uid": pa.concat_arrays([pa.array(ids[0], pa.int64()), none(m)]), "n": pa.concat_arrays([pa.array(counts[0], pa.int64()), none(m)]), "a": pa.concat_arrays([none(n), pa.array(a, pa.int64())]), "b": pa.concat_arrays([none(n), pa.array(b, pa.int64())])})
 
-    met = distinct.mapInArrow(send, "bucket int, place binary, role binary, uid binary, least binary, copies binary, raw binary").groupBy("bucket").applyInArrow(compare, "uid long, n long, a long, b long")
-    met = stored(met, "embedding-links")
+    met = distinct.mapInArrow(send, "bucket int, place binary, role binary, uid binary, least binary, named binary, copies binary, raw binary").groupBy("bucket").applyInArrow(compare, "uid long, n long, a long, b long")
+    return stored(met, "embedding-links")
+
+
+def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id), one row a vector.  All links are found, so any target_recall is met."""
+    rows, kind, distinct = _prepared(vectors, id_column, column)
+    size = F.octet_length("raw")
+    lengths = distinct.groupBy(size.alias("size")).count().filter("count > 1").orderBy("size").collect()  # a row a length
+    none = vectors.sparkSession.createDataFrame([], "uid long, n long, a long, b long")
+    met = reduce(DataFrame.union, [_met(distinct.filter(size == r["size"]), r["count"], kind, cosine) for r in lengths] or [none])
     counts = met.filter("uid IS NOT NULL").groupBy("uid").agg(F.sum("n").alias("far"))
     groups = components(met.filter("uid IS NULL").select("a", "b"))
     nodes = distinct.join(counts, "uid", "left").join(groups, distinct["least"] == groups["node"], "left")

@@ -46,6 +46,24 @@ def test_measured_recall_reaches_the_target(spark):
     assert all(got[i] <= n[i] for i in n) and sum(got.values()) >= 0.9 * sum(n.values())
 
 
+def test_small_groups_keep_their_links_beside_a_large_one(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(700, 16))
+    pairs = base[:200] + rng.normal(scale=0.22, size=(200, 16))
+    many = base[699] + rng.normal(scale=0.02, size=(500, 16))
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(np.concatenate([base, pairs, many]))]
+    n, component = expected(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.link_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (n[i], component[i]) for i in n}
+
+
+def test_links_of_rarer_lengths_and_negative_ids(spark):
+    rows = [(-5, [1.0, 0.0, 0.0], 0), (-4, [1.0, 0.1, 0.0], 0), (2**60 + 1, [0.0, 0.0, 1.0], 0), (2**60 + 3, [0.0, 0.1, 1.0], 0), (None, [0.0, 0.11, 1.0], 0)]
+    rows += [(8, [1.0, 0.0], 0), (9, [1.0, 0.0], 0), (10, [2.0, 0.1], 0), (11, [3.0], 0), (12, [4.0], 0), (13, [-4.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.link_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {-5: (1, -5), -4: (1, -5), 2**60 + 1: (2, 2**60 + 1), 2**60 + 3: (2, 2**60 + 1), None: (2, None), 8: (2, 8), 9: (2, 8), 10: (2, 8), 11: (1, 11), 12: (1, 11), 13: (0, 13)}
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0] + [0.0] * 3
     rows = [(1, one, 0), (2, one, 0), (2, one, 0), (3, None, 0), (4, [0.0] * 4, 0), (5, [float("nan"), 1.0, 0.0, 0.0], 0), (6, [None, 1.0, 0.0, 0.0], 0), (7, [1.0], 0), (8, [float("inf"), 0.0, 0.0, 0.0], 0), (9, [-1.0, 0.0, 0.0, 0.0], 0), (10, [1e30, 1e-30, 0.0, 0.0], 0)]
