@@ -147,13 +147,20 @@ def continuation_work(requests: DataFrame, now, batch: int, interval_s: int, ass
     return kept.join(other.select("request_id"), "request_id", "left_anti")
 
 
-def pipeline_replay(units: DataFrame, results: DataFrame, most_repairs: int = 8) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """checkpoint(), on the executors only where no folder is set."""
+    unset = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    return df.localCheckpoint() if unset else df.checkpoint()
+
+
+def pipeline_replay(units: DataFrame, results: DataFrame) -> DataFrame:
     """(candidate, unit_id, parent, state): the card pipeline at rest.
 
     units are (unit_id); results are (job, terminal_state, passed, cards array<string>), a job being `page:<unit>`,
     `review:<candidate>` or `repair:<candidate>`.  A page's cards become candidates `<unit>/<ordinal>`, a failed
     one's repair gives `<candidate>/<ordinal>`.  A line ends when handed off, when a terminal state stops it, when a repair is
-    empty, or it waits for a job.  Rounds go on while repairs give new candidates, most_repairs deep.
+    empty, or it waits for a job.  Rounds go on while repairs give new candidates; every name is longer than its parent's, so
+    they end with the results.
     """
     job = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     stop = F.col("terminal_state").isin(*TERMINAL)
@@ -162,7 +169,7 @@ def pipeline_replay(units: DataFrame, results: DataFrame, most_repairs: int = 8)
     done = []
     review = results.select(F.col("job").alias("r_job"), F.col("terminal_state").alias("r_end"), "passed")
     repair = results.select(F.col("job").alias("f_job"), F.col("terminal_state").alias("f_end"), "cards")
-    for _ in range(most_repairs):
+    while not level.isEmpty():
         seen = level.join(review, job("review", "candidate") == F.col("r_job"), "left").join(repair, job("repair", "candidate") == F.col("f_job"), "left")
         state = (
             F.when(F.col("r_job").isNull(), "in review")
@@ -173,9 +180,7 @@ def pipeline_replay(units: DataFrame, results: DataFrame, most_repairs: int = 8)
             .when(F.size("cards") <= 0, "ended")
             .otherwise("repaired")
         )
-        seen = seen.withColumn("state", state)
+        seen = _cut(seen.select("candidate", "unit_id", "parent", state.alias("state"), "cards"))
         done.append(seen.select("candidate", "unit_id", "parent", "state"))
         level = seen.filter("state = 'repaired'").select("unit_id", F.col("candidate").alias("parent"), F.posexplode("cards").alias("ordinal", "title")).select(F.concat_ws("/", "parent", F.col("ordinal").cast("string")).alias("candidate"), "unit_id", "parent")
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.union, done)
+    return reduce(DataFrame.union, done or [level.select("candidate", "unit_id", "parent", F.lit(None).cast("string").alias("state"))])

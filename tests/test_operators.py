@@ -242,6 +242,17 @@ def test_card_pipeline(spark):
     assert rows(workflow.pipeline_replay(units, df)) == [("1/0", 1, None, "handed off"), ("1/1", 1, None, "repaired"), ("1/1/0", 1, "1/1", "handed off"), ("1/1/1", 1, "1/1", "stopped")]
 
 
+def test_card_pipeline_follows_every_repair(spark):
+    names = ["1" + "/0" * k for k in range(1, 13)]
+    results = [("page:1", None, ["a"]), *((f"review:{c}", False, None) for c in names), *((f"repair:{c}", None, ["b"]) for c in names)]
+    df = spark.createDataFrame([(j, None, p, c) for j, p, c in results], "job string, terminal_state string, passed boolean, cards array<string>")
+    units = spark.createDataFrame([(1,)], "unit_id long")
+    got = {r["candidate"]: (r["parent"], r["state"]) for r in workflow.pipeline_replay(units, df).collect()}
+    parents = dict(zip([*names, names[-1] + "/0"], [None, *names], strict=True))
+    assert got == {c: (p, "repaired" if c in names else "in review") for c, p in parents.items()}
+    assert workflow.pipeline_replay(units.limit(0), df).count() == 0
+
+
 def test_continuation_work_drops_requests_and_counts_over_all_scopes(spark):
     day = lambda d: dt.datetime(2024, 1, d)
     asked = [(1, 2, 10, None, day(1)), (2, 2, 11, None, day(2)), (3, 9, 12, None, day(3)), (4, 2, 13, None, day(4)), (5, 2, 14, 50, day(5)), (6, 3, 15, 60, day(6)), (7, 2, 16, None, day(7)), (8, 3, 17, None, day(8))]
