@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import checkpointed
+from .jobs import checkpointed, lean
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
     step keeps components whole, never holds more links than it was given, and reads what
     the last one wrote to the shared folder.  Links with a null end or from a node to itself say nothing.
     """
-    links = links.toDF("a", "b").filter("a <> b").mapInArrow(_contract, "a long, b long")
+    links = links.toDF("a", "b").filter("a <> b").mapInArrow(lean(_contract), "a long, b long")
     links = checkpointed(links.distinct())
     mark = None
     while True:

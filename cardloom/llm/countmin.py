@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from .jobs import lean
 from .textview import mix
 
 DEPTH = 2
@@ -110,7 +111,7 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
         return pa.table({"row": [key[0].as_py()], "block": [key[1].as_py()], "twice": [bits[0]], "hot": [bits[1]]}, schema=_merged)
 
     _merged = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("twice", pa.binary()), ("hot", pa.binary())])
-    merged = docs.mapInArrow(build, "row int, block int, cells binary, counts binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, twice binary, hot binary")
+    merged = docs.mapInArrow(lean(build), "row int, block int, cells binary, counts binary").groupBy("row", "block").applyInArrow(lean(merge), "row int, block int, twice binary, hot binary")
     bits = [[bytearray((1 << log2) // fold // 8) for _ in range(DEPTH)] for fold in (1, _FOLD)]
     for r in merged.toLocalIterator():
         for level, name in enumerate(("twice", "hot")):

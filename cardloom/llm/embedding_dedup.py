@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spanning
-from .jobs import stored
+from .jobs import lean, stored
 from .textview import mix, ranges
 
 COSINE = 0.9
@@ -129,7 +129,7 @@ def _prepared(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFram
                 raw.append(a.astype(kind).tobytes() if ok and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    rows = own.mapInArrow(pack, "vec_id long, raw binary").withColumn("uid", F.xxhash64("raw"))
+    rows = own.mapInArrow(lean(pack), "vec_id long, raw binary").withColumn("uid", F.xxhash64("raw"))
     rows = stored(rows, "embedding-rows")
     distinct = rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.first("uid").alias("uid"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     return rows, kind, stored(distinct, "embedding-distinct")
@@ -173,7 +173,7 @@ def _met(distinct: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
         used = np.flatnonzero(homes + met)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(used), "homes": pa.array(homes[used]), "met": pa.array(met[used])})
 
-    counted = distinct.select("raw").mapInArrow(count, "cell long, homes long, met long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("met").alias("met")).collect()  # at most a row a cell
+    counted = distinct.select("raw").mapInArrow(lean(count), "cell long, homes long, met long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("met").alias("met")).collect()  # at most a row a cell
     home_blocks = {r["cell"]: -(-r["homes"] // BLOCK) for r in counted}
     visit_blocks = {r["cell"]: -(-max(r["met"], 1) // (4 * BLOCK)) for r in counted}
     cells = len(grid.books[0]) * len(grid.books[1])
@@ -250,7 +250,7 @@ def _met(distinct: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
         n, m = len(ids[0]), len(a)
         return pa.table({"uid": pa.concat_arrays([pa.array(ids[0], pa.int64()), none(m)]), "n": pa.concat_arrays([pa.array(counts[0], pa.int64()), none(m)]), "a": pa.concat_arrays([none(n), pa.array(a, pa.int64())]), "b": pa.concat_arrays([none(n), pa.array(b, pa.int64())])})
 
-    met = distinct.mapInArrow(send, "bucket int, place binary, role binary, uid binary, least binary, named binary, copies binary, raw binary").groupBy("bucket").applyInArrow(compare, "uid long, n long, a long, b long")
+    met = distinct.mapInArrow(lean(send), "bucket int, place binary, role binary, uid binary, least binary, named binary, copies binary, raw binary").groupBy("bucket").applyInArrow(lean(compare), "uid long, n long, a long, b long")
     return stored(met, "embedding-links")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,47 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What modules keep in a worker for speed alone; called to let go of it.
+FORGET: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give the memory that a task no longer needs back to the system."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks for the process otherwise
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run` for mapInArrow or applyInArrow, followed by `release`: workers outlive their tasks, and several wait idle beside each busy one."""
+    if inspect.isgeneratorfunction(run):
+
+        def task(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+    elif len(inspect.signature(run).parameters) == 1:
+
+        def task(table):
+            try:
+                return run(table)
+            finally:
+                release()
+    else:
+
+        def task(left, right):
+            try:
+                return run(left, right)
+            finally:
+                release()
+
+    return task
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one scan on the JVM, to size sketches and buckets."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

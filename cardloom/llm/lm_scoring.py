@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import BUCKET_BYTES, bounded_batches, stored, text_bytes
+from .jobs import BUCKET_BYTES, bounded_batches, lean, stored, text_bytes
 from .textview import between, byte_prefix, column, mix, words
 
 ORDER = 2
@@ -77,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held"))
-    return rows.mapInArrow(gather, "chunk long, ids array<long>, held binary, sizes binary, text binary")
+    return rows.mapInArrow(lean(gather), "chunk long, ids array<long>, held binary, sizes binary, text binary")
 
 
 def _tokens(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +197,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.Table.from_pylist(out, schema=_answers)
 
     _answers = pa.schema([("chunk", pa.int64()), ("k", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
-    asked = gathered.mapInArrow(ask, "bucket int, chunk long, k int, keys binary, counts binary")
-    answers = stored(asked.groupBy("bucket").applyInArrow(answer, "chunk long, k int, bucket int, counts binary, tokens long, kinds long"), "lm-answers")
+    asked = gathered.mapInArrow(lean(ask), "bucket int, chunk long, k int, keys binary, counts binary")
+    answers = stored(asked.groupBy("bucket").applyInArrow(lean(answer), "chunk long, k int, bucket int, counts binary, tokens long, kinds long"), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
     total, kinds = sums["tokens"], sums["kinds"]
 
@@ -216,7 +216,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(row["held"], bool)), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(sums[2]), "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])}))
         return pa.concat_tables(out)
 
-    return gathered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return gathered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(walk), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

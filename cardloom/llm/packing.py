@@ -13,6 +13,7 @@ each on their own; order follows the partitions of the input; other columns are
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import bounded_batches, stored
-from .textview import between, blocks, byte_prefix, ranges, words
+from .jobs import bounded_batches, lean, stored
+from .textview import between, blocks, byte_prefix, factorized, ranges, words
 
 LENGTH = 2048
 END_ID = 1
 #: Distinct pieces whose ids a worker remembers before it starts over.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,6 +78,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -102,6 +104,8 @@ class WordIds:
         slot = np.arange(len(got)) + len(self._bounds) - 1
         self._ids = np.concatenate((self._ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))))
         self._bounds = np.concatenate((self._bounds, self._bounds[-1] + np.cumsum(sizes)))
+        order = np.argsort(keys)
+        keys, slot = keys[order], slot[order]
         at = np.searchsorted(self._keys, keys)
         self._keys, self._slot = np.insert(self._keys, at, keys), np.insert(self._slot, at, slot)
 
@@ -110,7 +114,9 @@ class WordIds:
         data, starts, ends, bounds = units(data, off, self._added)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        keys, first, which = np.unique(between(byte_prefix(data, 31), starts, ends), return_index=True, return_inverse=True)
+        keys = between(byte_prefix(data, 31), starts, ends)
+        first, which = factorized(keys)
+        keys = keys[first]
         if len(self._keys) > CACHE_WORDS:
             self._clear()
         at = np.searchsorted(self._keys, keys)
@@ -154,7 +160,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
                 cut = [0, *(4 * ends).tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int64)), pa.array(before), pa.array(sizes + 1), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "part", "before", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, part long, before long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(tokenise), "doc_id long, part long, before long, n_tokens long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -182,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
             ids = [raw[r].as_buffer()[4 * a : 4 * b].to_pybytes() for r, a, b in zip(row.tolist(), begin.tolist(), (hi - at[row]).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *map(pa.array, (begin, hi - lo, n[row], sequence, lo - sequence * length)), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return tokens.mapInArrow(cut, PIECES)
+    return tokens.mapInArrow(lean(cut), PIECES)
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import bounded_batches
+from .jobs import bounded_batches, lean
 from .substring_dedup import recounted
 
 BASE = ("email", "ip", "card", "phone")
@@ -149,7 +149,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"pii {SPAN}"])
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def redact(text: str, found: list[dict]) -> str:
@@ -181,7 +181,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
     bounded_batches(docs.sparkSession)
-    return recounted(docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
+    return recounted(docs.mapInArrow(lean(scan), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .jobs import bounded_batches, set_aside
+from .jobs import bounded_batches, lean, set_aside
 from .textview import between, blocks, byte_prefix, prefix, words
 
 WINDOW = 8
@@ -169,7 +169,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], *map(pa.array, own)], names=[*names, *(x.split()[0] for x in _COLUMNS.split(", "))])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], _COLUMNS])
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(lean(judge), schema)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spanning
-from .jobs import bounded_batches, stored
+from .jobs import bounded_batches, lean, stored
 from .textview import mix, ranges
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], pa.int64())], names=["doc_id", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(of), "doc_id long, fp long")
 
 
 class Golay:
@@ -176,7 +176,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
         a, b = spanning(*(np.concatenate(v) for v in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return distinct.mapInArrow(send, "bucket int, place binary, fp binary, home binary").groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return distinct.mapInArrow(lean(send), "bucket int, place binary, fp binary, home binary").groupBy("bucket").applyInArrow(lean(compare), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

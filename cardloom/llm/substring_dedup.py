@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin
-from .jobs import BUCKET_BYTES, bounded_batches, row_key, set_aside, text_bytes
-from .textview import between, blocks, byte_prefix, inside, leaders, merge_spans, prefix, words
+from .jobs import BUCKET_BYTES, bounded_batches, lean, row_key, set_aside, text_bytes
+from .textview import between, blocks, byte_prefix, inside, leaders, merge_spans, pairs, prefix, words
 
 WINDOW = 20
 GRAM = 8
 _LAST = np.iinfo(np.int64).max
 #: Windows that a task holds before it settles them and emits the rest.
-_FLUSH = 1_200_000
+_FLUSH = 500_000
 _SEEDS = (11, 12)
 
 
@@ -93,13 +93,13 @@ def span_rows(doc: np.ndarray, key: np.ndarray, starts: np.ndarray, ends: np.nda
     """One row for each document: its merged spans as int64 pairs."""
     if not len(doc):
         return None
-    _, first, row = np.unique(np.stack([doc, key]), axis=1, return_index=True, return_inverse=True)
-    row, starts, ends = merge_spans(row.ravel(), starts, ends)
+    first, row = pairs(doc, key)
+    row, starts, ends = merge_spans(row, starts, ends)
     cuts = np.flatnonzero(np.diff(row, prepend=-1))
-    pairs = np.stack([starts, ends], axis=1)
+    packed = np.stack([starts, ends], axis=1)
     at = first[row[cuts]]
     none = [None] * len(cuts)
-    spans = [pairs[lo:hi].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(row)], strict=True)]
+    spans = [packed[lo:hi].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(row)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array((key[at] % buckets).astype(np.int32)), pa.array(doc[at]), pa.array(key[at]), pa.array(spans, pa.binary()), *[pa.array(none, pa.binary())] * 4], schema=_SPANS)
 
 
@@ -114,8 +114,9 @@ def _emit(h1, h2, doc, key, start, window: int, buckets: int) -> Iterator[pa.Rec
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], len(first)], strict=True):
         own = first[lo:hi]
-        table, at = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
-        place = np.stack([np.diff(at.ravel(), prepend=0), np.diff(start[own], prepend=0)]).astype(np.int32)  # small steps, which the shuffle compresses well
+        rows, at = pairs(doc[own], key[own])
+        table = np.stack([doc[own[rows]], key[own[rows]]])
+        place = np.stack([np.diff(at, prepend=0), np.diff(start[own], prepend=0)]).astype(np.int32)  # small steps, which the shuffle compresses well
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in (h1[own], h2[own], table, place)]], schema=_SPANS)
 
 
@@ -165,7 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 out.append(pa.Table.from_batches([spans]).select(["doc_id", "row_key", "spans"]))
         return pa.concat_tables(out)
 
-    return docs.withColumn("row_key", row_key()).mapInArrow(candidates, SPANS).groupBy("bucket").applyInArrow(group, "doc_id long, row_key long, spans binary")
+    return docs.withColumn("row_key", row_key()).mapInArrow(lean(candidates), SPANS).groupBy("bucket").applyInArrow(lean(group), "doc_id long, row_key long, spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_row", row_key()).withColumn("_own", F.coalesce("doc_id", F.lit(int(_LAST))))
     names = [c for c in keyed.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in names), "_text binary"])
-    keyed = keyed.mapInArrow(shrink, schema)
+    keyed = keyed.mapInArrow(lean(shrink), schema)
     return keyed.join(own, (F.col("_own") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left").drop("_id", "_key", "_own", "_row")
 
 
@@ -221,7 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].decode() for r in rows], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, repeated_spans(docs, window)).select("doc_id", "_text", "_spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    return with_spans(docs, repeated_spans(docs, window)).select("doc_id", "_text", "_spans").mapInArrow(lean(finish), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -241,7 +242,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     spanned = with_spans(docs, repeated_spans(docs, window))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return recounted(spanned.mapInArrow(finish, schema)).selectExpr(*restored)
+    return recounted(spanned.mapInArrow(lean(finish), schema)).selectExpr(*restored)
 
 
 def recounted(docs: DataFrame) -> DataFrame:

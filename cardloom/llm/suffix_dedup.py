@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin
-from .jobs import BUCKET_BYTES, bounded_batches, row_key, text_bytes
+from .jobs import BUCKET_BYTES, bounded_batches, lean, row_key, text_bytes
 from .substring_dedup import ids_of, settle, texts_of, unpack_spans, with_spans
-from .textview import between, blocks, byte_prefix, leaders, merge_spans, mix, ranges
+from .textview import between, blocks, byte_prefix, leaders, merge_spans, mix, pairs, ranges
 
 LENGTH = 100
 GRAM = 40
@@ -96,8 +96,7 @@ def _span_rows(doc, key, starts, ends, group, buckets: int, grouped: bool) -> pa
     """One row a document: merged spans, or with `grouped` each span with its group hash and flags."""
     if not len(doc):
         return None
-    _, first, row = np.unique(np.stack([doc, key]), axis=1, return_index=True, return_inverse=True)
-    row = row.ravel()
+    first, row = pairs(doc, key)
     if grouped:
         order = np.argsort(row, kind="stable")
         row, starts, ends, group = row[order], starts[order], ends[order], group[:, order]
@@ -105,8 +104,8 @@ def _span_rows(doc, key, starts, ends, group, buckets: int, grouped: bool) -> pa
         row, starts, ends = merge_spans(row, starts, ends)
     cuts = np.flatnonzero(np.diff(row, prepend=-1))
     bounds = list(zip(cuts, [*cuts[1:], len(row)], strict=True))
-    pairs, at, none = np.stack([starts, ends], axis=1), first[row[cuts]], pa.array([None] * len(cuts), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array((key[at] % buckets).astype(np.int32)), pa.array(doc[at]), pa.array(key[at]), pa.array([pairs[lo:hi].tobytes() for lo, hi in bounds], pa.binary()), pa.array([group[:, lo:hi].tobytes() if grouped else None for lo, hi in bounds], pa.binary()), *[none] * 4], schema=_ROWS)
+    packed, at, none = np.stack([starts, ends], axis=1), first[row[cuts]], pa.array([None] * len(cuts), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array((key[at] % buckets).astype(np.int32)), pa.array(doc[at]), pa.array(key[at]), pa.array([packed[lo:hi].tobytes() for lo, hi in bounds], pa.binary()), pa.array([group[:, lo:hi].tobytes() if grouped else None for lo, hi in bounds], pa.binary()), *[none] * 4], schema=_ROWS)
 
 
 def _flags(h: np.ndarray, first: bool | np.ndarray, maximal: bool | np.ndarray) -> np.ndarray:
@@ -129,8 +128,9 @@ def _send(held: list, buckets: int, grouped: bool) -> Iterator[pa.RecordBatch]:
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], len(first)], strict=True):
         own = first[lo:hi]
-        table, row = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
-        place = np.stack([np.diff(row.ravel(), prepend=0), np.diff(start[own], prepend=0)]).astype(np.int32)
+        rows, row = pairs(doc[own], key[own])
+        table = np.stack([doc[own[rows]], key[own[rows]]])
+        place = np.stack([np.diff(row, prepend=0), np.diff(start[own], prepend=0)]).astype(np.int32)
         shape = np.stack([size[own], lead[own]]).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), *[pa.array([None], pa.int64())] * 2, *[pa.array([None], pa.binary())] * 2, *[pa.array([x.tobytes()], pa.binary()) for x in (table, place, shape)], pa.array([zstandard.compress(data[ranges(at[own], size[own])].tobytes(), 3)], pa.binary())], schema=_ROWS)
 
@@ -287,7 +287,7 @@ def _found(docs: DataFrame, length: int, gram: int, grouped: bool) -> DataFrame:
                 out.append(pa.Table.from_batches([rows]).select(columns))
         return pa.concat_tables(out)
 
-    return docs.withColumn("row_key", row_key()).mapInArrow(candidates, _ROWS_SQL).groupBy("bucket").applyInArrow(group, "doc_id long, row_key long, spans binary, groups binary")
+    return docs.withColumn("row_key", row_key()).mapInArrow(lean(candidates), _ROWS_SQL).groupBy("bucket").applyInArrow(lean(group), "doc_id long, row_key long, spans binary, groups binary")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -308,7 +308,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 spans, marks = np.frombuffer(spans, np.int64).reshape(-1, 2), np.frombuffer(groups, np.uint64).reshape(2, -1)
                 yield pa.RecordBatch.from_pydict({"group_id": marks[0].view(np.int64), "doc_id": np.full(len(spans), doc), "start": spans[:, 0], "size": spans[:, 1] - spans[:, 0], "earliest": marks[1] & np.uint64(1) == 1, "maximal": marks[1] & np.uint64(2) == 2})
 
-    rows = _found(docs, length, gram, grouped=True).mapInArrow(unpack, "group_id long, doc_id long, start long, size long, earliest boolean, maximal boolean").distinct()
+    rows = _found(docs, length, gram, grouped=True).mapInArrow(lean(unpack), "group_id long, doc_id long, start long, size long, earliest boolean, maximal boolean").distinct()
     several = rows.groupBy("group_id", "size").count().filter("count > 1").drop("count")
     return rows.join(several, ["group_id", "size"])
 
@@ -332,7 +332,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, repeated_bytes(docs, length)).select("doc_id", "_text", "_spans").mapInArrow(finish, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return with_spans(docs, repeated_bytes(docs, length)).select("doc_id", "_text", "_spans").mapInArrow(lean(finish), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .jobs import FORGET
+
 #: Documents are taken together up to this many bytes (one longer document stands alone).
 BLOCK_BYTES = 2 << 20
 
@@ -21,6 +23,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 _tables: dict[int, np.ndarray] = {}
+FORGET.append(_powers.clear)
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +75,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(n: int, inverse: bool) -> np.ndarray:
     have = _powers.get(inverse)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, BLOCK_BYTES // 2)
         have = np.full(size, _BASE_INV if inverse else _BASE, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -136,6 +139,22 @@ def merge_spans(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return rows[at], starts[at], np.maximum.reduceat(reach, at)
 
 
+def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first index of each distinct pair (a, b), sorted by a and then b, and each entry's index among them."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def factorized(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first entry of each distinct key, in the order in which they come, and each entry's index among them."""
+    which = pa.array(keys).dictionary_encode().indices.to_numpy()
+    return np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)), which
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of arange(start, start + length)."""
     total = int(lengths.sum())

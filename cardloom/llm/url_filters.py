@@ -30,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import lean
 #: The list's strings are cut into parts of at most this many bytes.
 MAX_LIST_BYTES = 256 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -143,7 +144,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(["block" if b else "allow" for b in block], pa.string())], names=[*columns, "rule", "verdict"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema], "rule string, verdict string"])
-    return split.mapInArrow(judge, schema)
+    return split.mapInArrow(lean(judge), schema)
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
