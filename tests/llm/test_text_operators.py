@@ -217,6 +217,32 @@ def test_sentencepiece_against_library(spark, monkeypatch):
         assert got[i]["text"] == (text or "") and got[i]["n_pieces"] == len(got[i]["ids"]) // 4
 
 
+def test_sentencepiece_marks_and_long_units_against_the_library(spark):
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(8)
+    parts = ["▁", " ", "the", "Ing", "é", "ß", "漢", "😀", "12", "-", "\u0301", "ñá", "\r", "xyzzy" * 20, "日本語" * 30]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    for r in lattice.encode(frame(spark, rows), PIECES, with_text=True).collect():
+        text = rows[r["doc_id"]][1]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(text), ascii(text)
+        assert r["text"] == text.replace("▁", " ")
+
+
+def test_sentencepiece_refuses_models_that_it_would_encode_otherwise(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PIECES, "rb") as file:
+        raw = file.read()
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", m.trainer_spec.UNIGRAM), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True)):
+        m = sentencepiece_model_pb2.ModelProto.FromString(raw)
+        change(m)
+        (tmp_path / "other.model").write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError, match="only"):
+            lattice.checked(str(tmp_path / "other.model"))
+    lattice.checked(PIECES)
+
+
 def test_sentencepiece_edges(spark):
     assert lattice.encode(frame(spark, []), PIECES).count() == 0
     got = lattice.encode(frame(spark, [(None, None), (1, "a"), (1, "a")]), PIECES).collect()
