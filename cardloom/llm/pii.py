@@ -100,7 +100,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
                 for k in range(0, len(parts) - 3, 4):
                     own = parts[k : k + 4]
                     end = at + sum(map(len, own)) + 3
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in own):
+                    if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in own):
                         out.append(("ip", at, end))
                     at = end + 1
         elif what == "@":
