@@ -81,6 +81,11 @@ def test_pii_base_spans_against_regexes():
         assert [x for x in pii.spans(text, anchors) if x[0] in pii.BASE] == base_spans(text), text
 
 
+def test_pii_long_runs_of_digits():
+    anchors = pii.automaton()
+    assert pii.spans("0" * 5000 + ".0.0.0 " + "9" * 6000 + ".1.1.1", anchors) == [("ip", 0, 5006)]
+
+
 def test_pii_added_kinds_and_redaction(spark):
     text = "漢 mail a.b@c.org or http://joe:s3cret@host/x; IBAN: DE89 3704 0044 0532 0130 00, SSN 078-05-1120 (noassn 123456789), card 4111 1111 1111 1111 ip 10.0.0.300 10.0.0.3"
     docs = clashing(frame(spark, [(1, text), (2, None), (3, "clean text, 2024-05-06, 12 apples")]))
@@ -125,12 +130,26 @@ def test_cascade_order_never_changes_the_verdict():
     m = quality.Measures(data, off)
     verdicts = {tuple(quality.cascade(m, list(p), np.ones(len(texts), bool))) for p in permutations(quality.RULES)}
     assert len(verdicts) == 1 and not all(next(iter(verdicts)))
+    every = quality.BASE | quality.RULES
+    whole = {tuple(quality.cascade(m, list(p))) for p in permutations(every)}
+    assert whole == {tuple(~np.any([rule(m) for rule in every.values()], axis=0))} and any(next(iter(whole)))
+
+
+def test_cascade_spares_later_rules_the_rejected_documents(monkeypatch):
+    texts = ["short"] * 30 + ["a long enough text of plain words " * 6]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    seen = []
+    monkeypatch.setitem(quality.RULES, "symbols", lambda m: seen.append(len(m.off) - 1) or np.zeros(len(m.off) - 1, bool))
+    quality.cascade(quality.Measures(data, off), ["few_words", "symbols"])
+    assert seen == [1]
 
 
 def test_quality_filter_restores_columns(spark):
     docs = clashing(frame(spark, corpus(11)))
     kept = quality.quality_filter(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    judged = quality.quality(frame(spark, corpus(11))).filter("kept").select("doc_id", "text")
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect())) == sorted(map(tuple, judged.collect()))
     assert quality.quality_filter(frame(spark, [])).count() == 0
 
 
