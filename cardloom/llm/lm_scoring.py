@@ -3,9 +3,11 @@
 Model: n-grams of all training documents, smoothed towards the next lower order,
 P(w|h) = (c(hw) + MU * P(w|h')) / (c(h) + MU), ending at P(w) = (c(w) + 1) / (N + V + 1).
 As an automaton: every history seen in training is a state; a seen n-gram is an arc that
-carries log10 P(w|h); any other word takes the state's failure arc, weight
-log10(MU / (c(h) + MU)), to the state of the shorter history.  A text is scored in one pass
-from left to right; the state after a word is its longest known suffix.
+carries log10 P(w|h) and leads to the longest known history that ends in w; any other word takes the state's
+failure arc, weight log10(MU / (c(h) + MU)), to the state of the shorter history and is tried again there.
+A text is scored in one pass from left to right that carries the state.  Texts are cut into segments that
+advance side by side, a word of each at a time; as a state depends on the last words only, a segment
+finds its first state by reading the order - 1 words before it.
 
 The whole automaton grows with the corpus and is never held by one process.  Documents
 are gathered into chunks (written to the shared folder).  A chunk sends the distinct
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import BUCKET_BYTES, bounded_batches, lean, stored, text_bytes
-from .textview import between, byte_prefix, column, mix, words
+from .textview import between, byte_prefix, column, factorized, mix, ranges, words
 
 ORDER = 2
 MU = 8.0
 MODULUS, HELD_OUT = 7, 2
 CHUNK_BYTES = 14 << 20
+#: Words of a text that are read one after the other; longer texts are read in several segments at once.
+SEGMENT = 192
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -135,35 +139,100 @@ def _distinct(row: dict, order: int):
     train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(bounds))
     out = []
     for keys in _grams(tokens, bounds, order):
-        own, at = np.unique(keys, return_inverse=True)
-        out.append((own, at.astype(np.int32), np.bincount(at[train], minlength=len(own)).astype("<u4")))
+        first, which = factorized(keys)
+        by = np.argsort(keys[first])
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        at = rank[which]
+        out.append((keys[first[by]], at, np.bincount(at[train], minlength=len(by)).astype("<u4")))
     return bounds, out
 
 
 class Automaton:
-    """The slice of the model that one chunk's texts can reach."""
-
-    def __init__(self, counts: list[np.ndarray], at: list[np.ndarray], total: int, kinds: int):
-        self.counts, self.at, self.total, self.kinds = counts, at, total, kinds
-
-    def unigram(self) -> np.ndarray:
-        """log10 weights of the root's arcs, by token."""
-        return np.log10((self.counts[0] + 1.0) / (self.total + self.kinds + 1.0))
-
-    def score(self, bounds: np.ndarray, starts: float) -> np.ndarray:
-        """log10 probability of each token: the arc of the longest known history, or failure arcs down to one."""
-        weight = self.unigram()[self.at[0]]
-        place = np.arange(len(weight)) - np.repeat(bounds[:-1], np.diff(bounds))
-        for k in range(1, len(self.counts)):
-            state = np.empty(len(weight))  # training count of the history: the state that the token before has led to
-            state[1:] = self.counts[k - 1][self.at[k - 1]][:-1]
-            state[place == 0] = starts
-            arc = self.counts[k][self.at[k]]
-            found = np.log10((arc + MU * 10.0**weight) / (state + MU))
-            failed = np.log10(MU / (state + MU)) + weight
-            step = np.where(arc > 0, found, failed)
-            weight = np.where(place < k - 1, weight, step)  # no longer history yet
-        return weight
+    """The slice of the model that one chunk's texts can reach: states, their failure arcs, and arcs by (state, word).
+
+    State 0 is the empty history and state 1 the beginning of a text.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, starts: float, total: int, kinds: int):
+        """grams: for each order the n-grams' training counts and each token's n-gram; starts: training texts."""
+        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+        self.words = grams[0][1]
+        self.kinds = len(grams[0][0])
+        order = len(grams)
+        self.root = np.log10((grams[0][0] + 1.0) / (total + kinds + 1.0))  # arcs of state 0, by word
+        state_of, counts, fails, arcs = [], [np.zeros(1), np.full(1, starts)], [np.zeros(2, np.int64)], []
+        n, weight = 2, self.root
+        for k, (count, at) in enumerate(grams, 1):
+            real = np.flatnonzero(place >= k - 2)  # nearer to its text's beginning a token has no n-gram of this order
+            seen = np.full(len(count), -1, np.int64)
+            seen[at[real]] = real  # a token that ends this n-gram
+            own = np.flatnonzero((seen >= 0) & (count > 0))
+            end = seen[own]
+            if k > 1:
+                history = np.where(place[end] == 0, 1, state_of[-1][grams[k - 2][1][end - 1]])
+                lower = weight[grams[k - 2][1][end]]
+                weight = np.zeros(len(count))
+                weight[own] = np.log10((count[own] + MU * 10.0**lower) / (np.concatenate(counts)[history] + MU))
+            state = np.full(len(count), 0 if k == 1 else -1, np.int64)
+            if k < order:
+                state[own] = n + np.arange(len(own))
+                n += len(own)
+                counts.append(count[own].astype(float))
+                fails.append(np.zeros(len(own), np.int64) if k == 1 else state_of[-1][grams[k - 2][1][end]])
+            elif k > 1:
+                state[own] = state_of[-1][grams[k - 2][1][end]]
+            if k > 1:
+                arcs.append((history * self.kinds + self.words[end], weight[own], state[own]))
+            state_of.append(state)
+        self.root_to = state_of[0] if order > 1 else np.zeros(self.kinds, np.int64)
+        self.fail = np.concatenate(fails)
+        self.fail_weight = np.log10(MU / (np.concatenate(counts) + MU))
+        keys, weights, to = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        by = np.argsort(keys)
+        self.keys, self.weights, self.to = keys[by], weights[by], to[by]
+        self.bounds, self.back = bounds, order - 1
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word after its state, failure arcs included, and the states it leads to."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_, state = np.arange(len(state)), state.copy()
+        while len(open_):
+            at_root = state == 0
+            done = open_[at_root]
+            weight[done] += self.root[word[done]]
+            after[done] = self.root_to[word[done]]
+            open_, state = open_[~at_root], state[~at_root]
+            if not len(open_):
+                break
+            want = state * self.kinds + word[open_]
+            at = np.minimum(np.searchsorted(self.keys, want), max(len(self.keys) - 1, 0))
+            found = self.keys[at] == want if len(self.keys) else np.zeros(len(want), bool)
+            weight[open_[found]] += self.weights[at[found]]
+            after[open_[found]] = self.to[at[found]]
+            open_, state = open_[~found], state[~found]
+            weight[open_] += self.fail_weight[state]
+            state = self.fail[state]
+        return weight, after
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each token, by one pass over the texts' segments."""
+        n = -(-np.diff(self.bounds) // SEGMENT)
+        text = np.repeat(np.arange(len(n)), n)
+        first = self.bounds[text] + ranges(np.zeros(len(n), np.int64), n) * SEGMENT
+        last = np.minimum(first + SEGMENT, self.bounds[text + 1])
+        begin = np.maximum(first - self.back, self.bounds[text])
+        state = np.where(begin == self.bounds[text], 1 if self.back else 0, 0)
+        by = np.argsort(begin - last, kind="stable")  # the longest first: those that still run are the first few
+        first, last, begin, state = first[by], last[by], begin[by], state[by]
+        out = np.zeros(self.bounds[-1])
+        for k in range(int((last - begin).max(initial=0))):
+            run = int(np.searchsorted(begin - last, -k, side="left"))
+            at = begin[:run] + k
+            weight, state[:run] = self.step(state[:run], self.words[at])
+            own = at >= first[:run]
+            out[at[own]] = weight[own]
+        return out
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -208,9 +277,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         out = []
         for row in left.to_pylist():
             bounds, grams = _distinct(row, order)
-            model = Automaton(counts, [at for _, at, _ in grams], total, kinds)
             starts = float(counts[0][np.searchsorted(grams[0][0], _END)])  # as many texts began as ended
-            base, full, known = model.unigram()[grams[0][1]], model.score(bounds, starts), (counts[0] > 0)[grams[0][1]]
+            model = Automaton([(c, at.astype(np.int64)) for c, (_, at, _) in zip(counts, grams, strict=True)], bounds, starts, total, kinds)
+            base, full, known = model.root[grams[0][1]], model.score(), (counts[0] > 0)[grams[0][1]]
             sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, full, known.astype(np.int64))]
             n = len(bounds) - 1
             out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(row["held"], bool)), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(sums[2]), "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])}))
