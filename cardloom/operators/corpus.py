@@ -58,19 +58,32 @@ def canonical(totals: DataFrame, redirects: DataFrame) -> DataFrame:
 TITLE_RULES = (
     ("main_page", r"^Main Page$"),
     ("low_signal_title", r"^\."),
-    ("denied_namespace", r"^(Special|Wikipedia|Portal|Help|File|Template|Category|Talk|User|Module|Draft):"),
+    ("namespace", r"^(Category|File|Help|Portal|Special|Talk|Template|User|Wikipedia):"),
     ("deaths", r"^Deaths in "),
-    ("list", r"^(List|Lists|Index|Outline) of "),
-    ("current_event_year", r"^20[0-9]{2} |\b20[0-9]{2}$"),
-    ("entertainment", r"\((film|TV series|album|song|video game)\)$"),
+    ("list", r"^(Index of|List of|Lists of|Timeline of) "),
+    ("current_event_year", r"^20(?:2[0-6])_.+|^20(?:2[0-6]) .+|^20(?:2[0-6])$"),
+    ("entertainment", r"(?i)\([^)]*\b(?:film|film series|TV series|album|song|video game)\)$|\bseason [0-9]+\b|^[0-9]{4} in film$"),
 )
-#: Lead-text rules, and the length below which a place's article is taken for a stub.
+#: What a lead says of people, works and companies that are not taken.
+BIOGRAPHY = (
+    "actor|actress|singer|rapper|musician|songwriter|television personality|media personality|youtuber|streamer|model|politician|businessman|"
+    "businesswoman|political activist|professional wrestler|mixed martial artist|film director|filmmaker|murderer|serial killer|sex offender|footballer|"
+    "basketball player|baseball player|baseball outfielder|baseball shortstop|baseball infielder|baseball pitcher|baseball catcher|cricketer|"
+    "tennis player|golfer|boxer|quarterback|linebacker|wide receiver|running back|ice hockey player|racing driver"
+)
+ENTERTAINMENT = "film|television series|tv series|album|song|professional football club|sports club|sports competition|wrestling event"
+ADULT = (
+    "pornography website|pornographic website|pornographic video sharing website|adult entertainment website|adult entertainment company|"
+    "pornographic film|adult film|anime and manga pornography"
+)
+LOCALITIES = "unincorporated community|census-designated place|village|township"
+#: Lead rules, the text length below which a place's article is taken for a stub, and the least text length.
 LEAD_RULES = (
-    ("lead_biography_noise", r"(?i)\b(is|was) an? [a-z -]{0,40}(actor|actress|singer|footballer|politician|rapper)\b"),
-    ("lead_entertainment", r"(?i)\b(is|was) an? [a-z0-9 -]{0,40}(film|television series|album|song)\b"),
-    ("lead_adult", r"(?i)\bpornographic\b"),
+    ("lead_biography_noise", rf"(?i)\b(?:is|was|are|were) an? [^.]{{0,100}}\b({BIOGRAPHY})\b"),
+    ("lead_entertainment_noise", rf"(?i)\b(?:is|was|are|were) an? [^.]{{0,120}}\b({ENTERTAINMENT})\b"),
+    ("lead_adult_entertainment_noise", rf"(?i)\b({ADULT})\b"),
 )
-LOCALITY, LOCALITY_LENGTH, SHORT = r"(?i)\bis an? (village|town|municipality|commune)\b", 5000, 1500
+LOCALITY, LOCALITY_LENGTH, SHORT = rf"(?i)\b(?:is|was) an? (?:{LOCALITIES})\b", 5000, 1500
 
 
 def title_reason(title: Column) -> Column:
@@ -84,7 +97,7 @@ def lead_reason(lead: Column, length: Column) -> Column:
     out = F.when(F.lit(False), "")
     for name, pattern in LEAD_RULES:
         out = out.when(lead.rlike(pattern), name)
-    return out.when(lead.rlike(LOCALITY) & (length < LOCALITY_LENGTH), "lead_locality")
+    return out.when(lead.rlike(LOCALITY) & (length < LOCALITY_LENGTH), "lead_low_signal_locality")
 
 
 def judged(totals: DataFrame, articles: DataFrame, disambiguations: DataFrame, processed: DataFrame, least_length: int = SHORT) -> DataFrame:

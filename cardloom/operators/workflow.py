@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -148,9 +149,12 @@ def continuation_work(requests: DataFrame, now, batch: int, interval_s: int, ass
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint(), on the executors only where no folder is set."""
-    unset = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    return df.localCheckpoint() if unset else df.checkpoint()
+    """checkpoint() into the shared folder that the session names; a folder of our own only where none is named (tests)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def pipeline_replay(units: DataFrame, results: DataFrame) -> DataFrame:

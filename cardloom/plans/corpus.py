@@ -52,10 +52,22 @@ def pageview_canonical(spark, sf):
     return C.canonical(C.pageview_totals(D.pageviews(spark, sf)), _redirects(spark, sf))
 
 
+#: What every n-th document's title and lead say, so that each rule meets some.
+MARKS = {37: ("List of ", ""), 41: ("", " (2019 film)"), 43: ("Timeline of ", ""), 47: ("Talk:", ""), 53: ("2024 ", ""), 59: ("", " season 3"), 61: ("Deaths in ", ""), 67: ("Outline of ", "")}
+LEADS = {12: "It is a former tennis player and ", 14: "These are an old sports club ", 16: "A pornographic film of ", 18: "It is a village in "}
+
+
 def _judged(spark, sf):
     """Titles are documents' titles, their views the documents' length; every 29th is a disambiguation, every 31st has no article."""
     docs = _documents(spark, sf)
-    titles = docs.withColumn("title", F.when(F.col("page_id") % 37 == 0, F.concat(F.lit("List of "), "title")).when(F.col("page_id") % 41 == 0, F.concat("title", F.lit(" (film)"))).otherwise(F.col("title")))
+    marked = F.when(F.lit(False), "")
+    for step, (before, after) in MARKS.items():
+        marked = marked.when(F.col("page_id") % step == 0, F.concat(F.lit(before), "title", F.lit(after)))
+    titles = docs.withColumn("title", marked.otherwise(F.col("title")))
+    lead = F.when(F.lit(False), "")
+    for step, text in LEADS.items():
+        lead = lead.when(F.col("page_id") % step == 1, F.concat(F.lit(text), "clean_text"))
+    titles = titles.withColumn("clean_text", lead.otherwise(F.col("clean_text")))
     titles = titles.groupBy("title").agg(F.min("page_id").alias("page_id"), F.min_by("clean_text", "page_id").alias("clean_text"))
     length = F.length("clean_text").cast("long")
     totals = C.scored(titles.select("title", length.alias("total_views"), (F.col("page_id") % 24 + 1).alias("months_seen"), (F.col("page_id") % 1000 + 1).alias("best_rank")))
@@ -110,15 +122,20 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 _TOTALS = f"""{D.with_views("pageviews")}, first AS (SELECT month, replace(article, '_', ' ') AS title, min((rank, views)) AS r FROM pageviews GROUP BY 1, 2),
 totals AS (SELECT title, sum(r[2])::BIGINT AS total_views, count(*) AS months_seen, min(r[1]) AS best_rank FROM first GROUP BY 1)"""
 _RX = lambda p: p.replace("'", "''")
-_TITLE_CASE = " ".join(f"WHEN regexp_matches(t.title, '{_RX(p)}') THEN '{n}'" for n, p in C.TITLE_RULES)
+_TITLE_CASE = r"""WHEN t.title = 'Main Page' THEN 'main_page' WHEN starts_with(t.title, '.') THEN 'low_signal_title'
+  WHEN contains(t.title, ':') AND split_part(t.title, ':', 1) IN ('Category', 'File', 'Help', 'Portal', 'Special', 'Talk', 'Template', 'User', 'Wikipedia') THEN 'namespace'
+  WHEN starts_with(t.title, 'Deaths in ') THEN 'deaths' WHEN list_bool_or([starts_with(t.title, x) FOR x IN ['Index of ', 'List of ', 'Lists of ', 'Timeline of ']]) THEN 'list'
+  WHEN left(t.title, 4) BETWEEN '2020' AND '2026' AND regexp_matches(t.title, '^[0-9]{4}([_ ].+)?$') THEN 'current_event_year'
+  WHEN regexp_matches(t.title, '(?i)\([^)]*\b(film|film series|TV series|album|song|video game)\)$') OR regexp_matches(t.title, '(?i)\bseason [0-9]+\b') OR regexp_matches(t.title, '(?i)^[0-9]{4} in film$') THEN 'entertainment'"""
 _LEAD_CASE = " ".join(f"WHEN regexp_matches(lead, '{_RX(p)}') THEN '{n}'" for n, p in C.LEAD_RULES)
-_JUDGED = rf"""WITH {_DOCS}, named AS (SELECT page_id, CASE WHEN page_id % 37 = 0 THEN 'List of ' || title WHEN page_id % 41 = 0 THEN title || ' (film)' ELSE title END AS title, clean_text FROM docs),
+_JUDGED = rf"""WITH {_DOCS}, named AS (SELECT page_id, CASE {" ".join(f"WHEN page_id % {k} = 0 THEN '{a}' || title || '{b}'" for k, (a, b) in MARKS.items())} ELSE title END AS title,
+  CASE {" ".join(f"WHEN page_id % {k} = 1 THEN '{a}' || clean_text" for k, a in LEADS.items())} ELSE clean_text END AS clean_text FROM docs),
 titles AS (SELECT title, min(page_id) AS page_id, arg_min(clean_text, page_id) AS clean_text FROM named GROUP BY 1),
 t AS (SELECT title, page_id AS own, length(clean_text) AS total_views, own % 24 + 1 AS months_seen, own % 1000 + 1 AS best_rank, length(clean_text) + 100000 * (own % 24 + 1) AS score, substr(clean_text, 1, 800) AS lead,
   CASE WHEN own % 31 <> 0 THEN own END AS page_id, CASE WHEN own % 31 <> 0 THEN length(clean_text) END AS text_length FROM titles),
 judged AS (SELECT t.*, CASE {_TITLE_CASE} WHEN own % 29 = 0 THEN 'disambiguation' WHEN page_id IS NULL THEN 'missing_article'
   WHEN page_id % 3 = 0 AND page_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'processed' WHEN text_length < {C.SHORT} THEN 'short_text' {_LEAD_CASE}
-  WHEN regexp_matches(lead, '{C.LOCALITY}') AND text_length < {C.LOCALITY_LENGTH} THEN 'lead_locality' END AS reason FROM t)"""
+  WHEN regexp_matches(lead, '{C.LOCALITY}') AND text_length < {C.LOCALITY_LENGTH} THEN 'lead_low_signal_locality' END AS reason FROM t)"""
 SQL = {
     "unprocessed_documents": "SELECT doc_id AS page_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND quality = 1)",
     "corpus_search_simple": f"WITH {_DOCS}, {_DONE}, {_ASK}, {_HITS('WHERE page_id NOT IN (SELECT page_id FROM done)')} SELECT query_id, page_id, round(score, 6) AS score, rank FROM ranked",

@@ -167,9 +167,11 @@ def test_pageviews(spark):
     assert rows(totals) == [("A b", 6, 2, 1, 200006), ("C", 7, 1, 1, 100007)]
     merged = corpus.canonical(totals, spark.createDataFrame([("C", "A b")], "redirect_title string, canonical_title string"))
     assert rows(merged) == [("A b", 13, 2, 1, 200013)]
-    titles = spark.createDataFrame([(t,) for t in ("Main Page", ".hack", "Help:X", "Deaths in 2020", "List of x", "2024 election", "Heat (film)", "Physics")], "t string")
+    titles = spark.createDataFrame([(t,) for t in ("Main Page", ".hack", "Help:X", "Deaths in 2020", "Timeline of x", "2024 election", "Heat (1995 film)", "Physics", "Outline of x", "2019 election", "X season 3", "1999 in film", "Draft:X", "2025")], "t string")
     got = [r[0] for r in titles.select(corpus.title_reason(F.col("t"))).collect()]
-    assert got == ["main_page", "low_signal_title", "denied_namespace", "deaths", "list", "current_event_year", "entertainment", None]
+    assert got == ["main_page", "low_signal_title", "namespace", "deaths", "list", "current_event_year", "entertainment", None, None, None, "entertainment", "entertainment", None, "current_event_year"]
+    leads = spark.createDataFrame([(t, n) for t, n in (("She is an American former tennis player.", 9000), ("It was a 1990 tv series", 9000), ("An adult film studio", 9000), ("X is a village in Y", 4999), ("X is a village in Y", 5000), ("He is. An actor", 9000))], "t string, n int")
+    assert [r[0] for r in leads.select(corpus.lead_reason(F.col("t"), F.col("n"))).collect()] == ["lead_biography_noise", "lead_entertainment_noise", "lead_adult_entertainment_noise", "lead_low_signal_locality", None, None]
 
 
 def test_page_preparation(spark):
