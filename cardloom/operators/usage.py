@@ -120,24 +120,48 @@ def quota_replay(events: DataFrame, policy=POLICY) -> DataFrame:
     def fold(state: dict, row) -> tuple:
         windows = state.setdefault("w", [[0, 0.0] for _ in policy])
         allowed, wait, left = quota_step(windows, row.at, int(row.cost), policy)
-        return row.event_id, row.user_sub, allowed, wait, left[0], left[1]
+        return row.event_id, row.user_sub, allowed, wait, left[0], left[1], *(w[1] if w[0] else None for w in windows), row.at
 
     timed = events.select("event_id", "user_sub", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"), "cost").withColumn("at", F.col("us") / 1e6).drop("us")
-    return _folded(timed, "user_sub", ["at", "event_id"], fold, "event_id long, user_sub long, allowed boolean, retry_after double, daily_remaining long, weekly_remaining long")
-
-
-def quota_snapshot(decisions: DataFrame, policy=POLICY) -> DataFrame:
-    """(user_sub, daily_used, weekly_used) after the last call of each user."""
-    last = decisions.groupBy("user_sub").agg(F.max_by(F.struct("daily_remaining", "weekly_remaining"), "event_id").alias("r"))
-    return last.select("user_sub", (policy[0][0] - F.col("r.daily_remaining")).alias("daily_used"), (policy[1][0] - F.col("r.weekly_remaining")).alias("weekly_used"))
-
-
-def web_quota_replay(requests: DataFrame, burst: tuple[int, int] = (20, 3600), total: tuple[int, int] = (200, 86_400)) -> DataFrame:
-    """Decision on each request (event_id, principal, created_at): burst, then total window of its principal."""
-
-    def fold(state: dict, row) -> tuple:
-        allowed, wait = web_quota_step(state, row.at, [(("principal", "burst"), *burst), (("principal", "total"), *total)])
-        return row.event_id, row.principal, allowed, wait
-
-    timed = requests.select("event_id", "principal", (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("at"))
-    return _folded(timed, "principal", ["at", "event_id"], fold, "event_id long, principal long, allowed boolean, retry_after double")
+    return _folded(timed, "user_sub", ["at", "event_id"], fold, "event_id long, user_sub long, allowed boolean, retry_after double, daily_remaining long, weekly_remaining long, daily_reset double, weekly_reset double, at double")
+
+
+def quota_snapshot(decisions: DataFrame, now: float, policy=POLICY) -> DataFrame:
+    """For both windows of each user of `quota_replay` at `now` (seconds): used, remaining, started_at and reset_at.
+
+    The last call by time (then event_id) tells; a window that has ended by then, or never began, is unused and has no times.
+    """
+    last = decisions.groupBy("user_sub").agg(F.max_by(F.struct("daily_remaining", "weekly_remaining", "daily_reset", "weekly_reset"), F.struct("at", "event_id")).alias("r"))
+    columns = []
+    for name, (limit, seconds) in zip(("daily", "weekly"), policy, strict=True):
+        live, reset = F.coalesce(F.col(f"r.{name}_reset") > now, F.lit(False)), F.col(f"r.{name}_reset")
+        left = F.when(live, F.col(f"r.{name}_remaining")).otherwise(limit)
+        columns += [(limit - left).cast("long").alias(f"{name}_used"), left.cast("long").alias(f"{name}_remaining")]
+        columns += [F.when(live, reset - seconds).alias(f"{name}_started_at"), F.when(live, reset).alias(f"{name}_reset_at")]
+    return last.select("user_sub", *columns)
+
+
+def web_quota_replay(requests: DataFrame, burst: tuple[int, int] = (20, 3600), total: tuple[int, int] = (200, 86_400), ip: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """Decision on each request (event_id, principal, created_at, with `ip` windows also ip): (event_id, principal, allowed, retry_after).
+
+    Windows count before they are tested, in the order principal's burst and total, address's burst and total; the
+    first refusal ends a request, and what was counted stays.  An address thus counts just what its principals let pass, so
+    principals are replayed first and addresses after them.
+    """
+
+    def fold_by(key: str, limits) -> Callable:
+        def fold(state: dict, row) -> tuple:
+            allowed, wait = web_quota_step(state, row.at, [((key, name), *limit) for name, limit in zip(("burst", "total"), limits, strict=True)])
+            return row.event_id, getattr(row, key), row.other, row.at, allowed, wait
+
+        return fold
+
+    kept = "event_id long, {} long, other long, at double, allowed boolean, retry_after double"
+    other = F.col("ip").cast("long") if ip else F.lit(None).cast("long")
+    timed = requests.select("event_id", "principal", other.alias("other"), (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("at"))
+    own = _folded(timed, "principal", ["at", "event_id"], fold_by("principal", (burst, total)), kept.format("principal"))
+    if ip:
+        passed = own.filter("allowed").select("event_id", F.col("other").alias("ip"), F.col("principal").alias("other"), "at")
+        second = _folded(passed, "ip", ["at", "event_id"], fold_by("ip", ip), kept.format("ip"))
+        own = own.filter("NOT allowed").select("event_id", "principal", "allowed", "retry_after").union(second.select("event_id", "other", "allowed", "retry_after"))
+    return own.select("event_id", "principal", "allowed", "retry_after")

@@ -46,11 +46,12 @@ def quota_replay(spark, sf):
 
 
 def quota_snapshot(spark, sf):
-    return U.quota_snapshot(U.quota_replay(D.usage_events(spark, sf), SMALL), SMALL)
+    return U.quota_snapshot(U.quota_replay(D.usage_events(spark, sf), SMALL), 1_706_659_200.0, SMALL)
 
 
 def web_quota_replay(spark, sf):
-    return U.web_quota_replay(D.usage_events(spark, sf).withColumnRenamed("user_sub", "principal"))
+    calls = D.usage_events(spark, sf).withColumnRenamed("user_sub", "principal")
+    return U.web_quota_replay(calls.withColumn("ip", F.col("principal") % 40), (4, 86_400), (12, 604_800), ((10, 86_400), (40, 604_800)))
 
 
 QUERIES = {f.__name__: f for f in (usage_summary, status_histogram, query_hash_groups, exposure_explode, session_paths, token_usage_rows, quota_replay, quota_snapshot, web_quota_replay)}

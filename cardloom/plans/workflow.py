@@ -187,4 +187,11 @@ SQL = {
       SELECT request_id, t.scope_id, t.node_id, CASE WHEN k % 2 = 0 THEN k END AS next_job_id FROM tick t LEFT JOIN jk ON jk.node_id = t.node_id JOIN assigned a ON a.node_id = t.node_id AND a.taxonomy_node_id = t.scope_id
       WHERE (size >= 64 OR TIMESTAMP '2024-01-31' - oldest >= INTERVAL 1 DAY) AND t.scope_id IN (SELECT parent_id FROM tree) AND (k IS NULL OR k % 4 = 1 OR k % 5 = 0 OR (k % 2 = 0 AND k % 3 = 0))""",
     "search_cache_key": D.with_views("searches") + r""" SELECT session_id, turn, sha256('{"limit":3,"pool":64,"query":"' || lower(trim(regexp_replace(raw_query, '\s+', ' ', 'g'))) || '"}') AS cache_key FROM searches""",
+    "proposal_apply": f"""WITH {_PROP}, f AS (SELECT node_id, count(*) FILTER (kind = 'edit') AS edits, arg_max(title, proposal_id) FILTER (kind <> 'delete') AS new_title, bool_or(kind = 'delete') AS gone, bool_or(kind = 'create') AS made FROM prop WHERE trim(reason) <> '' GROUP BY 1)
+      SELECT coalesce(c_custkey, node_id) AS node_id, coalesce(new_title, c_name) AS title, 1 + coalesce(edits, 0) AS current_version, CASE WHEN gone THEN 'archived' ELSE 'active' END AS state FROM customer FULL JOIN f ON c_custkey = node_id WHERE c_custkey IS NOT NULL OR made""",
+    "card_pipeline_replay": """WITH RECURSIVE n AS (SELECT unnest([0, 1]) AS i), l AS (SELECT doc_id, quality, unnest(['/0', '/1', '/0/0', '/0/1', '/1/0']) AS known FROM labels),
+      t AS (SELECT doc_id AS unit_id, '/' || i AS tail, NULL::VARCHAR AS parent FROM documents, n WHERE doc_id % 13 <> 0 AND (i = 0 OR doc_id % 2 = 0)
+        UNION ALL SELECT unit_id, tail || '/' || i, unit_id || tail FROM t JOIN l ON doc_id = unit_id AND known = tail, n WHERE unit_id % 17 <> 0 AND unit_id % 5 <> 0 AND unit_id % 3 <> 0 AND NOT coalesce(quality = 1 AND (unit_id + length(tail)) % 4 <> 0, false))
+      SELECT unit_id || tail AS candidate, unit_id, parent, CASE WHEN doc_id IS NULL THEN 'in review' WHEN unit_id % 17 = 0 THEN 'stopped' WHEN quality = 1 AND (unit_id + length(tail)) % 4 <> 0 THEN 'handed off' WHEN unit_id % 5 = 0 THEN 'in repair' WHEN unit_id % 3 = 0 THEN 'ended' ELSE 'repaired' END AS state
+      FROM t LEFT JOIN l ON doc_id = unit_id AND known = tail""",
 }
