@@ -57,3 +57,9 @@ def world_bounds(x: Column, y: Column, width: Column, height: Column, zoom: Colu
 def smoothstep(x: Column, low: float, high: float) -> Column:
     t = clamp((x - low) / (high - low), 0.0, 1.0)
     return t * t * (3 - 2 * t)
+
+
+def screen(x: Column, y: Column, target: tuple[float, float], zoom: float, width: float, height: float) -> tuple[Column, Column]:
+    """Place on a canvas, whose middle shows `target`, of a point of the world."""
+    scale = 2.0**zoom
+    return (x - target[0]) * scale + width / 2, (y - target[1]) * scale + height / 2

@@ -36,3 +36,14 @@ def url_title(article: Column) -> Column:
 
 def source_ref(page_id: Column) -> Column:
     return F.concat(F.lit("wikipedia:"), page_id.cast("string"))
+
+
+def month_window(end_month: Column, count: int) -> Column:
+    """The `count` months (yyyy-MM) up to end_month, oldest first."""
+    last = F.to_date(F.concat(end_month, F.lit("-01")))
+    return F.transform(F.sequence(F.add_months(last, 1 - count), last, F.expr("INTERVAL 1 MONTH")), lambda d: F.date_format(d, "yyyy-MM"))
+
+
+def latest_complete_month(day: Column) -> Column:
+    """The month (yyyy-MM) before that of a day."""
+    return F.date_format(F.add_months(day, -1), "yyyy-MM")

@@ -5,7 +5,9 @@ A simulation is sequential inside a scope, so a scope is one group; scopes run s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,37 @@ from pyspark.sql import functions as F
 from cardloom.functions import layout as L
 
 TICKS = 160
-#: Fixed values of the force model.
-DECAY, FRICTION, CHARGE, CENTER, COLLIDE, DIAMETER = 1 - 0.001 ** (1 / 300), 0.55, -180.0, 0.10, 0.92, 32.0
+
+
+@dataclass(frozen=True)
+class Forces:
+    """Parameters of the force model; the defaults are fixed values."""
+
+    ticks: int = TICKS
+    alpha_min: float = 0.001
+    friction: float = 0.55
+    link_distance: float = 92.0
+    link_distance_by_strength: float = 36.0
+    link_pull: float = 1.05
+    link_pull_by_strength: float = 0.5
+    charge: float = -180.0
+    radius: float = 16.0
+    collide: float = 0.92
+    center: float = 0.10
+    boundary_radius: float = 0.0
+    boundary: float = 0.0
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.ticks, int) or self.ticks < 0:
+            raise ValueError("ticks must be a whole number from 0")
+        for name, value in vars(self).items():
+            if not math.isfinite(value):
+                raise ValueError(f"{name} must be finite")
+        for name in ("link_distance", "radius", "collide", "center", "boundary_radius", "boundary"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
+        if not 0 < self.alpha_min < 1 or not 0 <= self.friction <= 1:
+            raise ValueError("alpha_min must lie between 0 and 1, friction from 0 to 1")
 
 
 def seeded(nodes: DataFrame) -> DataFrame:
@@ -32,27 +63,32 @@ def _unit(i: int, j: int, ids: np.ndarray) -> np.ndarray:
     return np.array([np.cos(angle), np.sin(angle)])
 
 
-def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int = TICKS) -> np.ndarray:
-    """Places of nodes (ids ascending) after the simulation; edges are index pairs with a strength."""
+def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int | None = None, forces: Forces = Forces()) -> np.ndarray:
+    """Places of nodes (ids ascending) after the simulation; edges are index pairs with a strength.
+
+    Links and collisions look at where nodes are about to be, and each pair moves before the next is looked at; charge, center and
+    boundary look at places.  Memory is a row of 512 nodes against all, work the square of the nodes each tick.
+    """
     n = len(ids)
     index = np.arange(n)
     radius = L.SEED_RADIUS + np.sqrt(index + 1) * L.SEED_STEP
     pos = np.stack([np.cos(index * L.GOLDEN_ANGLE) * radius, np.sin(index * L.GOLDEN_ANGLE) * radius], axis=1)
     if n <= 1:
         return np.round(pos, 6)
-    vel, alpha = np.zeros_like(pos), 1.0
-    left, right = np.triu_indices(n, 1)
-    for _ in range(ticks):
-        alpha -= alpha * DECAY
+    vel, alpha, least = np.zeros_like(pos), 1.0, 2 * forces.radius
+    decay = 1 - forces.alpha_min ** (1 / 300)
+    for _ in range(forces.ticks if ticks is None else ticks):
+        alpha -= alpha * decay
         for i, j, strength in edges:
             d = pos[j] + vel[j] - pos[i] - vel[i]
             length = float(np.hypot(*d))
             if length == 0:
                 d, length = _unit(i, j, ids), 1.0
-            f = d * ((length - (92 - 36 * strength)) / length * alpha * (1.05 + 0.5 * strength)) / 2
+            wanted = forces.link_distance - forces.link_distance_by_strength * strength
+            f = d * ((length - wanted) / length * alpha * (forces.link_pull + forces.link_pull_by_strength * strength)) / 2
             vel[i] += f
             vel[j] -= f
-        for lo in range(0, n, 512):  # charge reads places alone, so rows of pairs can be taken together
+        for lo in range(0, n, 512):
             d = pos[None] - pos[lo : lo + 512, None]
             square = (d * d).sum(axis=2)
             for a, b in zip(*np.nonzero(square == 0), strict=True):
@@ -60,23 +96,33 @@ def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int =
                     i, j = sorted((a + lo, b))
                     d[a, b] = _unit(i, j, ids) * (1 if a + lo == i else -1)
                     square[a, b] = 1
-            f = CHARGE * alpha / np.maximum(square, 1)
+            f = forces.charge * alpha / np.maximum(square, 1)
             np.fill_diagonal(f[:, lo : lo + 512], 0)
             vel[lo : lo + 512] += (d * f[:, :, None]).sum(axis=1)
         ahead = pos + vel
-        near = np.hypot(*(ahead[right] - ahead[left]).T) < 2 * DIAMETER
-        for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
-            d = pos[j] + vel[j] - pos[i] - vel[i]
-            length = float(np.hypot(*d))
-            if length >= DIAMETER:
-                continue
-            if length == 0:
-                d, length = _unit(i, j, ids), 1.0
-            f = d * ((DIAMETER - length) / length * COLLIDE * alpha) / 2
-            vel[i] -= f
-            vel[j] += f
-        vel -= pos * (CENTER * alpha)
-        vel *= FRICTION
+        for i in range(n - 1):
+            j = i + 1
+            while j < n:
+                d = ahead[j:] - ahead[i]
+                near = np.flatnonzero((d * d).sum(axis=1) < least * least)
+                if not len(near):
+                    break
+                j += int(near[0])
+                d = d[near[0]]
+                length = float(np.hypot(*d))
+                if length == 0:
+                    d, length = _unit(i, j, ids), 1.0
+                f = d * ((least - length) / length * forces.collide * alpha) / 2
+                ahead[i] -= f
+                ahead[j] += f
+                j += 1
+        vel = ahead - pos
+        vel -= pos * (forces.center * alpha)
+        if forces.boundary and forces.boundary_radius:
+            length = np.hypot(*pos.T)
+            over = np.maximum(length - forces.boundary_radius, 0) / np.maximum(length, 1e-300)
+            vel -= pos * (over * forces.boundary * alpha)[:, None]
+        vel *= forces.friction
         pos = pos + vel
     return np.round(pos, 6)
 
@@ -91,14 +137,14 @@ def canonical_edges(ids: np.ndarray, rows) -> list[tuple[int, int, float]]:
     return [(at[a], at[b], s) for (a, b), s in sorted(found.items())]
 
 
-def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> DataFrame:
+def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS, forces: Forces = Forces()) -> DataFrame:
     """(scope_id, node_id, x, y) of nodes (scope_id, node_id) and edges (scope_id, node_a_id, node_b_id, strength)."""
     links = edges.select(F.col("scope_id").alias("s"), "node_a_id", "node_b_id", F.col("strength").cast("double").alias("strength"))
 
     def place(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(left["node_id"].to_numpy())
         right = right.sort_values(["node_a_id", "node_b_id", "strength"])
-        pos = simulate(ids, canonical_edges(ids, right[["node_a_id", "node_b_id", "strength"]].itertuples(index=False)), ticks)
+        pos = simulate(ids, canonical_edges(ids, right[["node_a_id", "node_b_id", "strength"]].itertuples(index=False)), ticks, forces)
         return pd.DataFrame({"scope_id": key[0], "node_id": ids, "x": pos[:, 0], "y": pos[:, 1]}) if len(ids) else pd.DataFrame({"scope_id": [], "node_id": [], "x": [], "y": []})
 
     return nodes.select("scope_id", "node_id").groupBy("scope_id").cogroup(links.groupBy("s")).applyInPandas(place, "scope_id long, node_id long, x double, y double")
@@ -116,6 +162,24 @@ def sliced(placed: DataFrame, x0: float, x1: float, y0: float, y1: float) -> Dat
     return placed.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
+def sliced_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """The edges (scope_id, node_a_id, node_b_id, ...) both of whose ends a slice keeps (scope_id, node_id)."""
+    own = kept.select("scope_id", "node_id")
+    for end in ("node_a_id", "node_b_id"):
+        edges = edges.join(own.withColumnRenamed("node_id", end), ["scope_id", end], "left_semi")
+    return edges
+
+
+def focus(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, focus_id, edge_id): each node with itself and its neighbours, and the edge that is lit with them (null: itself).
+
+    Rows, not sets: a hub's neighbours stay spread.
+    """
+    name = F.concat_ws(":", F.col("node_a_id").cast("string"), F.col("node_b_id").cast("string")).alias("edge_id")
+    both = edges.select(F.col("node_a_id").alias("node_id"), F.col("node_b_id").alias("focus_id"), name).union(edges.select("node_b_id", "node_a_id", name))
+    return nodes.select("node_id", F.col("node_id").alias("focus_id"), F.lit(None).cast("string").alias("edge_id")).union(both).distinct()
+
+
 def branch_layout(children: DataFrame, width: float = L.DESKTOP_WIDTH, passes: int = 80) -> DataFrame:
     """(parent_id, id, x, y, diameter): bubbles heaviest first on rings, then pushed apart until none overlap or `passes` are over."""
     own = children.withColumn("diameter", L.bubble(F.col("descendants"), F.lit(width))["diameter"].cast("double"))

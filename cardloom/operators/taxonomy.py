@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
@@ -144,3 +145,11 @@ def violations(tree: DataFrame, reserved: str = "unclassified") -> DataFrame:
     roots = tree.filter("parent_id IS NULL")
     first = roots.agg(F.min("id").alias("_f"))
     return bad.union(clash).union(roots.join(first, roots["id"] > first["_f"]).select("id", F.lit("second root")))
+
+
+def listing(tree: DataFrame) -> DataFrame:
+    """(id, parent_id, depth, position, children): the tree as listed, siblings by name and id; nest it by parent_id."""
+    order = W.partitionBy("parent_id").orderBy("name", "id")
+    kids = tree.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("_up")).agg(F.count("*").alias("children"))
+    rows = tree.withColumn("position", F.row_number().over(order).cast("long")).join(kids, F.col("id") == F.col("_up"), "left")
+    return rows.select("id", "parent_id", "depth", "position", F.coalesce("children", F.lit(0)).alias("children")).orderBy("depth", F.asc_nulls_first("parent_id"), "position")

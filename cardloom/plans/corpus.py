@@ -111,7 +111,20 @@ def tokens_top(spark, sf):
     return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(100)
 
 
-QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top)}
+def month_windows(spark, sf):
+    """The six months up to the last complete month before each order's day, and how many orders look at them."""
+    end = T.latest_complete_month(F.col("o_orderdate"))
+    return D.table(spark, sf, "orders").select(F.explode(T.month_window(end, 6)).alias("month")).groupBy("month").agg(F.count("*").alias("n"))
+
+
+def wikitext_clean(spark, sf):
+    """Pages' titles set in wikitext."""
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    raw = F.concat(F.lit("== Head ==\n'''"), title, F.lit("''' is {{Info|a={{b}}}}a [[Link|page]] of [[Plain]]<ref name=x>note</ref>.<!-- c -->\n\n\n\n[[File:a.png]]end"))
+    return D.table(spark, sf, "pages").select("page_id", C.clean_wikitext(raw).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top, month_windows, wikitext_clean)}
 
 _DOCS = r"docs AS (SELECT doc_id AS page_id, regexp_extract(text, '^[^.\n]{1,80}') AS title, text AS clean_text FROM documents)"
 _DONE = "done AS (SELECT doc_id AS page_id FROM labels WHERE quality = 1)"
@@ -156,4 +169,6 @@ SQL = {
       b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a),
       c AS (SELECT page_id, trim(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM b) SELECT page_id, sha256(t) AS text_sha256, length(t) AS text_length FROM c""",
     "tokens_top": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 100",
+    "month_windows": "SELECT strftime(date_trunc('month', o_orderdate) - to_months(k::INT + 1), '%Y-%m') AS month, count(*) AS n FROM orders, range(6) r(k) GROUP BY 1",
+    "wikitext_clean": r"SELECT page_id, 'Head' || chr(10) || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' is a page of Plain.' || chr(10) || chr(10) || 'end' AS text FROM pages",
 }

@@ -81,7 +81,23 @@ def request_bytes(spark, sf):
     return docs.select("doc_id", size.alias("bytes"), total.alias("running_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, byte_packing, request_bytes)}
+def layout_slice_edges(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    kept = L.sliced(L.seeded(nodes), -500.0, 500.0, -300.0, 300.0)
+    return L.sliced_edges(edges, kept).select("scope_id", "node_a_id", "node_b_id")
+
+
+def focus_sets(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return L.focus(nodes.select("node_id").distinct(), edges)
+
+
+def screen_points(spark, sf):
+    x, y = E.screen(F.col("c_acctbal"), F.col("c_acctbal") / 3, (120.5, -40.0), 1.5, 1280.0, 800.0)
+    return D.table(spark, sf, "customer").select("c_custkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, byte_packing, request_bytes, layout_slice_edges, focus_sets, screen_points)}
 
 _GRAPH = _TAXONOMY["card_scope_graph"].replace("SELECT * FROM graph", "")
 _SEED = f"""{_GRAPH}, placed AS (SELECT scope_id, node_id, side, round(cos(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS x, round(sin(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS y
@@ -99,4 +115,8 @@ SQL = {
       SELECT p_partkey, ring, p_partkey - first AS slot, capacity FROM part JOIN rings ON p_partkey >= first AND p_partkey < first + capacity""",
     "request_bytes": """WITH s AS (SELECT doc_id, source, strlen('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}')::BIGINT AS bytes FROM documents)
       SELECT doc_id, bytes, (sum(bytes) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS running_bytes FROM s""",
+    "layout_slice_edges": f"""{_SEED}, kept AS (SELECT scope_id, node_id FROM placed WHERE x BETWEEN -500 AND 500 AND y BETWEEN -300 AND 300)
+      SELECT scope_id, node_a_id, node_b_id FROM projection WHERE (scope_id, node_a_id) IN (FROM kept) AND (scope_id, node_b_id) IN (FROM kept)""",
+    "focus_sets": f"{_GRAPH} SELECT DISTINCT node_id, node_id AS focus_id, NULL::VARCHAR AS edge_id FROM graph UNION SELECT node_a_id, node_b_id, node_a_id || ':' || node_b_id FROM projection UNION SELECT node_b_id, node_a_id, node_a_id || ':' || node_b_id FROM projection",
+    "screen_points": "SELECT c_custkey, round((c_acctbal - 120.5::DOUBLE) * pow(2, 1.5::DOUBLE) + 640, 6) AS x, round((c_acctbal / 3 + 40) * pow(2, 1.5::DOUBLE) + 400, 6) AS y FROM customer",
 }

@@ -101,7 +101,18 @@ def backfill_metrics(spark, sf):
     return known.agg(F.count("*").alias("cards"), F.count("has").alias("assigned_before"), F.count_if(F.col("has").isNull()).alias("inserted"), F.lit(0).cast("long").alias("missing_after"))
 
 
-QUERIES = {f.__name__: f for f in (taxonomy_paths, taxonomy_breadcrumbs, taxonomy_direct_counts, taxonomy_descendant_counts, taxonomy_root_view, taxonomy_node_view, route_path_lookup, slug_collisions, scope_name_candidates, precompute_targets, scope_of_card, scope_projection_edges, card_scope_graph, fingerprint_by_scope, unassigned_cards, root_backfill, backfill_metrics)}
+def tree_listing(spark, sf):
+    return X.listing(D.taxonomy_nodes(spark, sf))
+
+
+def tree_violations(spark, sf):
+    """Parts as children of their brands: names that collide as slugs, and brands' own rows without a parent."""
+    parts = D.table(spark, sf, "part")
+    rows = parts.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("long")).alias("parent_id"), F.when(F.col("p_partkey") % 40 == 1, "--").when(F.col("p_partkey") % 40 == 2, "Unclassified").otherwise(F.col("p_type")).alias("name"))
+    return X.violations(rows).select("id", "problem")
+
+
+QUERIES = {f.__name__: f for f in (taxonomy_paths, taxonomy_breadcrumbs, taxonomy_direct_counts, taxonomy_descendant_counts, taxonomy_root_view, taxonomy_node_view, route_path_lookup, slug_collisions, scope_name_candidates, precompute_targets, scope_of_card, scope_projection_edges, card_scope_graph, fingerprint_by_scope, unassigned_cards, root_backfill, backfill_metrics, tree_listing, tree_violations)}
 
 _SLUG = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _T = D.with_views("tree", recursive=True)
@@ -146,4 +157,9 @@ SQL = {
     "unassigned_cards": f"{D.with_views('assigned')}, {_CARDS2} SELECT node_id FROM c2 WHERE node_id NOT IN (SELECT node_id FROM assigned)",
     "root_backfill": f"{D.with_views('assigned')}, {_CARDS2} SELECT * FROM assigned UNION ALL SELECT node_id, 1 FROM c2 WHERE node_id NOT IN (SELECT node_id FROM assigned)",
     "backfill_metrics": f"{D.with_views('assigned')}, {_CARDS2} SELECT count(*) AS cards, count(a.node_id) AS assigned_before, count(*) - count(a.node_id) AS inserted, 0::BIGINT AS missing_after FROM c2 LEFT JOIN assigned a USING (node_id)",
+    "tree_listing": f"{_T} SELECT id, parent_id, depth, row_number() OVER (PARTITION BY parent_id ORDER BY name, id) AS position, (SELECT count(*) FROM tree k WHERE k.parent_id = t.id) AS children FROM tree t",
+    "tree_violations": f"""WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 <> 0 THEN p_size END AS parent_id, CASE p_partkey % 40 WHEN 1 THEN '--' WHEN 2 THEN 'Unclassified' ELSE p_type END AS name FROM part),
+      s AS (SELECT *, {_SLUG('name')} AS slug FROM t), c AS (SELECT *, count(*) OVER (PARTITION BY parent_id, slug) AS n FROM s)
+      SELECT id, 'empty slug' AS problem FROM s WHERE slug = '' UNION ALL SELECT id, 'reserved name' FROM s WHERE lower(name) = 'unclassified' UNION ALL SELECT id, 'slug collision' FROM c WHERE n > 1
+      UNION ALL SELECT id, 'second root' FROM s WHERE parent_id IS NULL AND id > (SELECT min(id) FROM s WHERE parent_id IS NULL)""",
 }

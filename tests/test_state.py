@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import decisions, state, usage
+from cardloom.operators import decisions, layout, state, usage
 
 
 def rows(df):
@@ -87,3 +89,42 @@ def test_quota_snapshot_and_web_windows_against_folds(spark):
     for i, user, at, _ in sorted(calls, key=lambda c: (c[2], c[0])):
         keys = [(("p", user, n), *w) for n, w in zip(limits, principal, strict=True)] + [(("ip", user % 2, n), *w) for n, w in zip(limits, address, strict=True)]
         assert replayed[i] == usage.web_quota_step(held, at, keys)
+
+
+def test_simulation_against_pairwise_formulas():
+    forces = layout.Forces(ticks=25, boundary_radius=150.0, boundary=0.3, radius=60.0)
+    ids, edges = np.arange(3, 16), [(0, 1, 0.9), (1, 5, 0.2), (2, 12, 0.6)]
+    at = []
+    for k in range(len(ids)):
+        r = 80 + 96 * math.sqrt(k + 1)
+        at.append(np.array([math.cos(k * 2.399963229728653) * r, math.sin(k * 2.399963229728653) * r]))
+    speed, alpha = [np.zeros(2) for _ in ids], 1.0
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids))]
+    for _ in range(25):
+        alpha *= 0.001 ** (1 / 300)
+        for i, j, s in edges:
+            d = at[j] + speed[j] - at[i] - speed[i]
+            move = d * (1 - (92 - 36 * s) / math.hypot(*d)) * alpha * (1.05 + s / 2) / 2
+            speed[i], speed[j] = speed[i] + move, speed[j] - move
+        for i, j in pairs:
+            d = at[j] - at[i]
+            move = d * -180 * alpha / max(1.0, float(d @ d))
+            speed[i], speed[j] = speed[i] + move, speed[j] - move
+        for i, j in pairs:
+            d = at[j] + speed[j] - at[i] - speed[i]
+            if math.hypot(*d) < 120:
+                move = d * (120 / math.hypot(*d) - 1) * 0.92 * alpha / 2
+                speed[i], speed[j] = speed[i] - move, speed[j] + move
+        for i in range(len(ids)):
+            speed[i] = speed[i] - at[i] * 0.1 * alpha
+            if (far := math.hypot(*at[i])) > 150:
+                speed[i] = speed[i] - at[i] * (1 - 150 / far) * 0.3 * alpha
+            speed[i] = speed[i] * 0.55
+        at = [a + v for a, v in zip(at, speed, strict=True)]
+    assert layout.simulate(ids, edges, forces=forces) == pytest.approx(np.array(at), abs=2e-5)
+
+
+@pytest.mark.parametrize("bad", [{"ticks": -1}, {"ticks": 1.5}, {"alpha_min": 1.0}, {"friction": 1.1}, {"charge": math.inf}, {"radius": -1.0}])
+def test_force_parameters_are_checked(bad):
+    with pytest.raises(ValueError):
+        layout.Forces(**bad)
