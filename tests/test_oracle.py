@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cardloom.plans import corpus, decisions, graph, layout, state, taxonomy, usage, workflow
+from cardloom.plans import corpus, decisions, fulltext, graph, layout, state, taxonomy, usage, workflow
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = {n: (m, q) for m in (graph, taxonomy, corpus, usage, workflow, layout, decisions, state) for n, q in m.QUERIES.items()}
+PLANS = {n: (m, q) for m in (graph, taxonomy, corpus, usage, workflow, layout, decisions, state, fulltext) for n, q in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
