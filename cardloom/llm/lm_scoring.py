@@ -40,7 +40,8 @@ from .textview import between, byte_prefix, column, factorized, mix, ranges, wor
 ORDER = 2
 MU = 8.0
 MODULUS, HELD_OUT = 7, 2
-CHUNK_BYTES = 14 << 20
+#: Text bytes whose slice of the automaton a task holds at once.
+CHUNK_BYTES = 8 << 20
 #: Words of a text that are read one after the other; longer texts are read in several segments at once.
 SEGMENT = 192
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,8 +54,8 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % MODULUS == HELD_OUT
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows (chunk, ids, held, sizes, text): runs of documents of some CHUNK_BYTES; ids null stay null."""
+def chunks(docs: DataFrame, limit: int) -> DataFrame:
+    """Rows (chunk, ids, held, sizes, text): runs of documents of some `limit` bytes; ids null stay null."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -69,12 +70,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             data, off = column(batch, "text")
             lo = 0
             while lo < batch.num_rows:
-                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES - size, side="right")) - 1))
+                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit - size, side="right")) - 1))
                 own = batch.slice(lo, hi - lo)
                 held.append((own.column("doc_id"), own.column("held").to_numpy(zero_copy_only=False), np.diff(off[lo : hi + 1]), data[off[lo] : off[hi]]))
                 size += int(off[hi] - off[lo])
                 lo = hi
-                if size >= CHUNK_BYTES or lo < batch.num_rows:
+                if size >= limit or lo < batch.num_rows:
                     yield close()
                     at, held, size = at + 1, [], 0
         if held:
@@ -205,7 +206,7 @@ class Automaton:
             open_, state = open_[~at_root], state[~at_root]
             if not len(open_):
                 break
-            want = state * self.kinds + word[open_]
+            want = state * self.kinds + word[open_]  # state is a 64-bit number
             at = np.minimum(np.searchsorted(self.keys, want), max(len(self.keys) - 1, 0))
             found = self.keys[at] == want if len(self.keys) else np.zeros(len(want), bool)
             weight[open_[found]] += self.weights[at[found]]
@@ -239,7 +240,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a document."""
     bounded_batches(docs.sparkSession)
     buckets = int(max(64, text_bytes(docs) // BUCKET_BYTES))
-    gathered = stored(chunks(docs), "lm-chunks")
+    gathered = stored(chunks(docs, CHUNK_BYTES), "lm-chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +279,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for row in left.to_pylist():
             bounds, grams = _distinct(row, order)
             starts = float(counts[0][np.searchsorted(grams[0][0], _END)])  # as many texts began as ended
-            model = Automaton([(c, at.astype(np.int64)) for c, (_, at, _) in zip(counts, grams, strict=True)], bounds, starts, total, kinds)
+            model = Automaton([(c, at) for c, (_, at, _) in zip(counts, grams, strict=True)], bounds, starts, total, kinds)
             base, full, known = model.root[grams[0][1]], model.score(), (counts[0] > 0)[grams[0][1]]
             sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, full, known.astype(np.int64))]
             n = len(bounds) - 1

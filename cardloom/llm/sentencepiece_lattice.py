@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jobs import bounded_batches, lean, text_bytes
-from .lm_scoring import CHUNK_BYTES, _bucket, _planes, _unplanes, chunks
+from .lm_scoring import _bucket, _planes, _unplanes, chunks
 from .textview import BLOCK_BYTES, between, byte_prefix, ranges, words
 
 MARK = "▁"
 #: Boundaries are bits of one long.
 MAX_UNIT = 61
+#: Text bytes of a chunk.
+CHUNK_BYTES = 14 << 20
 #: Text bytes for each bucket of distinct units, and units that a task groups in memory before it falls back to sorting.
 UNIT_BYTES = 4 << 20
 GROUPED = 60_000
@@ -384,7 +386,7 @@ def encode(docs: DataFrame, model: str, with_text: bool = False) -> DataFrame:
     controls = [pieces.number.get(chr(c), _FIRST_BYTE + c) for c in range(16)]
     speller = Speller(model) if with_text else None
     narrow = "<u2" if max(pieces.number.values()) < 1 << 16 else "<u4"
-    gathered = _bucketed(spark, chunks(docs.select("doc_id", "text")).drop("held"), int(max(1, size // (2 * CHUNK_BYTES))))
+    gathered = _bucketed(spark, chunks(docs.select("doc_id", "text"), CHUNK_BYTES).drop("held"), int(max(1, size // (2 * CHUNK_BYTES))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
