@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import zstandard
 from pyspark.sql import functions as F
@@ -48,7 +49,9 @@ def test_quota_stream_equals_replay(spark, tmp_path):
 def test_continuations_flush_by_count(spark, tmp_path):
     stream = source(spark, [(1, i) for i in range(5)] + [(2, 0)], "scope_id long, node_id long", tmp_path / "c")
     query = S.continuation_buffer(stream, 5, 3_600_000).writeStream.format("memory").queryName("flushed").outputMode("append").start()
-    query.processAllAvailable()
+    until = time.monotonic() + 90  # a query with timeouts always has another batch, so processAllAvailable() would not return
+    while spark.table("flushed").isEmpty() and time.monotonic() < until and query.exception() is None:
+        time.sleep(0.5)
     query.stop()
     assert [tuple(r) for r in spark.table("flushed").collect()] == [(1, 5)]
 
