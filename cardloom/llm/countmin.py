@@ -1,4 +1,8 @@
-"""Count-min sketches built by partitions, merged by blocks of cells and broadcast as bitmaps.
+"""Count-min sketches built by partitions and merged by blocks of cells.
+
+`answers` widens the sketch with the corpus: the merged blocks stay where they are and each chunk
+of texts gets back one bit for every cell that it touched.  `repeated` broadcasts the merged
+sketch as bitmaps, so its width has a bound.
 
 A merged cell counts every key that falls into it, so the smallest of a key's cells
 never lies below the key's true count.  Only two questions are asked of the sketch
@@ -37,6 +41,11 @@ def width_for(keys: int) -> int:
     return max(MIN_LOG2, min(MAX_LOG2, int(np.ceil(np.log2(max(keys, 1) * 4)))))
 
 
+def open_width(keys: int) -> int:
+    """As `width_for`, without the upper bound."""
+    return max(MIN_LOG2, int(np.ceil(np.log2(max(keys, 1) * 4))))
+
+
 def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
     return (mix(keys ^ _SALTS[row]) >> np.uint64(64 - log2)).astype(np.int64)
 
@@ -118,3 +127,63 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
             step = (1 << _BLOCK_LOG2) // (1, _FOLD)[level] // 8
             bits[level][r["row"]][r["block"] * step : (r["block"] + 1) * step] = r[name]
     return Repeated(log2, docs.sparkSession.sparkContext.broadcast([[bytes(x) for x in level] for level in bits]))
+
+
+_ANSWERS = "chunk long, row int, block int, bits binary"
+_ANSWERS_SCHEMA = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())])
+
+
+def _block_log2(log2: int) -> int:
+    """log2 of the cells of a block: 64 blocks a row, until a block's counters take 32 MB."""
+    return max(18, min(24, log2 - 6))
+
+
+def answers(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], log2: int) -> DataFrame:
+    """(chunk, row, block, bits): for the sorted distinct cells of each chunk in each block, whether the corpus holds them twice.
+
+    `keys_of` gives (chunk, keys) for each chunk of a batch.
+    """
+    width = _block_log2(log2)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, keys in keys_of(batch):
+                if not len(keys):
+                    continue
+                rows, blocks, planes, counts = [], [], [], []
+                for row in range(DEPTH):
+                    cell, count = np.unique(cells(keys, row, log2), return_counts=True)
+                    count = np.minimum(count, 2).astype(np.uint8)
+                    block = cell >> width
+                    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+                    for lo, hi in zip(cuts, [*cuts[1:], len(cell)], strict=True):
+                        rows.append(row)
+                        blocks.append(int(block[lo]))
+                        planes.append(_planes(cell[lo:hi] & ((1 << width) - 1)))
+                        counts.append(np.packbits(count[lo:hi] > 1, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(rows), pa.int64()), "row": pa.array(rows, pa.int32()), "block": pa.array(blocks, pa.int32()), "cells": pa.array(planes, pa.binary()), "several": pa.array(counts, pa.binary())})
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << width, dtype=np.uint8)
+        held = [_cells(x) for x in table.column("cells").to_pylist()]
+        for at, several in zip(held, table.column("several").to_pylist(), strict=True):
+            total[at] = np.minimum(total[at] + 1 + np.unpackbits(np.frombuffer(several, np.uint8), count=len(at), bitorder="little"), 2)
+        bits = [np.packbits(total[at] >= 2, bitorder="little").tobytes() for at in held]
+        return pa.table([table.column("chunk"), pa.array([key[0].as_py()] * len(held), pa.int32()), pa.array([key[1].as_py()] * len(held), pa.int32()), pa.array(bits, pa.binary())], schema=_ANSWERS_SCHEMA)
+
+    return chunks.mapInArrow(lean(build), "chunk long, row int, block int, cells binary, several binary").groupBy("row", "block").applyInArrow(lean(merge), _ANSWERS)
+
+
+def answered(keys: np.ndarray, table: pa.Table, log2: int) -> np.ndarray:
+    """Whether each key of a chunk is estimated repeated, by the chunk's rows of `answers`."""
+    found = np.ones(len(keys), dtype=bool)
+    if not len(keys):
+        return found
+    rows, blocks, bits = (table.column(x).to_pylist() for x in ("row", "block", "bits"))
+    of = {(r, b): x for r, b, x in zip(rows, blocks, bits, strict=True)}
+    for row in range(DEPTH):
+        cell, which = np.unique(cells(keys, row, log2), return_inverse=True)
+        block, n = np.unique(cell >> _block_log2(log2), return_counts=True)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(of[row, int(b)], np.uint8), count=int(k), bitorder="little") for b, k in zip(block, n, strict=True)])
+        found &= twice[which] == 1
+    return found

@@ -4,13 +4,15 @@ Rule: a word goes when it is covered by a window of `window` consecutive words w
 word sequence also starts earlier (smaller doc_id, or the same document further left).
 Windows are judged on the input, not on what is left.
 
-Pass one sketches the corpus.  Counting every window would fill a sketch of bounded size
-some sevenfold sooner, so a window is counted by its leading gram (the run of `GRAM` words
+Texts are first packed into chunks of some MB in the shared folder.  Pass one sketches the
+corpus, with some 4 to 8 cells a key at any size; no process holds the sketch, each chunk
+gets back the answers for its own cells.  Counting every window would make the sketch some
+sevenfold larger, so a window is counted by its leading gram (the run of `GRAM` words
 of least hash in it): equal windows have equal leading grams at equal places, so a gram's
 count is never below that of any window it leads.  Pass two takes only windows whose gram is estimated
-repeated, and groups them by a 128-bit hash of the words: each task first settles the copies it
+repeated, and groups them by a 128-bit hash of the words: each chunk first settles the copies it
 holds itself, so a window that stands in a third of all documents reaches the
-shuffle once a task, and the buckets settle the rest.
+shuffle once a chunk, and the buckets settle the rest.
 
 Defined cases: null or empty text has no words; a null doc_id sorts last; rows that share a
 doc_id are equally early, so neither is removed for the other; extra columns are ignored
@@ -25,18 +27,17 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin
-from .jobs import BUCKET_BYTES, bounded_batches, lean, row_key, set_aside, text_bytes
-from .textview import between, blocks, byte_prefix, inside, leaders, merge_spans, pairs, prefix, words
+from .jobs import BUCKET_BYTES, bounded_batches, lean, row_key, set_aside, stored, text_bytes
+from .textview import between, blocks, byte_prefix, cut, inside, leaders, merge_spans, pairs, prefix, words
 
 WINDOW = 20
 GRAM = 8
 _LAST = np.iinfo(np.int64).max
-#: Windows that a task holds before it settles them and emits the rest.
-_FLUSH = 500_000
 _SEEDS = (11, 12)
 
 
@@ -47,7 +48,7 @@ def _word_hashes(data: np.ndarray, off: np.ndarray):
 
 
 def _leading(sums: np.ndarray, rows: np.ndarray, bounds: np.ndarray, window: int, gram: int):
-    """Start words of the valid windows, and for each its leading gram's hash and place."""
+    """Start words of the valid windows, the hashes of their distinct leading grams in order, and each window's index among these."""
     n = len(rows)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -55,21 +56,61 @@ def _leading(sums: np.ndarray, rows: np.ndarray, bounds: np.ndarray, window: int
     grams = between(sums, at, at + gram)
     place = leaders(grams, window - gram + 1)
     starts = np.flatnonzero(inside(bounds[1:], rows[: len(place)], np.arange(len(place)), window))
-    return starts, grams[place[starts]], place[starts]
+    fresh = np.diff(place[starts], prepend=-1) != 0
+    return starts, grams[place[starts][fresh]], np.cumsum(fresh) - 1
 
 
-def _gram_keys(window: int, gram: int):
-    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, off in blocks(batch):
-            sums, rows, bounds = _word_hashes(data, off)
-            _, keys, place = _leading(sums[0], rows, bounds, window, gram)
-            yield keys[np.flatnonzero(np.diff(place, prepend=-1))]
+def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
+    return batch.column(name).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    return keys_of
 
+#: Text bytes of a chunk (one longer document stands alone).
+CHUNK_BYTES = 8 << 20
+_CHUNKS = pa.schema([("chunk", pa.int64()), *[(x, pa.binary()) for x in ("docs", "keys", "sizes", "texts")]])
 
-def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
-    return batch.column(name).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """Rows of many documents each: chunk, and packed doc_ids, row keys, text sizes and compressed texts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed() -> pa.RecordBatch:
+            ids, keys, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = (ids.tobytes(), keys.tobytes(), sizes.astype(np.int64).tobytes(), zstandard.compress(data.tobytes(), 3))
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), *[pa.array([x], pa.binary()) for x in whole]], schema=_CHUNKS)
+
+        for batch in batches:
+            ids, keys = ids_of(batch), batch.column("row_key").to_numpy()
+            for lo, hi, data, off in blocks(batch, limit=CHUNK_BYTES):
+                if held and size + len(data) > CHUNK_BYTES:
+                    yield packed()
+                    n, held, size = n + 1, [], 0
+                held.append((ids[lo:hi], keys[lo:hi], np.diff(off), data))
+                size += len(data)
+        if held:
+            yield packed()
+
+    rows = docs.withColumn("row_key", row_key()).mapInArrow(lean(pack), "chunk long, docs binary, keys binary, sizes binary, texts binary")
+    return stored(rows, "substring-chunks")
+
+
+def opened(texts: bytes, sizes: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The blocks of a chunk's texts."""
+    off = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64))))
+    yield from cut(np.frombuffer(zstandard.decompress(texts), np.uint8), off)
+
+
+def _chunk_keys(window: int, gram: int):
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for chunk, sizes, texts in zip(*[batch.column(x) for x in ("chunk", "sizes", "texts")], strict=True):
+            found = []
+            for _, _, data, off in opened(texts.as_py(), sizes.as_py()):
+                sums, rows, bounds = _word_hashes(data, off)
+                found.append(_leading(sums[0], rows, bounds, window, gram)[1])
+            yield chunk.as_py(), np.concatenate(found)
+
+    return keys_of
 
 
 def settle(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,25 +178,31 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     docs = docs.select("doc_id", "text")
     bounded_batches(docs.sparkSession)
     size = text_bytes(docs)
-    sketch = countmin.repeated(docs, _gram_keys(window, gram), expected=size // 40)
+    log2 = countmin.open_width(size // 40)
+    chunks = chunked(docs)
+    answers = countmin.answers(chunks, _chunk_keys(window, gram), log2)
     buckets = max(64, size * 2 // BUCKET_BYTES // 5)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            ids, keys = ids_of(batch), batch.column("row_key").to_numpy()
-            for lo, hi, data, off in blocks(batch):
+    def candidates(chunk: pa.Table, answer: pa.Table) -> pa.Table:
+        out = [_SPANS.empty_table()]
+        for texts, sizes, docs, keys in zip(*[chunk.column(x).to_pylist() for x in ("texts", "sizes", "docs", "keys")], strict=True):
+            ids, keys = np.frombuffer(docs, np.int64), np.frombuffer(keys, np.int64)
+            held, leads = [], []
+            for lo, hi, data, off in opened(texts, sizes):
                 sums, rows, bounds = _word_hashes(data, off)
-                starts, lead, _ = _leading(sums[0], rows, bounds, window, gram)
-                starts = starts[sketch.twice(lead)]
+                starts, lead, which = _leading(sums[0], rows, bounds, window, gram)
+                held.append((lo, hi, sums, rows, bounds, starts, which))
+                leads.append(lead)
+            twice = np.split(countmin.answered(np.concatenate(leads), answer, log2), np.cumsum([len(x) for x in leads])[:-1])
+            found = []
+            for (lo, hi, sums, rows, bounds, starts, which), again in zip(held, twice, strict=True):
+                starts = starts[again[which]]
                 row = rows[starts]
-                held.append([*[between(s, starts, starts + window) for s in sums], ids[lo:hi][row], keys[lo:hi][row], starts - bounds[row]])
-                n += len(starts)
-                if n >= _FLUSH:
-                    yield from _emit(*map(np.concatenate, zip(*held, strict=True)), window, buckets)
-                    held, n = [], 0
-        if n:
-            yield from _emit(*map(np.concatenate, zip(*held, strict=True)), window, buckets)
+                found.append((*[between(s, starts, starts + window) for s in sums], ids[lo:hi][row], keys[lo:hi][row], starts - bounds[row]))
+            del held
+            if any(len(x[0]) for x in found):
+                out.extend(pa.Table.from_batches([x]) for x in _emit(*map(np.concatenate, zip(*found, strict=True)), window, buckets))
+        return pa.concat_tables(out)
 
     def group(table: pa.Table) -> pa.Table:
         out = [table.select(["doc_id", "row_key", "spans"]).filter(table.column("spans").is_valid())]
@@ -166,7 +213,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 out.append(pa.Table.from_batches([spans]).select(["doc_id", "row_key", "spans"]))
         return pa.concat_tables(out)
 
-    return docs.withColumn("row_key", row_key()).mapInArrow(lean(candidates), SPANS).groupBy("bucket").applyInArrow(lean(group), "doc_id long, row_key long, spans binary")
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(candidates), SPANS)
+    return found.groupBy("bucket").applyInArrow(lean(group), "doc_id long, row_key long, spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

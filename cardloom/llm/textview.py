@@ -42,8 +42,12 @@ def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = BLOCK_BYTES)
     """(first row, end row, bytes, offsets) for runs of rows of at most `limit` bytes."""
     if batch.num_rows == 0:
         return
-    data, off = column(batch, name)
-    lo, n = 0, batch.num_rows
+    yield from cut(*column(batch, name), limit)
+
+
+def cut(data: np.ndarray, off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows, as `blocks`."""
+    lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]

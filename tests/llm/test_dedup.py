@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -171,6 +172,41 @@ def test_sketch_never_underestimates(spark):
     assert sketch.twice(own[n < 2]).mean() < 0.2
 
 
+def test_answers_never_miss_and_keep_their_load(spark):
+    """Keys that stand twice are always found, and few others, at a tenfold corpus as well; an unasked chunk has no rows."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for size in (30_000, 300_000):
+        keys = [rng.integers(0, 1 << 64, size, dtype=np.uint64) for _ in range(4)]
+        keys[3][: size // 10] = keys[0][: size // 10]
+        keys[2][0] = keys[2][1]
+        log2 = countmin.open_width(4 * size)
+        chunks = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(keys)] + [(9, b"")], "chunk long, packed binary").repartition(3)
+
+        def keys_of(batch):
+            for chunk, packed in zip(*[batch.column(x).to_pylist() for x in ("chunk", "packed")], strict=True):
+                yield chunk, np.frombuffer(packed, np.uint64)
+
+        found = countmin.answers(chunks, keys_of, log2).toArrow()
+        got = [countmin.answered(x, found.filter(pc.equal(found["chunk"], i)), log2) for i, x in enumerate(keys)]
+        assert got[0][: size // 10].all() and got[3][: size // 10].all() and got[2][:2].all()
+        assert not len(countmin.answered(keys[0][:0], found.slice(0, 0), log2))
+        shares.append(float(np.mean(got[1])))
+    assert max(shares) < 0.1
+    assert countmin.open_width(10**12) > countmin.MAX_LOG2
+
+
+def test_chunks_hold_every_text_once(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 300)
+    rows = corpus(seed=4)
+    seen = []
+    for r in substring_dedup.chunked(frame(spark, rows).select("doc_id", "text")).collect():
+        ids = np.frombuffer(r["docs"], np.int64)
+        for lo, hi, data, off in substring_dedup.opened(r["texts"], r["sizes"]):
+            seen += [(int(i), data[a:b].tobytes()) for i, a, b in zip(ids[lo:hi], off, off[1:], strict=False)]
+    assert sorted(seen) == sorted((i, (t or "").encode()) for i, t in rows)
+
+
 def test_leaders_and_spans():
     grams = np.random.default_rng(4).integers(0, 1 << 63, 200).astype(np.uint64)
     for width in (1, 2, 7, 13):
