@@ -38,6 +38,8 @@ from .textview import between, blocks, byte_prefix, cut, inside, leaders, merge_
 WINDOW = 20
 GRAM = 8
 _LAST = np.iinfo(np.int64).max
+#: Windows of a chunk that are settled and emitted together.
+_FLUSH = 500_000
 _SEEDS = (11, 12)
 
 
@@ -194,14 +196,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 held.append((lo, hi, sums, rows, bounds, starts, which))
                 leads.append(lead)
             twice = np.split(countmin.answered(np.concatenate(leads), answer, log2), np.cumsum([len(x) for x in leads])[:-1])
-            found = []
-            for (lo, hi, sums, rows, bounds, starts, which), again in zip(held, twice, strict=True):
+            held.reverse()  # popped in order, so a block's arrays go when it is done
+            found, n = [], 0
+            for again in twice:
+                lo, hi, sums, rows, bounds, starts, which = held.pop()
                 starts = starts[again[which]]
                 row = rows[starts]
                 found.append((*[between(s, starts, starts + window) for s in sums], ids[lo:hi][row], keys[lo:hi][row], starts - bounds[row]))
-            del held
-            if any(len(x[0]) for x in found):
-                out.extend(pa.Table.from_batches([x]) for x in _emit(*map(np.concatenate, zip(*found, strict=True)), window, buckets))
+                n += len(starts)
+                if n and (n >= _FLUSH or not held):
+                    out.extend(pa.Table.from_batches([x]) for x in _emit(*map(np.concatenate, zip(*found, strict=True)), window, buckets))
+                    found, n = [], 0
         return pa.concat_tables(out)
 
     def group(table: pa.Table) -> pa.Table:

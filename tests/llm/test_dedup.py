@@ -24,6 +24,15 @@ def test_substring_dedup_against_brute_force(spark, seed):
         assert r["kept_text"] == " ".join(w for w, g in zip(own, gone, strict=True) if not g)
 
 
+def test_substring_dedup_in_many_chunks_and_flushes(spark, monkeypatch):
+    """Texts packed into several chunks, each of several blocks whose windows are emitted a few at a time."""
+    rows = corpus(seed=6)
+    plain = {r["doc_id"]: tuple(r) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "_FLUSH", 40)
+    assert {r["doc_id"]: tuple(r) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()} == plain
+
+
 def test_substring_dedup_edges(spark):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(30))
