@@ -9,8 +9,9 @@ replicated to every anchor whose words satisfy both for block distances that sum
 `DISTANCE` at most, and there meets x.  A pair needs to meet once, so y visits only anchors
 below its own home.  Homes and visitors are compared anchor by anchor.
 
-Equal fingerprints are one node, so a group of copies costs one fingerprint.  Visitors of an
-anchor are dealt over `_SALTS` tasks, each with all of the anchor's homes, and a task turns
+Equal fingerprints are one node, so a group of copies costs one fingerprint.  Homes and
+visitors are counted first; those of an anchor with many are dealt over a grid of parts, each
+of bounded size, in which every home meets every visitor once.  A task turns
 the links it finds into spanning stars, so dense groups yield no table of all pairs.
 
 Defined cases: null or empty text has fingerprint zero, linked like any other; a null doc_id counts
@@ -35,7 +36,11 @@ from .textview import mix, ranges
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
-_SALTS = 4
+#: Anchors are counted by hash in so many cells: the list of hot cells is bounded at every size.
+_CELLS = 1 << 20
+#: Homes and visitors of one part, or four times what an average cell has, if that is more.
+_HOMES = 1 << 14
+_VISITORS = 1 << 18
 _BITS = 23
 _MASK = (1 << _BITS) - 1
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -136,10 +141,63 @@ def visits(fp: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return own, row[keep], anchor[keep]
 
 
+def _cell(anchor: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(anchor.astype(np.uint64)) % np.uint64(cells)).astype(np.int64)
+
+
+def hot_cells(distinct: DataFrame, n: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of anchors with more homes or visitors than a part holds, in order, and the parts of each of the two.
+
+    As a hot cell has four times the average of either, there are at most `_CELLS` / 2 of them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, visitors = np.zeros(_CELLS, np.int64), np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for lo in range(0, len(fps), 20_000):
+                own, _, anchor = visits(fps[lo : lo + 20_000], blocks)
+                homes += np.bincount(_cell(own, _CELLS), minlength=_CELLS)
+                visitors += np.bincount(_cell(anchor, _CELLS), minlength=_CELLS)
+        cell = np.flatnonzero(visitors)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, homes[cell], visitors[cell])], names=["cell", "homes", "visitors"])
+
+    loads = distinct.mapInArrow(lean(count), "cell long, homes long, visitors long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
+    all_visits = loads.agg(F.sum("visitors").alias("n"))
+    most = F.greatest(F.lit(_VISITORS), F.col("n") * 4 / _CELLS)
+    most_homes = max(_HOMES, 4 * n // _CELLS)
+    parts = loads.join(F.broadcast(all_visits)).select("cell", F.ceil(F.col("homes") / most_homes).alias("h"), F.ceil(F.col("visitors") / most).alias("v"))
+    hot = np.array([tuple(r) for r in parts.filter("h > 1 OR v > 1").orderBy("cell").collect()], np.int64).reshape(-1, 3)
+    return hot[:, 0], np.maximum(hot[:, 1], 1), np.maximum(hot[:, 2], 1)
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b): links with the components of all pairs of distinct fingerprints within DISTANCE bits."""
     blocks = 1 if n < TWO_BLOCKS_FROM else 2
     buckets = max(64, n * 40 // 1_000_000)
+    cells, home_parts, visitor_parts = hot_cells(distinct, n, blocks)
+
+    def dealt(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of the homes and of the visitors of each anchor."""
+        h, v = np.ones(len(anchor), np.int64), np.ones(len(anchor), np.int64)
+        if len(cells):
+            cell = _cell(anchor, _CELLS)
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            hot = cells[at] == cell
+            h[hot], v[hot] = home_parts[at[hot]], visitor_parts[at[hot]]
+        return h, v
+
+    def places(anchor: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """One number a part of an anchor; should two share it, more is compared and nothing lost."""
+        return mix(mix(anchor.astype(np.uint64)) ^ (i << 32 | j).astype(np.uint64))
+
+    def records(place: np.ndarray, value: np.ndarray, is_home: bool) -> Iterator[pa.RecordBatch]:
+        bucket = (place % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            part = order[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[part[0]])], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (place[part].view(np.int64), value[part], np.full(b - a, is_home))]], names=["bucket", "place", "fp", "home"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,16 +205,19 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             for lo in range(0, len(fps), 20_000):
                 fp = fps[lo : lo + 20_000]
                 own, row, anchor = visits(fp, blocks)
-                place = np.concatenate((anchor, np.tile(own, _SALTS)))
-                salt = np.concatenate((mix(fp.view(np.uint64))[row].astype(np.int64) % _SALTS, np.repeat(np.arange(_SALTS), len(fp))))
-                value = np.concatenate((fp[row], np.tile(fp, _SALTS)))
-                is_home = np.arange(len(place)) >= len(anchor)
-                bucket = (mix((place * _SALTS + salt).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((is_home, bucket))
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    part = order[a:b]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[part[0]])], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in ((place * _SALTS + salt)[part], value[part], is_home[part])]], names=["bucket", "place", "fp", "home"])
+                for at, value, is_home in ((own, fp, True), (anchor, fp[row], False)):
+                    h, v = dealt(at)
+                    mine, others = (h, v) if is_home else (v, h)
+                    part = (mix(value.view(np.uint64)) % mine.astype(np.uint64)).astype(np.int64)
+                    total, done = np.cumsum(others), 0
+                    while done < len(at):
+                        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _PAIRS, side="right")))
+                        copies = others[done:end]
+                        k = done + np.repeat(np.arange(end - done), copies)
+                        other = ranges(np.zeros(end - done, np.int64), copies)
+                        i, j = (part[k], other) if is_home else (other, part[k])
+                        yield from records(places(at[k], i, j), value[k], is_home)
+                        done = end
 
     def compare(table: pa.Table) -> pa.Table:
         place, fp, is_home = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("place", np.int64), ("fp", np.int64), ("home", np.bool_)))

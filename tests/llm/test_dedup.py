@@ -155,6 +155,30 @@ def test_simhash_components_against_brute_force(spark, monkeypatch):
         assert got == {i: (fps[i], expected[i]) for i in fps}
 
 
+def test_simhash_splits_hot_anchors(spark, monkeypatch):
+    """Fingerprints that crowd around a few anchors, dealt over grids of parts: the same links as before."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    bits = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) for b in base]))
+    apart = np.bitwise_count(bits[:, None] ^ bits[None, :])
+    a, b = np.nonzero(apart <= simhash.DISTANCE)
+    expected = components(bits.tolist(), zip(bits[a].tolist(), bits[b].tolist(), strict=True))
+    distinct = spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "fp long").repartition(5)
+    monkeypatch.setattr(simhash, "_CELLS", 1 << 12)
+    for homes, visitors in ((1 << 14, 1 << 18), (8, 20)):
+        monkeypatch.setattr(simhash, "_HOMES", homes)
+        monkeypatch.setattr(simhash, "_VISITORS", visitors)
+        hot = simhash.hot_cells(distinct, len(bits), 1)
+        assert (len(hot[0]) > 0) == (homes == 8) and all((x >= 1).all() for x in hot[1:])
+        found = C.components(simhash.links(distinct, len(bits))).collect()
+        got = {r["node"] % (1 << 64): r["component"] % (1 << 64) for r in found}
+        groups, same = {}, {}
+        for x in bits.tolist():
+            groups.setdefault(got.get(x, x), set()).add(x)
+            same.setdefault(expected[x], set()).add(x)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
+
+
 def test_simhash_edges(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
     got = simhash.simhash_components(frame(spark, [(3, "a b c d"), (3, "a b c d"), (None, "a b c d")])).collect()
