@@ -36,6 +36,8 @@ from .textview import mix, ranges
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
+#: Visits of a fingerprint on one and on two blocks, the average of random bits.
+_VISITS = {1: 36, 2: 151}
 #: Anchors are counted by hash in so many cells: the list of hot cells is bounded at every size.
 _CELLS = 1 << 20
 #: Homes and visitors of one part, or four times what an average cell has, if that is more.
@@ -163,10 +165,8 @@ def hot_cells(distinct: DataFrame, n: int, blocks: int) -> tuple[np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, homes[cell], visitors[cell])], names=["cell", "homes", "visitors"])
 
     loads = distinct.mapInArrow(lean(count), "cell long, homes long, visitors long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
-    all_visits = loads.agg(F.sum("visitors").alias("n"))
-    most = F.greatest(F.lit(_VISITORS), F.col("n") * 4 / _CELLS)
-    most_homes = max(_HOMES, 4 * n // _CELLS)
-    parts = loads.join(F.broadcast(all_visits)).select("cell", F.ceil(F.col("homes") / most_homes).alias("h"), F.ceil(F.col("visitors") / most).alias("v"))
+    most_homes, most_visitors = max(_HOMES, 4 * n // _CELLS), max(_VISITORS, 4 * _VISITS[blocks] * n // _CELLS)
+    parts = loads.select("cell", F.ceil(F.col("homes") / most_homes).alias("h"), F.ceil(F.col("visitors") / most_visitors).alias("v"))
     hot = np.array([tuple(r) for r in parts.filter("h > 1 OR v > 1").orderBy("cell").collect()], np.int64).reshape(-1, 3)
     return hot[:, 0], np.maximum(hot[:, 1], 1), np.maximum(hot[:, 2], 1)
 
@@ -174,7 +174,7 @@ def hot_cells(distinct: DataFrame, n: int, blocks: int) -> tuple[np.ndarray, np.
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b): links with the components of all pairs of distinct fingerprints within DISTANCE bits."""
     blocks = 1 if n < TWO_BLOCKS_FROM else 2
-    buckets = max(64, n * 40 // 1_000_000)
+    buckets = max(64, n * _VISITS[blocks] // 1_000_000)
     cells, home_parts, visitor_parts = hot_cells(distinct, n, blocks)
 
     def dealt(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
