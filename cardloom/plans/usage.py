@@ -13,7 +13,7 @@ _stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)  # noqa: E73
 
 
 def _keys(spark, sf):
-    return D.table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_sub"))
+    return D.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_sub"))
 
 
 def usage_summary(spark, sf):
@@ -60,10 +60,10 @@ _U, _S = D.with_views("usage"), D.with_views("searches")
 _SUM = "ok AS (SELECT user_sub, count(*) AS n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_used_at FROM usage WHERE status = 'success' GROUP BY 1)"
 _NORM = r"lower(trim(regexp_replace(raw_query, '\s+', ' ', 'g')))"
 SQL = {
-    "usage_summary": f"{_U}, {_SUM} SELECT c_custkey AS user_sub, coalesce(n, 0) AS searches, last_used_at FROM customer LEFT JOIN ok ON user_sub = c_custkey WHERE c_custkey % 3 = 0",
+    "usage_summary": f"{_U}, {_SUM} SELECT c_custkey AS user_sub, coalesce(n, 0) AS searches, last_used_at FROM customer LEFT JOIN ok ON user_sub = c_custkey",
     "status_histogram": f"{_U} SELECT user_sub, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'quota_rejected') AS quota_rejected FROM usage GROUP BY 1",
     "query_hash_groups": f"{_S} SELECT sha256({_NORM}) AS query_hash, count(*) AS searches, count(DISTINCT session_id) AS sessions, min(substr(sha256(trim(raw_query)), 1, 16)) AS log_hash FROM searches GROUP BY 1",
     "exposure_explode": f"{_S}, m AS (SELECT session_id, turn, regexp_extract_all(lower(raw_query), '[a-z0-9]+')[1:5] AS t FROM searches) SELECT session_id, turn, unnest(t) AS node_id, generate_subscripts(t, 1) AS rank FROM m",
     "session_paths": f"{_S}, h AS (SELECT session_id, turn, sha256({_NORM}) AS query_hash FROM searches) SELECT session_id, turn, row_number() OVER w AS step, query_hash, lag(query_hash) OVER w AS previous_hash FROM h WINDOW w AS (PARTITION BY session_id ORDER BY turn)",
-    "token_usage_rows": f"{_U}, {_SUM} SELECT c_custkey * 10 AS position, c_custkey AS fingerprint, coalesce(n, 0) AS searches, last_used_at FROM customer LEFT JOIN ok ON user_sub = c_custkey WHERE c_custkey % 3 = 0",
+    "token_usage_rows": f"{_U}, {_SUM} SELECT c_custkey * 10 AS position, c_custkey AS fingerprint, coalesce(n, 0) AS searches, last_used_at FROM customer LEFT JOIN ok ON user_sub = c_custkey",
 }

@@ -43,7 +43,7 @@ def conditional_request_upsert(spark, sf):
         F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")).alias("fingerprint"),
         F.col("o_orderdate").cast("timestamp").alias("claimed_at"),
     )
-    asked = D.table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 10 == 0, 50_000_000).otherwise(0)).alias("scope"), F.lit("f0").alias("fingerprint"))
+    asked = D.table(spark, sf, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 10 == 0, 50_000_000).otherwise(0)).alias("scope"), F.lit("f0").alias("fingerprint"))
     return K.request_upsert(state, asked, F.lit("1995-06-17 00:00:00").cast("timestamp"))
 
 
@@ -112,8 +112,8 @@ def classification_moves(spark, sf):
 
 def continuation_drain(spark, sf):
     e = D.table(spark, sf, "events")
-    requests = e.select(F.col("user_id").alias("scope_id"), F.col("event_id").alias("node_id"), F.col("ts").cast("timestamp").alias("created_at")).filter("node_id % 20 = 0")
-    return K.drained(requests, F.lit("2024-01-31 00:00:00").cast("timestamp"), 5, 26 * 86_400).select("scope_id", "node_id")
+    requests = e.select(F.col("user_id").alias("scope_id"), F.col("event_id").alias("node_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    return K.drained(requests, F.lit("2024-01-31 00:00:00").cast("timestamp"), 70, 2_585_000).select("scope_id", "node_id")
 
 
 def continuation_work(spark, sf):
@@ -168,7 +168,7 @@ SQL = {
       j AS (SELECT request_id, CASE WHEN r.key IS NULL OR first[1] = request_id THEN 'new' WHEN first[2] = event_type THEN 'replay' ELSE 'conflict' END AS outcome, first[1] AS first_id FROM r LEFT JOIN f USING (key))
       SELECT request_id, outcome, CASE WHEN outcome = 'replay' THEN first_id END AS same_as FROM j""",
     "conditional_request_upsert": """WITH s AS (SELECT o_orderkey AS scope, CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, 'f' || (o_orderkey % 3) AS fingerprint, o_orderdate AS claimed_at FROM orders),
-      q AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 0 THEN 50000000 ELSE 0 END AS scope, 'f0' AS wanted FROM orders WHERE o_orderkey % 2 = 0),
+      q AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 0 THEN 50000000 ELSE 0 END AS scope, 'f0' AS wanted FROM orders),
       j AS (SELECT scope, status, fingerprint, wanted, coalesce(wanted IS NULL OR (status = 'running' AND claimed_at >= TIMESTAMP '1995-06-17') OR (status = 'pending' AND fingerprint = wanted), false) AS stay FROM s FULL JOIN q USING (scope))
       SELECT scope, CASE WHEN stay THEN status ELSE 'pending' END AS status, CASE WHEN stay THEN fingerprint ELSE wanted END AS fingerprint, CASE WHEN status IS NULL THEN 'inserted' WHEN stay THEN 'left' ELSE 'reset' END AS action FROM j""",
     "proposal_validation": f"""WITH {_PROP} SELECT proposal_id, CASE WHEN trim(reason) = '' THEN 'reason required' WHEN kind <> 'create' AND base_version > 2 THEN 'base version missing' WHEN kind = 'edit' AND title = 'Same' THEN 'nothing changed' END AS problem FROM prop""",
@@ -180,7 +180,7 @@ SQL = {
       j AS (SELECT r.node_id, r.scope_id, t.id AS target_id, CASE WHEN a.taxonomy_node_id IS DISTINCT FROM r.scope_id THEN 'stale' WHEN target = 'unclassified' THEN 'stay' WHEN t.id IS NULL THEN 'unknown child' ELSE 'move' END AS outcome
         FROM r LEFT JOIN tree t ON t.parent_id = r.scope_id AND lower(t.name) = target LEFT JOIN assigned a ON a.node_id = r.node_id)
       SELECT node_id, outcome, CASE outcome WHEN 'move' THEN target_id WHEN 'stay' THEN scope_id END AS target_id FROM j""",
-    "continuation_drain": """WITH q AS (SELECT user_id AS scope_id, event_id AS node_id, ts FROM events WHERE event_id % 20 = 0), d AS (SELECT scope_id FROM q GROUP BY 1 HAVING count(*) >= 5 OR date_diff('second', date_trunc('second', min(ts)), TIMESTAMP '2024-01-31') >= 26 * 86400) SELECT scope_id, node_id FROM q SEMI JOIN d USING (scope_id)""",
+    "continuation_drain": """WITH q AS (SELECT user_id AS scope_id, event_id AS node_id, ts FROM events), d AS (SELECT scope_id FROM q GROUP BY 1 HAVING count(*) >= 70 OR date_diff('second', date_trunc('second', min(ts)), TIMESTAMP '2024-01-31') >= 2585000) SELECT scope_id, node_id FROM q SEMI JOIN d USING (scope_id)""",
     "continuation_work": f"""{D.with_views("tree", "assigned")}, jk AS (SELECT o_custkey + 1 AS node_id, max(o_orderkey) AS k FROM orders GROUP BY 1), ev AS (SELECT event_id, ts, user_id * 10 + event_id % 10 + 1 AS node_id FROM events),
       q AS (SELECT (CASE WHEN event_id % 4 = 0 THEN 1 ELSE coalesce(taxonomy_node_id, 1) END)::BIGINT AS scope_id, ev.node_id, min(event_id) AS request_id, max(ts) AS updated_at FROM ev LEFT JOIN assigned a ON a.node_id = ev.node_id GROUP BY 1, 2),
       o AS (SELECT *, row_number() OVER (ORDER BY updated_at, request_id) - 1 AS place, count(*) OVER () AS n FROM q), tick AS (SELECT *, count(*) OVER (PARTITION BY place // 64) AS size, min(updated_at) OVER (PARTITION BY place // 64) AS oldest FROM o)
