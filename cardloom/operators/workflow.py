@@ -106,9 +106,15 @@ def preflight(scopes: DataFrame, assigned: DataFrame, jobs: DataFrame) -> DataFr
 
 
 def allocate(waiting: DataFrame, limit: int) -> DataFrame:
-    """(scope_id, waiting, granted): a shared limit dealt over scopes (scope_id, path, waiting) in the order of their path."""
+    """(scope_id, waiting, granted): a shared limit dealt over scopes (scope_id, path, waiting), a row each, in the order of their path.
+
+    A scope that waits takes one at least, so none after the first `limit` of them gets any: only those meet in one task.
+    """
+    first = waiting.filter("waiting > 0").orderBy("path", "scope_id").limit(max(limit, 0))
     before = F.coalesce(F.sum("waiting").over(W.orderBy("path", "scope_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return waiting.select("scope_id", "waiting", F.greatest(F.lit(0), F.least(F.col("waiting"), F.lit(limit) - before)).cast("long").alias("granted"))
+    dealt = first.select(F.col("scope_id").alias("_scope"), F.least(F.col("waiting"), F.lit(limit) - before).alias("_granted"))
+    rows = waiting.join(dealt, F.col("scope_id").eqNullSafe(F.col("_scope")), "left")
+    return rows.select("scope_id", "waiting", F.greatest(F.lit(0), F.coalesce("_granted", F.lit(0))).cast("long").alias("granted"))
 
 
 def classify(results: DataFrame, assigned: DataFrame, children: DataFrame) -> DataFrame:

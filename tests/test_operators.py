@@ -304,3 +304,11 @@ def test_labels_and_packing(spark):
     items = spark.createDataFrame([("q", i, b) for i, b in enumerate([40, 40, 40, 200, 1])], "queue string, item_id long, bytes long")
     assert [r["batch"] for r in sorted(layout.packed_batches(items, 2, 100).collect(), key=lambda r: r["item_id"])] == [0, 0, 1, 2, 3]
     pd.testing.assert_frame_equal(pd.DataFrame({"r": [0, 1, 2, 2]}), spark.createDataFrame([(0,), (1,), (7,), (18,)], "i long").select(FL.ring_slot(F.col("i"))["ring"].alias("r")).toPandas(), check_dtype=False)
+
+
+@pytest.mark.parametrize("limit, granted", [(0, [0, 0, 0, 0, 0]), (3, [0, 2, 1, 0, 0]), (7, [0, 2, 4, 1, 0]), (50, [0, 2, 4, 3, 0])])
+def test_allocate_deals_a_shared_limit_in_path_order(spark, limit, granted):
+    rows = [(9, "a", 0), (4, "b", 2), (5, "b", 4), (1, "c", 3), (2, "d", None)]
+    waiting = spark.createDataFrame(rows, "scope_id long, path string, waiting long").repartition(3)
+    got = {r["scope_id"]: (r["waiting"], r["granted"]) for r in workflow.allocate(waiting, limit).collect()}
+    assert got == {i: (n, g) for (i, _, n), g in zip(rows, granted, strict=True)}
