@@ -115,6 +115,11 @@ SQL = {
       SELECT p_partkey, ring, p_partkey - first AS slot, capacity FROM part JOIN rings ON p_partkey >= first AND p_partkey < first + capacity""",
     "request_bytes": """WITH s AS (SELECT doc_id, source, strlen('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}')::BIGINT AS bytes FROM documents)
       SELECT doc_id, bytes, (sum(bytes) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS running_bytes FROM s""",
+    "byte_packing": """WITH RECURSIVE r AS (SELECT source AS queue, doc_id AS item_id, strlen('{"doc_id":' || doc_id || ',"text":' || to_json(text) || '}')::BIGINT AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+      f AS (SELECT queue, item_id, i, 0::BIGINT AS batch, 1 AS n, bytes AS size FROM r WHERE i = 1
+        UNION ALL SELECT r.queue, r.item_id, r.i, batch + CASE WHEN n >= 50 OR size + bytes > 65536 THEN 1 ELSE 0 END, CASE WHEN n >= 50 OR size + bytes > 65536 THEN 1 ELSE n + 1 END, CASE WHEN n >= 50 OR size + bytes > 65536 THEN bytes ELSE size + bytes END
+        FROM f JOIN r ON r.queue = f.queue AND r.i = f.i + 1)
+      SELECT queue, item_id, batch FROM f""",
     "layout_slice_edges": f"""{_SEED}, kept AS (SELECT scope_id, node_id FROM placed WHERE x BETWEEN -500 AND 500 AND y BETWEEN -300 AND 300)
       SELECT scope_id, node_a_id, node_b_id FROM projection WHERE (scope_id, node_a_id) IN (FROM kept) AND (scope_id, node_b_id) IN (FROM kept)""",
     "focus_sets": f"{_GRAPH} SELECT DISTINCT node_id, node_id AS focus_id, NULL::VARCHAR AS edge_id FROM graph UNION SELECT node_a_id, node_b_id, node_a_id || ':' || node_b_id FROM projection UNION SELECT node_b_id, node_a_id, node_a_id || ':' || node_b_id FROM projection",

@@ -140,6 +140,10 @@ _ASKED = """asked AS (SELECT l_orderkey AS request_id, l_linenumber::BIGINT AS p
   j AS (SELECT asked.*, p_name AS title, CASE WHEN p_size <> 7 THEN p_size END AS version FROM asked LEFT JOIN part ON p_partkey = node_id),
   r AS (SELECT request_id, CASE WHEN count(node_id) = 0 THEN 'no ids' WHEN count(DISTINCT node_id) < count(node_id) THEN 'duplicate ids' WHEN count(*) FILTER (node_id % 17 = 0) > 0 THEN 'outside the graph' WHEN count(version) < count(node_id) THEN 'incomplete' END AS problem FROM j GROUP BY 1)"""
 SQL = {
+    "reconcile_ticks": """WITH RECURSIVE r AS (SELECT event_type AS runner, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events),
+      f AS (SELECT runner, t, i, t AS armed, false AS runs FROM r WHERE i = 1
+        UNION ALL SELECT r.runner, r.t, r.i, CASE WHEN r.t - armed >= 21600 THEN r.t ELSE armed END, r.t - armed >= 21600 FROM f JOIN r ON r.runner = f.runner AND r.i = f.i + 1)
+      SELECT runner, t AS "at", runs FROM f""",
     "event_fold": """WITH e AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'x' WHEN event_id % 3 = 0 THEN 'ended' ELSE 'accepted' END AS kind, user_id % 5 <> 0 AND user_id IN (SELECT c_custkey FROM customer) AS known FROM events),
       p AS (SELECT *, CASE WHEN NOT known THEN 'job not found' WHEN kind = 'x' THEN 'unsupported event type' WHEN kind = 'accepted' AND user_id % 4 = 0 THEN 'result not ready' WHEN kind = 'ended' AND event_id % 9 = 0 THEN 'terminal state missing' END AS last_error FROM e)
       SELECT event_id, CASE WHEN last_error IS NULL THEN 'processed' ELSE 'pending' END AS state, CASE WHEN last_error IS NULL THEN CASE kind WHEN 'accepted' THEN 'accepted' ELSE 'FAILED' END END AS job_state, last_error FROM p""",
