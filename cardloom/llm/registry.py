@@ -16,6 +16,7 @@ _WHERE = {
     "op8_sentencepiece": "sentencepiece_lattice",
     "op9_url_filters": "url_filters",
     "op10_lm_scoring": "lm_scoring",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 

@@ -166,3 +166,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     step = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return np.arange(total, dtype=np.int64) + step
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Index of each span's bytes among the distinct ones, by comparison of bytes and not of hashes, and these as a binary array in the order in which they come."""
+    size = ends - starts
+    flat = np.ascontiguousarray(data[ranges(starts, size)])
+    off = np.concatenate(([0], np.cumsum(size)))
+    spans = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(flat)]).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary
