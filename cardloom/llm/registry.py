@@ -17,6 +17,7 @@ _WHERE = {
     "op9_url_filters": "url_filters",
     "op10_lm_scoring": "lm_scoring",
     "op11_periodic_runs": "periodic_runs",
+    "op12_tokenizer_alignment": "tokenizer_alignment",
 }
 
 
