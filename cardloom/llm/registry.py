@@ -18,6 +18,7 @@ _WHERE = {
     "op10_lm_scoring": "lm_scoring",
     "op11_periodic_runs": "periodic_runs",
     "op12_tokenizer_alignment": "tokenizer_alignment",
+    "op13_quality_classifier": "quality_classifier",
 }
 
 
