@@ -10,7 +10,8 @@ gets back the answers for its own cells.  Counting every window would make the s
 sevenfold larger, so a window is counted by its leading gram (the run of `GRAM` words
 of least hash in it): equal windows have equal leading grams at equal places, so a gram's
 count is never below that of any window it leads.  Pass two takes only windows whose gram is estimated
-repeated, and groups them by a 128-bit hash of the words: each chunk first settles the copies it
+repeated, and groups them by 128 bits: two hashes of the words' two independent digests, neither of which is a sum
+that regular sequences could cancel.  Each chunk first settles the copies it
 holds itself, so a window that stands in a third of all documents reaches the
 shuffle once a chunk, and the buckets settle the rest.
 
@@ -33,29 +34,29 @@ from pyspark.sql import functions as F
 
 from . import countmin
 from .jobs import BUCKET_BYTES, bounded_batches, lean, row_key, set_aside, stored, text_bytes
-from .textview import between, blocks, byte_prefix, cut, inside, leaders, merge_spans, pairs, prefix, words
+from .textview import blocks, cut, inside, keyed, leaders, merge_spans, pairs, runs_at, runs_of, words
 
 WINDOW = 20
 GRAM = 8
 _LAST = np.iinfo(np.int64).max
 #: Windows of a chunk that are settled and emitted together.
 _FLUSH = 500_000
-_SEEDS = (11, 12)
 
 
 def _word_hashes(data: np.ndarray, off: np.ndarray):
+    """Two independent 64-bit hashes of each word, each word's row, and the rows' word offsets."""
     starts, ends, bounds = words(data, off)
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return [prefix(between(byte_prefix(data, seed), starts, ends)) for seed in _SEEDS], rows, bounds
+    which, keys = keyed(data, starts, ends)
+    return [keys[which, half] for half in (0, 1)], rows, bounds
 
 
-def _leading(sums: np.ndarray, rows: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+def _leading(words_: np.ndarray, rows: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     """Start words of the valid windows, the hashes of their distinct leading grams in order, and each window's index among these."""
     n = len(rows)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.arange(n - gram + 1)
-    grams = between(sums, at, at + gram)
+    grams = runs_of(words_, gram)
     place = leaders(grams, window - gram + 1)
     starts = np.flatnonzero(inside(bounds[1:], rows[: len(place)], np.arange(len(place)), window))
     fresh = np.diff(place[starts], prepend=-1) != 0
@@ -108,8 +109,8 @@ def _chunk_keys(window: int, gram: int):
         for chunk, sizes, texts in zip(*[batch.column(x) for x in ("chunk", "sizes", "texts")], strict=True):
             found = []
             for _, _, data, off in opened(texts.as_py(), sizes.as_py()):
-                sums, rows, bounds = _word_hashes(data, off)
-                found.append(_leading(sums[0], rows, bounds, window, gram)[1])
+                hashes, rows, bounds = _word_hashes(data, off)
+                found.append(_leading(hashes[0], rows, bounds, window, gram)[1])
             yield chunk.as_py(), np.concatenate(found)
 
     return keys_of
@@ -191,18 +192,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             ids, keys = np.frombuffer(docs, np.int64), np.frombuffer(keys, np.int64)
             held, leads = [], []
             for lo, hi, data, off in opened(texts, sizes):
-                sums, rows, bounds = _word_hashes(data, off)
-                starts, lead, which = _leading(sums[0], rows, bounds, window, gram)
-                held.append((lo, hi, sums, rows, bounds, starts, which))
+                hashes, rows, bounds = _word_hashes(data, off)
+                starts, lead, which = _leading(hashes[0], rows, bounds, window, gram)
+                held.append((lo, hi, hashes, rows, bounds, starts, which))
                 leads.append(lead)
             twice = np.split(countmin.answered(np.concatenate(leads), answer, log2), np.cumsum([len(x) for x in leads])[:-1])
             held.reverse()  # popped in order, so a block's arrays go when it is done
             found, n = [], 0
             for again in twice:
-                lo, hi, sums, rows, bounds, starts, which = held.pop()
+                lo, hi, hashes, rows, bounds, starts, which = held.pop()
                 starts = starts[again[which]]
                 row = rows[starts]
-                found.append((*[between(s, starts, starts + window) for s in sums], ids[lo:hi][row], keys[lo:hi][row], starts - bounds[row]))
+                found.append((*[runs_at(h, starts, window) for h in hashes], ids[lo:hi][row], keys[lo:hi][row], starts - bounds[row]))
                 n += len(starts)
                 if n and (n >= _FLUSH or not held):
                     out.extend(pa.Table.from_batches([x]) for x in _emit(*map(np.concatenate, zip(*found, strict=True)), window, buckets))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from .jobs import FORGET
 
@@ -168,10 +169,47 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + step
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Index of each span's bytes among the distinct ones, by comparison of bytes and not of hashes, and these as a binary array in the order in which they come."""
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, all_words: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """Index of each span's bytes among the distinct ones, by comparison of bytes and not of hashes, and these as a binary array in the order in which they come.
+
+    all_words says that the spans are all words of the data, whose bytes are then found without an index for each.
+    """
     size = ends - starts
-    flat = np.ascontiguousarray(data[ranges(starts, size)])
+    flat = data[~WHITE[data]] if all_words else np.ascontiguousarray(data[ranges(starts, size)])
     off = np.concatenate(([0], np.cumsum(size)))
     spans = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(flat)]).dictionary_encode()
     return spans.indices.to_numpy(), spans.dictionary
+
+
+def keyed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each word among the distinct ones (the spans are all words of the data), and these ones' XXH3 digests as rows of two independent 64-bit halves."""
+    which, spans = distinct(data, starts, ends, all_words=True)
+    return which, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans.to_pylist())), "<u8").reshape(-1, 2)
+
+
+def _after(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Hash of a pair in order.  The scrambling between the products keeps regular sequences apart, which a polynomial does not."""
+    return mix(first * np.uint64(0x9FB21C651E98DF25) + mix(then ^ np.uint64(0x632BE59BD9B4E019)))
+
+
+def runs_of(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of `length` values, built from runs of powers of two."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power, size = None, 0, values, 1
+    while True:
+        if length & size:
+            out = power[:n] if out is None else _after(out, power[done : done + n])
+            done += size
+        if 2 * size > length:
+            return out
+        power, size = _after(power[:-size], power[size:]), 2 * size
+
+
+def runs_at(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the run of `length` values at each start, value by value."""
+    out = values[starts]
+    for k in range(1, length):
+        out = _after(out, values[starts + k])
+    return out

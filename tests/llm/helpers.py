@@ -23,6 +23,14 @@ def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
+def clash() -> tuple[str, str]:
+    """Two words that polynomial hashes modulo powers of two take for one, whatever their base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
 def corpus(seed: int = 1, n: int = 40) -> list[tuple[int, str | None]]:
     """Documents with copies, near copies, shared passages, blanks, empties and one long text."""
     rng = random.Random(seed)
@@ -47,6 +55,9 @@ def corpus(seed: int = 1, n: int = 40) -> list[tuple[int, str | None]]:
             text = f"  {text}\t\t{say(8)}\r\n{say(8)}  "
         rows.append((i * 3, text))
     rows += [(n * 3, None), (n * 3 + 1, passage * 40)]
+    one, other = clash()
+    tail = say(19)
+    rows += [(n * 3 + 2, f"{one} {tail}"), (n * 3 + 3, f"{other} {tail}"), (n * 3 + 4, f"{one}\n{other}\n{one}"), (n * 3 + 5, " ".join(c + "x" for c in one[:256])), (n * 3 + 6, " ".join(c + "x" for c in other[:256]))]
     rng.shuffle(rows)
     return rows
 
