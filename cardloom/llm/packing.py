@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import bounded_batches, lean, stored
-from .textview import between, blocks, byte_prefix, factorized, ranges, words
+from .textview import blocks, distinct, ranges, words
 
 LENGTH = 2048
 END_ID = 1
@@ -88,46 +88,33 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._keys = np.zeros(0, np.uint64)
-        self._slot = np.zeros(0, np.int64)
+        self._slots: dict[bytes, int] = {}
         self._bounds = np.zeros(1, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         got: list[list[int]] = []
-        for lo in range(0, len(texts), 5000):
-            got += self._encode(texts[lo : lo + 5000])
+        for lo in range(0, len(pieces), 5000):
+            got += self._encode([x.decode() for x in pieces[lo : lo + 5000]])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        slot = np.arange(len(got)) + len(self._bounds) - 1
+        self._slots.update(zip(pieces, range(len(self._slots), len(self._slots) + len(pieces)), strict=True))
         self._ids = np.concatenate((self._ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))))
         self._bounds = np.concatenate((self._bounds, self._bounds[-1] + np.cumsum(sizes)))
-        order = np.argsort(keys)
-        keys, slot = keys[order], slot[order]
-        at = np.searchsorted(self._keys, keys)
-        self._keys, self._slot = np.insert(self._keys, at, keys), np.insert(self._slot, at, slot)
 
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and each row's id count."""
         data, starts, ends, bounds = units(data, off, self._added)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        keys = between(byte_prefix(data, 31), starts, ends)
-        first, which = factorized(keys)
-        keys = keys[first]
-        if len(self._keys) > CACHE_WORDS:
+        which, spans = distinct(data, starts, ends)
+        pieces = spans.to_pylist()
+        if len(self._slots) > CACHE_WORDS:
             self._clear()
-        at = np.searchsorted(self._keys, keys)
-        new = np.ones(len(keys), dtype=bool)
-        inside = at < len(self._keys)
-        new[inside] = self._keys[at[inside]] != keys[inside]
-        if new.any():
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self._keys, keys)
-        slot = self._slot[at][which]
+        self._learn([x for x in pieces if x not in self._slots])
+        slot = np.fromiter(map(self._slots.__getitem__, pieces), np.int64, len(pieces))[which]
         sizes = np.diff(self._bounds)[slot]
         before = np.concatenate(([0], np.cumsum(sizes)))
         return self._ids[ranges(self._bounds[slot], sizes)], np.diff(before[bounds])
