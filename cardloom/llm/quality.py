@@ -4,7 +4,8 @@ A document is kept if no rule rejects it, so the order of the rules changes cost
 verdict.  Each rule's cost and rejection rate are estimated on a bounded sample of documents (`SAMPLE`
 rows, measured inside a task), and rules are ordered by rejections per second.  A block of documents goes through the
 rules in that order; once enough of them are rejected the rest are moved together, so later rules touch only the
-bytes of documents that are still alive, and what rules share (words, hash sums) is computed when first asked for.
+bytes of documents that are still alive, and what rules share (words, their names) is computed when first asked for.  Words, lines and
+windows are compared by their bytes or by names given to distinct ones, never by hashes.
 
 `quality_filter` runs the whole cascade, the base rule's two halves (too few words, too many words in
 repeated windows) among its rules.  `quality` reports measures of every document, so it has the base rule's
@@ -26,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import bounded_batches, lean, set_aside
-from .textview import WHITE, between, blocks, byte_prefix, prefix, ranges, words
+from .textview import WHITE, blocks, distinct, factorized, ranges, words
 
-WINDOW = 8
+WINDOW = 8  # a power of two
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
 #: Documents on which the cascade's order is estimated.
 SAMPLE = 512
-_SEED = 41
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -65,12 +65,8 @@ class Measures:
         return np.diff(self._words[2])
 
     @cached_property
-    def _sums(self) -> np.ndarray:
-        return byte_prefix(self.data, _SEED)
-
-    @cached_property
-    def _word_keys(self) -> np.ndarray:
-        return between(self._sums, self._words[0], self._words[1])
+    def _word_names(self) -> np.ndarray:
+        return distinct(self.data, *self._words[:2], all_words=True)[0].astype(np.int64)
 
     def count(self, table: np.ndarray) -> np.ndarray:
         """Bytes of each row that the table marks."""
@@ -97,7 +93,7 @@ class Measures:
         starts = self._words[0]
         worded = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
         begin, end, lines = begin[worded], end[worded], lines[worded]
-        return self._repeats(lines, between(self._sums, begin, end))
+        return self._repeats(lines, distinct(self.data, begin, end)[0])
 
     def _repeats(self, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.off) - 1, np.int64)
@@ -118,8 +114,11 @@ class Measures:
         rows = np.repeat(np.arange(len(self.n_words)), self.n_words)
         at = np.arange(n - WINDOW + 1)
         at = at[bounds[1:][rows[at]] >= at + WINDOW]
-        sums = prefix(self._word_keys)
-        keys = between(sums, at, at + WINDOW)
+        names, size = self._word_names, 1
+        while size < WINDOW:  # runs of twice the words are named by the pair of names of their halves
+            names = factorized(names[:-size] * (int(names.max()) + 1) + names[size:])[1].astype(np.int64)
+            size *= 2
+        keys = names[at]
         order = np.lexsort((keys, rows[at]))
         a, r = keys[order], rows[at][order]
         same = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
