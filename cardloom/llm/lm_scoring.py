@@ -16,7 +16,7 @@ up the counts and answers every chunk in the order of its request; and the chunk
 from the answers just the slice of the automaton that its own texts can reach.  Frequent
 n-grams are thus one entry a chunk, wherever they occur.
 
-Tokens and n-grams are told apart by 64-bit hashes.
+Words are told apart by their bytes inside a chunk and by 128-bit digests between chunks, longer n-grams by 64-bit hashes of digests.
 
 Defined cases: null or empty text is the end token alone; a null doc_id hashes as the empty
 string (a training document); with no training documents N = V = 0; rows that repeat are counted
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import BUCKET_BYTES, bounded_batches, lean, stored, text_bytes
-from .textview import between, byte_prefix, column, factorized, mix, ranges, words
+from .textview import column, factorized, keyed, mix, pairs, ranges, words
 
 ORDER = 2
 MU = 8.0
@@ -47,7 +47,6 @@ SEGMENT = 192
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_SEED = 61
 
 
 def held_out(doc_id="doc_id"):
@@ -85,34 +84,26 @@ def chunks(docs: DataFrame, limit: int) -> DataFrame:
     return rows.mapInArrow(lean(gather), "chunk long, ids array<long>, held binary, sizes binary, text binary")
 
 
-def _tokens(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all documents, an end token after each, and the documents' token offsets."""
-    off = np.concatenate(([0], np.cumsum(sizes)))
+def _tokens(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's index among the chunk's distinct words, an end token (the last of them) after each text; the words' digests; and the documents' token offsets."""
     data = _LOWER[np.frombuffer(text, np.uint8)]
-    starts, ends, bounds = words(data, off)
-    step = 4 << 20
-    own = np.empty(len(starts), np.uint64)
-    for lo in range(0, len(data), step):  # words by blocks, so that no array is eight times the text
-        a, b = np.searchsorted(starts, [lo, lo + step])
-        if a < b:
-            piece = data[starts[a] : ends[b - 1]]
-            own[a:b] = between(byte_prefix(piece, _SEED), starts[a:b] - starts[a], ends[a:b] - starts[a])
-    n = np.diff(bounds) + 1
-    bounds = np.concatenate(([0], np.cumsum(n)))
-    out = np.full(int(bounds[-1]), _END)
-    out[np.delete(np.arange(len(out)), bounds[1:] - 1)] = own
-    return out, bounds
-
-
-def _grams(tokens: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-grams of order 1 to `order` that end at each token; the start mark precedes each text, shorter histories repeat the order below."""
+    starts, ends, bounds = words(data, np.concatenate(([0], np.cumsum(sizes))))
+    which, digests = keyed(data, starts, ends)
+    bounds = np.concatenate(([0], np.cumsum(np.diff(bounds) + 1)))
+    out = np.full(int(bounds[-1]), len(digests), np.int32)
+    out[np.delete(np.arange(len(out)), bounds[1:] - 1)] = which
+    return out, np.concatenate((digests, [[_END, _END]])).astype(np.uint64), bounds
+
+
+def _grams(tokens: np.ndarray, digests: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams of order 2 to `order` that end at each token; the start mark precedes each text, shorter histories repeat the order below."""
     place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-    keys, before = [tokens], tokens
+    keys, before, own = [], digests[tokens, 0], digests[tokens, 1]
     for k in range(2, order + 1):
-        last = np.empty_like(tokens)
+        last = np.empty_like(before)
         last[1:] = before[:-1]
         last[place == 0] = _START
-        key = mix(last * np.uint64(0x9FB21C651E98DF25) + tokens * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+        key = mix(last * np.uint64(0x9FB21C651E98DF25) + mix(own ^ np.uint64(0xD6E8FEB86659FD93 + k)))
         if k > 2:
             key = np.where(place < k - 2, before, key)
         keys.append(key)
@@ -134,19 +125,23 @@ def _unplanes(packed: bytes, kind: str) -> np.ndarray:
 
 
 def _distinct(row: dict, order: int):
-    """Tokens, offsets, n-gram keys by order, and per order (distinct sorted keys, each token's index, training counts)."""
+    """Token offsets, the distinct words' second digests, and per order (distinct sorted keys, each token's index, training counts)."""
     sizes = np.frombuffer(row["sizes"], np.int64)
-    tokens, bounds = _tokens(zstandard.decompress(row["text"]), sizes)
+    tokens, digests, bounds = _tokens(zstandard.decompress(row["text"]), sizes)
     train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(bounds))
-    out = []
-    for keys in _grams(tokens, bounds, order):
+    by = np.lexsort((digests[:, 1], digests[:, 0]))
+    named = [(digests[by, 0], by, tokens)]
+    for keys in _grams(tokens, digests, bounds, order):
         first, which = factorized(keys)
         by = np.argsort(keys[first])
+        named.append((keys[first[by]], by, which))
+    out = []
+    for keys, by, which in named:
         rank = np.empty(len(by), np.int32)
         rank[by] = np.arange(len(by), dtype=np.int32)
         at = rank[which]
-        out.append((keys[first[by]], at, np.bincount(at[train], minlength=len(by)).astype("<u4")))
-    return bounds, out
+        out.append((keys, at, np.bincount(at[train], minlength=len(by)).astype("<u4")))
+    return bounds, digests[named[0][1], 1], out
 
 
 class Automaton:
@@ -245,11 +240,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for k, (keys, _, counts) in enumerate(_distinct(row, order)[1]):
+                _, checks, grams = _distinct(row, order)
+                for k, (keys, _, counts) in enumerate(grams):
                     at = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(at)).tolist():
                         own = slice(at[b], at[b + 1])
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]]), pa.array([k], pa.int32()), pa.array([_planes(np.diff(keys[own], prepend=np.uint64(0)))], pa.binary()), pa.array([_planes(counts[own])], pa.binary())], names=["bucket", "chunk", "k", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]]), pa.array([k], pa.int32()), pa.array([_planes(np.diff(keys[own], prepend=np.uint64(0)))], pa.binary()), pa.array([_planes(counts[own])], pa.binary()), pa.array([None if k else checks[own].tobytes()], pa.binary())], names=["bucket", "chunk", "k", "keys", "counts", "checks"])
 
     def answer(table: pa.Table) -> pa.Table:
         out = []
@@ -259,15 +255,20 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if not rows:
                 continue
             keys = [np.cumsum(_unplanes(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-            own, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([_unplanes(r["counts"], "<u4") for r in rows]), minlength=len(own))
+            if k:
+                own, at = np.unique(np.concatenate(keys), return_inverse=True)
+                n = len(own)
+            else:  # words are told apart by both digests
+                first, at = pairs(np.concatenate(keys), np.concatenate([np.frombuffer(r["checks"], "<u8") for r in rows]))
+                n = len(first)
+            total = np.bincount(at, weights=np.concatenate([_unplanes(r["counts"], "<u4") for r in rows]), minlength=n)
             cut = np.cumsum([0, *map(len, keys)])
             for i, r in enumerate(rows):
                 out.append({"chunk": r["chunk"], "k": k, "bucket": r["bucket"], "counts": _planes(total[at[cut[i] : cut[i + 1]]].astype("<u8")), "tokens": int(total.sum()) if k == 0 and i == 0 else 0, "kinds": int((total > 0).sum()) if k == 0 and i == 0 else 0})
         return pa.Table.from_pylist(out, schema=_answers)
 
     _answers = pa.schema([("chunk", pa.int64()), ("k", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
-    asked = gathered.mapInArrow(lean(ask), "bucket int, chunk long, k int, keys binary, counts binary")
+    asked = gathered.mapInArrow(lean(ask), "bucket int, chunk long, k int, keys binary, counts binary, checks binary")
     answers = stored(asked.groupBy("bucket").applyInArrow(lean(answer), "chunk long, k int, bucket int, counts binary, tokens long, kinds long"), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
     total, kinds = sums["tokens"], sums["kinds"]
@@ -277,8 +278,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         counts = [np.concatenate([_unplanes(r["counts"], "<u8") for r in got if r["k"] == k]).astype(np.int64) for k in range(order)]
         out = []
         for row in left.to_pylist():
-            bounds, grams = _distinct(row, order)
-            starts = float(counts[0][np.searchsorted(grams[0][0], _END)])  # as many texts began as ended
+            bounds, _, grams = _distinct(row, order)
+            starts = float(counts[0][grams[0][1][bounds[1] - 1]])  # as many texts began as ended
             model = Automaton([(c, at) for c, (_, at, _) in zip(counts, grams, strict=True)], bounds, starts, total, kinds)
             base, full, known = model.root[grams[0][1]], model.score(), (counts[0] > 0)[grams[0][1]]
             sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, full, known.astype(np.int64))]
