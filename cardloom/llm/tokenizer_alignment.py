@@ -40,7 +40,7 @@ from .jobs import bounded_batches, lean, stored
 from .textview import column, distinct, ranges
 
 #: Text bytes of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Units that go to a tokenizer at once.
 UNITS = 20_000
 
