@@ -1,20 +1,26 @@
-"""Full-text search: lexemes with positions and weights, web-style queries, and cover density ranks.
+"""Full-text search: postings of lexemes in blocks, web-style queries, and cover density ranks.
 
 A text's words are its runs of letters and digits in lower case; each counts a position, stop words too, a content's after its
 title's.  Titles weigh 1.0 and contents 0.4.  A query's words must all occur; "quoted words" must follow each other, as must
-the parts of one word with marks in it; `or` separates alternatives, and a minus excludes.  An alternative that only
-excludes, or holds stop words alone, finds nothing.
+the parts of one word with marks in it; `or` separates alternatives, and a minus excludes.  An alternative of stop words alone
+finds nothing; one that only excludes finds every text without the words, at score 0 unless other words of the query are in it.
 
-Distinct words are stemmed once.  Only words that share a lexeme with a query meet the texts' words, so a text sends its hits
-and not itself; each pair of query and text is then ranked by itself, from its hits in order.
+`postings` turns texts into blocks: a row holds a lexeme's places in the texts of `BLOCK` neighbouring ids, with a bound of what
+the lexeme can add to any of their scores.  A query meets the blocks of its own lexemes only.  `found` ranks all texts that answer;
+`best` ranks the most promising blocks first and then only those whose bound reaches the score that the
+limit asks for, which leaves the result as it is.  `operators.textindex` stores blocks and keeps them up to date.
+
+A text's id must be its own; null texts are empty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +29,15 @@ from cardloom.functions import english
 from cardloom.functions import text as T
 
 TITLE, CONTENT = 1.0, 0.4
+#: Neighbouring ids that share a block.
+BLOCK = 1024
+#: Blocks of a query that are ranked before any is left out.
+FIRST = 4
+#: Up to this many distinct lexemes are pushed down to the scan by name.
+NAMED = 1000
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r'(-?)"([^"]*)"|(-?)([^\s"]+)')
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def words(text: Column) -> Column:
@@ -43,106 +56,260 @@ def parsed(query: str, config: str = "english") -> list[list[tuple[bool, list[tu
         own = [(x, i) for i, x in enumerate(said) if x is not None]
         if own:
             groups[-1].append((bool(minus or minus_word), [(x, i - own[0][1]) for x, i in own]))
-    return [g for g in groups if any(not out for out, _ in g)]
-
-
-def _meets(places: dict[str, set[int]], phrase: list[tuple[str, int]]) -> bool:
-    first = places.get(phrase[0][0], ())
-    return any(all(p + gap in places.get(x, ()) for x, gap in phrase[1:]) for p in first)
-
-
-def matches(places: dict[str, set[int]], groups, excluding: bool = True) -> bool:
-    return any(all(_meets(places, phrase) != out for out, phrase in g if excluding or not out) for g in groups)
-
-
-def cover_density(hits: list[tuple[int, str, float]], groups) -> float:
-    """Sum over the shortest stretches that answer the query: the harmonic mean of their hits' weights, less for each word in between."""
-    total, start = 0.0, 0
-    while start < len(hits):
-        places: dict[str, set[int]] = {}
-        for last in range(start, len(hits)):
-            places.setdefault(hits[last][1], set()).add(hits[last][0])
-            if matches(places, groups, excluding=False):
-                break
-        else:
-            break
-        places = {}
-        for first in range(last, start - 1, -1):
-            places.setdefault(hits[first][1], set()).add(hits[first][0])
-            if matches(places, groups, excluding=False):
-                break
-        n = last - first + 1
-        noise = hits[last][0] - hits[first][0] - (n - 1)
-        total += n / sum(1 / w for _, _, w in hits[first : last + 1]) / (1 + noise)
-        start = first + 1
-    return total
-
-
-def _stemmed(vocabulary: DataFrame, config: str) -> DataFrame:
-    """(word, lexeme) of distinct words (word), stop words left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return [g for g in groups if g]
+
+
+def occurrences(hits: list[tuple[int, str, float]], phrase: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """First and last index among the hits of each place where the phrase stands, in order."""
+    at = {(p, x): i for i, (p, x, _) in enumerate(hits)} if len(phrase) > 1 else {}
+    out = []
+    for i, (p, x, _) in enumerate(hits):
+        if x == phrase[0][0]:
+            own = [i, *(at.get((p + gap, y), -1) for y, gap in phrase[1:])]
+            if min(own) >= 0:
+                out.append((i, max(own)))
+    return out
+
+
+class Answer:
+    """What one text's hits (position, lexeme, weight), in order, say to a query."""
+
+    def __init__(self, hits: list[tuple[int, str, float]], groups):
+        self.hits = hits
+        self._groups = [[(out, occurrences(hits, phrase)) for out, phrase in g] for g in groups]
+
+    def matches(self) -> bool:
+        return any(all(bool(places) != out for out, places in g) for g in self._groups)
+
+    def title_matches(self) -> bool:
+        """Whether the title answers by itself.  Its words come before all others."""
+        title = sum(w == TITLE for _, _, w in self.hits)
+        return any(all(any(last < title for _, last in places) != out for out, places in g) for g in self._groups)
+
+    def cover_density(self) -> float:
+        """Sum over the shortest stretches that answer the query, exclusions aside: the harmonic mean of their hits' weights, less for each word in between.
+
+        One pass: for each last hit the latest first hit of a stretch that ends there; it never falls, and each new value is a stretch.
+        """
+        wanted = [[places for out, places in g if not out] for g in self._groups]
+        ends: dict[int, list[tuple[int, int, int]]] = {}
+        for g, phrases in enumerate(wanted):
+            for k, places in enumerate(phrases):
+                for first, last in places:
+                    ends.setdefault(last, []).append((g, k, first))
+        latest = [[-1] * len(phrases) for phrases in wanted]
+        inverse = np.concatenate(([0.0], np.cumsum([1 / w for _, _, w in self.hits]))) if self.hits else np.zeros(1)
+        total, before = 0.0, -1
+        free = any(not phrases for phrases in wanted)  # an alternative that only excludes is answered by any hit
+        for last in range(len(self.hits)):
+            for g, k, first in ends.get(last, ()):
+                latest[g][k] = max(latest[g][k], first)
+            first = last if free else max((min(x) for x in latest), default=-1)
+            if first > before:
+                n = last - first + 1
+                noise = self.hits[last][0] - self.hits[first][0] - (n - 1)
+                total += n / float(inverse[last + 1] - inverse[first]) / (1 + noise)
+                before = first
+        return round(total, 9)  # texts that score alike are equal, in whatever order their sums were taken
+
+
+_POSTING = "lexeme string, node_id long, titles int, positions array<int>"
+
+
+def postings(docs: DataFrame, config: str = "english", segment: int = 0) -> DataFrame:
+    """Blocks (lexeme, block, segment, nodes, titles, positions, impact) of texts (node_id, title, content); of each text's positions the first `titles` lie in its title."""
+
+    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
         for batch in batches:
-            yield batch.assign(lexeme=[english.lexeme(w, config) for w in batch["word"]])
-
-    return vocabulary.mapInPandas(run, "word string, lexeme string").filter("lexeme IS NOT NULL")
+            lists = [batch.column(c) for c in ("tw", "cw")]
+            sizes = [x.value_lengths().to_numpy() for x in lists]
+            flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            lexemes = []
+            for w in flat.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = english.lexeme(w, config)
+                lexemes.append(known[w])
+            if len(known) > 1_000_000:
+                known.clear()
+            names = pa.array(lexemes, pa.string()).dictionary_encode()
+            of = names.indices.fill_null(-1).to_numpy() if len(lexemes) else np.zeros(0, np.int64)
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+            place = np.concatenate([np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) for n in sizes]) + 1
+            split = int(sizes[0].sum())
+            place[split:] += sizes[0][row[split:]]
+            lex = of[flat.indices.to_numpy()]
+            in_title = np.arange(len(row)) < split
+            own = np.flatnonzero(lex >= 0)
+            own = own[np.lexsort((place[own], row[own], lex[own]))]
+            key = lex[own].astype(np.int64) * max(batch.num_rows, 1) + row[own]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            titles = np.add.reduceat(in_title[own].astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array(place[own], pa.int32()))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lex[own[first]])), batch.column("node_id").take(pa.array(row[own[first]])), pa.array(titles, pa.int32()), listed], names=["lexeme", "node_id", "titles", "positions"])
+
+    split = docs.select(F.col("node_id").cast("long").alias("node_id"), words(F.col("title")).alias("tw"), words(F.col("content")).alias("cw"))
+    rows = split.mapInArrow(analyse, _POSTING)
+    block = F.floor(F.col("node_id") / BLOCK).cast("long").alias("block")
+    impact = F.size("positions") * F.when(F.col("titles") > 0, TITLE).otherwise(CONTENT)
+    found = rows.groupBy("lexeme", block).agg(F.sort_array(F.collect_list(F.struct("node_id", "titles", "positions"))).alias("p"), F.max(impact).alias("impact"))
+    return found.select("lexeme", "block", F.lit(segment).alias("segment"), F.col("p.node_id").alias("nodes"), F.col("p.titles").alias("titles"), F.col("p.positions").alias("positions"), "impact")
+
+
+def _wanted(queries: DataFrame, config: str) -> DataFrame:
+    """(query_id, query_text, lexeme, open, needs): a row for each lexeme of a query, whether an alternative only excludes, and the lexemes that each alternative needs."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for q, text in zip(batch["query_id"], batch["query_text"], strict=True):
+                groups = parsed(text, config)
+                needs = [sorted({x for out, phrase in g if not out for x, _ in phrase}) for g in groups]
+                rows += [(q, text, x, not all(needs), needs) for x in sorted({x for g in groups for _, phrase in g for x, _ in phrase})]
+            yield pd.DataFrame(rows, columns=["query_id", "query_text", "lexeme", "open", "needs"])
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), "query_text").mapInPandas(ask, "query_id long, query_text string, lexeme string, open boolean, needs array<array<string>>")
+
+
+def _of_lexemes(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The blocks of the wanted lexemes: by name in the scan if they are few, else by a join."""
+    names = [r["lexeme"] for r in wanted.select("lexeme").distinct().limit(NAMED + 1).collect()]
+    if len(names) <= NAMED:
+        return blocks.filter(F.col("lexeme").isin(names))
+    return blocks.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
+
+
+_FOUND = "query_id long, node_id long, score double, in_title boolean, matched boolean"
+
+
+def _ranked(hits: DataFrame, config: str) -> DataFrame:
+    """Every text that has a hit of a query's, with its score and whether it answers; hits are blocks joined with their queries (and `edits`, if texts have changed)."""
+
+    def rank(table: pa.Table) -> pa.Table:
+        groups = parsed(table["query_text"][0].as_py(), config)
+        live = dict(table["edits"][0].as_py() or []) if "edits" in table.column_names else {}
+        lexemes, segments = (table[c].to_pylist() for c in ("lexeme", "segment"))
+        nodes, titles, positions = (table[c].combine_chunks() for c in ("nodes", "titles", "positions"))
+        cut, ids, in_title = nodes.offsets.to_numpy(), nodes.values.to_numpy(), titles.values.to_numpy()
+        starts, places = positions.values.offsets.to_numpy(), positions.values.values.to_numpy()
+        held: dict[str, list[int]] = {}
+        for k, x in enumerate(lexemes):
+            held.setdefault(x, []).append(k)
+        of = {x: np.unique(np.concatenate([ids[cut[k] : cut[k + 1]] for k in rows])) for x, rows in held.items()}
+        some: list[np.ndarray] = []
+        for g in groups:
+            needs = {x for out, phrase in g if not out for x, _ in phrase}
+            own = [of.get(x, np.zeros(0, np.int64)) for x in needs] or [np.unique(np.concatenate(list(of.values())))]
+            for other in own[1:]:
+                own[0] = np.intersect1d(own[0], other, assume_unique=True)
+            some.append(own[0])
+        chosen = np.unique(np.concatenate(some))
+        hits: dict[int, list[tuple[int, str, float]]] = {int(n): [] for n in chosen}
+        for k, x in enumerate(lexemes):
+            at = cut[k] + np.flatnonzero(np.isin(ids[cut[k] : cut[k + 1]], chosen, assume_unique=True))
+            for a in at.tolist():
+                node = int(ids[a])
+                if live.get(node, segments[k]) == segments[k]:
+                    hits[node].extend((p, x, TITLE if n < in_title[a] else CONTENT) for n, p in enumerate(places[starts[a] : starts[a + 1]].tolist()))
+        out = [(node, Answer(sorted(own), groups)) for node, own in hits.items() if own]
+        columns = [[table["query_id"][0].as_py()] * len(out), [n for n, _ in out], [a.cover_density() for _, a in out], [a.title_matches() for _, a in out], [a.matches() for _, a in out]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    columns = ["query_id", "block", "query_text", "lexeme", "segment", "nodes", "titles", "positions", *(["edits"] if "edits" in hits.columns else [])]
+    return hits.select(*columns).groupBy("query_id", "block").applyInArrow(rank, _FOUND)
+
+
+def _same(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+class Searcher:
+    """Searches over blocks.  texts are (node_id, title), all that are alive; edits (block, edits) name the segment that holds a changed text."""
+
+    def __init__(self, blocks: DataFrame, texts: DataFrame, config: str = "english", edits: DataFrame | None = None):
+        self.blocks, self.texts, self.config, self.edits = blocks, texts, config, edits
+
+    def _hits(self, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+        hits = blocks.join(wanted.select("query_id", "query_text", "lexeme"), "lexeme")
+        return hits if self.edits is None else hits.join(self.edits, "block", "left")
+
+    def _promising(self, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+        """(query_id, block, bound) of the blocks in which some text has all that an alternative needs; positions are not read."""
+        heads = blocks.select("lexeme", "block", "impact", "nodes").join(wanted, "lexeme").groupBy("query_id", "block")
+        heads = heads.agg(F.sum("impact").alias("bound"), F.collect_list(F.struct("lexeme", "nodes")).alias("have"), F.first("needs").alias("needs"))
+        of = lambda x: F.flatten(F.transform(F.filter("have", lambda h: h["lexeme"] == x), lambda h: h["nodes"]))
+        meet = lambda a: F.aggregate(F.slice(a, 2, F.size(a)), of(a[0]), lambda both, x: F.array_intersect(both, of(x)))
+        return heads.filter(F.exists("needs", lambda a: (F.size(a) == 0) | (F.size(meet(a)) > 0))).select("query_id", "block", "bound")
+
+    def found(self, queries: DataFrame, keep: Keep = _same) -> DataFrame:
+        """(query_id, node_id, score, in_title): the texts that answer; in_title tells whether the title alone does.  keep leaves out texts by their node_id."""
+        wanted = _wanted(queries, self.config)
+        blocks = _of_lexemes(self.blocks, wanted)
+        hits = self._hits(wanted, blocks).join(self._promising(wanted, blocks), ["query_id", "block"], "left_semi")
+        ranked = _ranked(hits, self.config)
+        own = keep(ranked.filter("matched").drop("matched"))
+        open_ = wanted.filter("open").select("query_id").distinct()
+        if open_.isEmpty():
+            return own
+        # A query of which an alternative only excludes also finds the texts that have none of its words.
+        met = ranked.join(open_, "query_id", "left_semi").select("query_id", "node_id")
+        rest = keep(self.texts.select("node_id").crossJoin(F.broadcast(open_)).join(met, ["query_id", "node_id"], "left_anti"))
+        return own.unionByName(rest.select("query_id", "node_id", F.lit(0.0).alias("score"), F.lit(True).alias("in_title")))
+
+    def topk(self, queries: DataFrame, limit: int, keep: Keep = _same) -> DataFrame:
+        """(query_id, node_id, exact, phrase, all_tokens, score, lexical_rank): the best texts of each query; blank queries find none.
+
+        Titles are compared with title_text, if queries have it, else with query_text.  A title equal to the query comes first, then one that holds it as it stands, then one that answers it alone, then the score.
+        """
+        asked = queries.select("query_id", T.normalised(F.col("title_text" if "title_text" in queries.columns else "query_text")).alias("_q"))
+        rows = self.found(queries, keep).join(asked, "query_id").join(self.texts.select("node_id", F.lower("title").alias("_t")), "node_id")
+        flag = lambda x, name: F.coalesce(x, F.lit(False)).cast("int").alias(name)
+        rows = rows.select("query_id", "node_id", flag(F.col("_t") == F.col("_q"), "exact"), flag(F.contains("_t", "_q"), "phrase"), flag(F.col("in_title"), "all_tokens"), "score")
+        order = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("phrase"), F.desc("all_tokens"), F.desc("score"), "node_id")
+        return rows.withColumn("lexical_rank", F.row_number().over(order).cast("long")).filter(F.col("lexical_rank") <= limit)
+
+    def best(self, queries: DataFrame, limit: int, keep: Keep = _same) -> DataFrame:
+        """(query_id, node_id, score, rank): the `limit` best texts of each query by score, then id, without ranking blocks that cannot hold one."""
+        wanted = _wanted(queries, self.config)
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+        top = lambda rows: rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+        closed = wanted.filter("NOT open")
+        blocks = _of_lexemes(self.blocks, closed)
+        by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+        heads = self._promising(closed, blocks).withColumn("place", F.row_number().over(by_bound))
+        hits = self._hits(closed, blocks)
+        ranked = lambda chosen: keep(_ranked(hits.join(chosen.select("query_id", "block"), ["query_id", "block"], "left_semi"), self.config).filter("matched").select("query_id", "node_id", "score"))
+        first = top(ranked(heads.filter(F.col("place") <= FIRST)))
+        least = first.filter(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
+        # Scores are rounded, bounds are not.
+        later = heads.filter(F.col("place") > FIRST).join(least, "query_id", "left").filter("least IS NULL OR bound >= least - 1e-8 * (1 + least)")
+        rows = first.drop("rank").unionByName(ranked(later))
+        open_ = queries.join(wanted.filter("open").select("query_id").distinct(), "query_id", "left_semi")
+        if not open_.isEmpty():
+            rows = rows.unionByName(self.found(open_, keep).select("query_id", "node_id", "score"))
+        return top(rows)
+
+
+def searcher(cards: DataFrame, config: str = "english") -> Searcher:
+    """A search over cards (node_id, title, content) whose postings are made anew, not stored."""
+    return Searcher(postings(cards, config), cards.select("node_id", "title"), config)
 
 
 def found(queries: DataFrame, cards: DataFrame, config: str = "english") -> DataFrame:
-    """(query_id, node_id, score, in_title): cards (node_id, title, content) that answer queries (query_id, query_text); in_title tells whether the title alone does."""
-
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(q, t, x) for q, t in zip(batch["query_id"], batch["query_text"], strict=True) for x in {x for g in parsed(t, config) for _, phrase in g for x, _ in phrase}]
-            yield pd.DataFrame(rows, columns=["query_id", "query_text", "lexeme"])
-
-    wanted = queries.select("query_id", "query_text").mapInPandas(asked, "query_id long, query_text string, lexeme string")
-    place = lambda c, start, weight: F.transform(words(F.col(c)), lambda w, i: F.struct(w.alias("word"), (i + start + 1).alias("pos"), F.lit(weight).alias("weight")))
-    tokens = cards.select("node_id", F.explode(F.concat(place("title", F.lit(0), TITLE), place("content", F.size(words(F.col("title"))), CONTENT))).alias("t")).select("node_id", "t.*")
-    known = _stemmed(tokens.select("word").distinct(), config).join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
-    hits = tokens.join(known, "word").join(wanted, "lexeme")
-    pairs = hits.groupBy("query_id", "query_text", "node_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme", "weight"))).alias("hits"))
-
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: dict[str, list] = {}
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                own = groups.setdefault(row.query_text, parsed(row.query_text, config))
-                seen = [(h["pos"], h["lexeme"], h["weight"]) for h in row.hits]
-                places: dict[str, set[int]] = {}
-                titles: dict[str, set[int]] = {}
-                for p, x, w in seen:
-                    places.setdefault(x, set()).add(p)
-                    if w == TITLE:
-                        titles.setdefault(x, set()).add(p)
-                if matches(places, own):
-                    out.append((row.query_id, row.node_id, cover_density(seen, own), matches(titles, own)))
-            yield pd.DataFrame(out, columns=["query_id", "node_id", "score", "in_title"])
-
-    return pairs.mapInPandas(ranked, "query_id long, node_id long, score double, in_title boolean")
+    return searcher(cards, config).found(queries)
 
 
 def topk(queries: DataFrame, cards: DataFrame, limit: int, config: str = "english") -> DataFrame:
-    """(query_id, node_id, exact, phrase, all_tokens, score, lexical_rank): the best cards of each query; blank queries find none.
-
-    A title equal to the query comes first, then one that holds it as it stands, then one that answers it alone, then the score.
-    """
-    asked = queries.select("query_id", T.normalised(F.col("query_text")).alias("_q"))
-    rows = found(queries, cards, config).join(asked, "query_id").join(cards.select("node_id", F.lower("title").alias("_t")), "node_id")
-    flag = lambda x, name: F.coalesce(x, F.lit(False)).cast("int").alias(name)
-    rows = rows.select("query_id", "node_id", flag(F.col("_t") == F.col("_q"), "exact"), flag(F.contains("_t", "_q"), "phrase"), flag(F.col("in_title"), "all_tokens"), "score")
-    order = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("phrase"), F.desc("all_tokens"), F.desc("score"), "node_id")
-    return rows.withColumn("lexical_rank", F.row_number().over(order).cast("long")).filter(F.col("lexical_rank") <= limit)
-
-
-def corpus_search(queries: DataFrame, documents: DataFrame, limit: int, processed: DataFrame | None = None, config: str = "english") -> DataFrame:
-    """(query_id, page_id, score, rank): the best documents (page_id, title, clean_text); a blank query lists unprocessed documents by id, score 0."""
-    left = documents if processed is None else documents.join(processed.select("page_id"), "page_id", "left_anti")
-    cards = left.select(F.col("page_id").alias("node_id"), "title", F.col("clean_text").alias("content"))
-    hits = found(queries, cards, config).select("query_id", F.col("node_id").alias("page_id"), "score")
+    return searcher(cards, config).topk(queries, limit)
+
+
+def corpus_search(queries: DataFrame, search: Searcher, limit: int, processed: DataFrame | None = None) -> DataFrame:
+    """(query_id, page_id, score, rank): the best documents of a search over (page_id as node_id); a blank query lists unprocessed documents by id, score 0."""
+    keep = _same if processed is None else (lambda rows: rows.join(processed.select(F.col("page_id").alias("node_id")), "node_id", "left_anti"))
+    hits = search.best(queries, limit, keep).drop("rank")
     blank = queries.filter(F.coalesce(F.trim("query_text"), F.lit("")) == "").select("query_id")
-    first = left.select("page_id").orderBy("page_id").limit(limit)  # every blank query gets the same few rows
-    hits = hits.union(blank.crossJoin(first).select("query_id", "page_id", F.lit(0.0)))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "page_id")
-    return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+    first = keep(search.texts.select("node_id")).orderBy("node_id").limit(limit)  # every blank query gets the same few rows
+    hits = hits.unionByName(blank.crossJoin(first).select("query_id", "node_id", F.lit(0.0).alias("score")))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+    return ranked.select("query_id", F.col("node_id").alias("page_id"), "score", "rank")

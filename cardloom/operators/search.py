@@ -58,16 +58,17 @@ def lexical_topk(queries: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
     return _rank(lexical_matches(queries, cards), "lexical_rank", *order, limit=limit)
 
 
-def hybrid(queries: DataFrame, cards: DataFrame, limit: int, pool: int, k: int = 60) -> DataFrame:
+def hybrid(queries: DataFrame, cards: DataFrame, limit: int, pool: int, k: int = 60, named: DataFrame | None = None) -> DataFrame:
     """Fused ranking of active cards: (query_id, rank, node_id, rrf, lexical_rank, vector_rank).
 
-    queries are (query_id, query_text, embedding); the vector side gives `pool` candidates, the lexical side `limit`.
+    queries are (query_id, query_text, embedding); the vector side gives `pool` candidates, the lexical side `limit`: named, as
+    full-text search ranks them (`fulltext.Searcher.topk`), or else what `lexical_topk` finds.
     """
     if pool < limit:
         raise ValueError("the vector pool must hold at least `limit` candidates")
     active = cards.filter("state = 'active'")
     near = vector_topk(queries.select("query_id", "embedding"), active.select("node_id", "embedding"), pool)
-    named = lexical_topk(queries.select("query_id", "query_text"), active, limit)
+    named = lexical_topk(queries.select("query_id", "query_text"), active, limit) if named is None else named
     both = near.join(named, ["query_id", "node_id"], "full_outer").fillna(0, ["exact", "phrase", "all_tokens", "score"])
     both = both.withColumn("rrf", V.rrf(F.col("vector_rank"), k) + V.rrf(F.col("lexical_rank"), k))
     last = F.lit(limit + 1)

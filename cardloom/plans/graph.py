@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
+from cardloom.operators import fulltext as X
 from cardloom.operators import graph as G
 from cardloom.operators import search as S
+from cardloom.plans import fulltext
 from cardloom.sources import tables as D
 
 EVERY = 50  # cards whose node_id it divides are the queries
@@ -80,13 +82,25 @@ def title_flags(spark, sf):
     return both.select("node_id", exact.alias("exact"), phrase.alias("phrase"), every.alias("all_tokens"))
 
 
+def _quoted(queries: DataFrame) -> DataFrame:
+    """Full-text queries for all words of the queries' texts: each stands in quotes, so that none is taken for a sign."""
+    words = F.array_join(F.transform(X.words(F.col("query_text")), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")
+    return queries.select("query_id", F.col("query_text").alias("title_text"), words.alias("query_text"))
+
+
+def _hybrid(spark, sf):
+    queries = _queries(spark, sf)
+    named = fulltext.cards_index(spark, sf, "simple").searcher().topk(_quoted(queries), LIMIT, fulltext.active(spark, sf))
+    return S.hybrid(queries, D.cards(spark, sf), LIMIT, POOL, named=named)
+
+
 def hybrid_rrf_search(spark, sf):
-    found = S.hybrid(_queries(spark, sf), D.cards(spark, sf), LIMIT, POOL)
+    found = _hybrid(spark, sf)
     return found.select("query_id", "rank", "node_id", _six("rrf"), "lexical_rank", "vector_rank")
 
 
 def connected_titles(spark, sf):
-    matched = S.hybrid(_queries(spark, sf), D.cards(spark, sf), LIMIT, POOL).select("query_id", "node_id")
+    matched = _hybrid(spark, sf).select("query_id", "node_id")
     return S.connected_titles(matched, _edges(spark, sf), D.cards(spark, sf), CONNECTED)
 
 
@@ -116,16 +130,23 @@ _E = D.with_views("cards", "edges")
 _NORM = r"lower(trim(regexp_replace(query_text, '\s+', ' ', 'g')))"
 _TOK = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _ADJ = "adj AS (SELECT node_a_id AS node_id, node_b_id AS neighbour_id, strength FROM edges UNION ALL SELECT node_b_id, node_a_id, strength FROM edges)"
-_ASKED = f"asked AS (SELECT node_id AS query_id, title AS query_text, embedding FROM cards WHERE node_id % {EVERY} = 0)"
+_ASKED = f"asked_ AS (SELECT node_id AS query_id, title AS query_text, embedding FROM cards WHERE node_id % {EVERY} = 0)"
 _NEAR = f"""near AS (SELECT * FROM (SELECT query_id, node_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS vector_rank
-  FROM (SELECT query_id, c.node_id, list_dot_product(a.embedding, c.embedding) AS similarity FROM asked a CROSS JOIN cards c WHERE c.state = 'active')) WHERE vector_rank <= {POOL})"""
-_LEX = rf"""q AS (SELECT query_id, {_NORM} AS query FROM asked),
+  FROM (SELECT query_id, c.node_id, list_dot_product(a.embedding, c.embedding) AS similarity FROM asked_ a CROSS JOIN cards c WHERE c.state = 'active')) WHERE vector_rank <= {POOL})"""
+_LEX = rf"""q AS (SELECT query_id, {_NORM} AS query FROM asked_),
 qt AS (SELECT *, list_distinct({_TOK("query")}) AS terms FROM q),
 ct AS (SELECT node_id, title, {_TOK("title")} AS tt, {_TOK("content")} AS ct FROM cards WHERE state = 'active'),
 hits AS (SELECT query_id, node_id, (lower(title) = query)::INT AS exact, contains(lower(title), query)::INT AS phrase, list_has_all(tt, terms)::INT AS all_tokens,
     len(list_filter(tt, lambda x: list_contains(terms, x))) * 1.0::DOUBLE + len(list_filter(ct, lambda x: list_contains(terms, x))) * 0.4::DOUBLE AS score
   FROM qt JOIN ct ON len(terms) > 0 AND list_has_all(list_concat(tt, ct), terms)),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, phrase DESC, all_tokens DESC, score DESC, node_id) AS lexical_rank FROM hits) WHERE lexical_rank <= {LIMIT})"""
+_FULL = rf"""texts AS (SELECT node_id AS id, title, content FROM cards WHERE state = 'active'),
+q AS (SELECT node_id AS query_id, 0 AS grp, unnest(regexp_extract_all(lower(title), '[\pL\pN]+')) AS term FROM cards WHERE node_id % {EVERY} = 0),
+{fulltext.WORDS_SQL}, {fulltext.COVERS_SQL},
+fullq AS (SELECT query_id, {_NORM} AS query FROM asked_), words_ AS (SELECT query_id, list_distinct(list(term)) AS terms FROM q GROUP BY 1),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, phrase DESC, all_tokens DESC, score DESC, node_id) AS lexical_rank FROM
+  (SELECT query_id, id AS node_id, (lower(title) = query)::INT AS exact, contains(lower(title), query)::INT AS phrase, list_has_all(tw, terms)::INT AS all_tokens, score
+   FROM scores JOIN placed USING (id) JOIN fullq USING (query_id) JOIN words_ USING (query_id))) WHERE lexical_rank <= {LIMIT})"""
 _FUSED = f"""fused AS (SELECT query_id, node_id, coalesce(exact, 0) AS exact, coalesce(phrase, 0) AS phrase, coalesce(all_tokens, 0) AS all_tokens, coalesce(score, 0) AS score,
     coalesce(1 / (60 + vector_rank), 0) + coalesce(1 / (60 + lexical_rank), 0) AS rrf, lexical_rank, vector_rank FROM near FULL JOIN lex USING (query_id, node_id)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, phrase DESC, all_tokens DESC, rrf DESC, score DESC, coalesce(lexical_rank, {LIMIT + 1}), coalesce(vector_rank, {LIMIT + 1}), node_id) AS rank FROM fused) WHERE rank <= {LIMIT})"""
@@ -141,14 +162,14 @@ SQL = {
     "adjacent_edge_ids": f"{_E} SELECT node_a_id::VARCHAR || '-' || node_b_id::VARCHAR AS edge_id FROM edges WHERE node_a_id % 3 = 0 OR node_b_id % 3 = 0",
     "vector_topk_batch": f"{D.with_views('cards')}, {_ASKED}, {_NEAR} SELECT query_id, node_id, round(similarity, 6) AS similarity, vector_rank FROM near",
     "similarity_topk_excluding": f"""{D.with_views("cards")}, {_ASKED} SELECT query_id, node_id, round((dot + 1) / 2, 6) AS strength, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, node_id) AS rank
-      FROM (SELECT query_id, c.node_id, list_dot_product(a.embedding, c.embedding) AS dot FROM asked a JOIN cards c ON c.node_id <> a.query_id)) WHERE rank <= 9""",
+      FROM (SELECT query_id, c.node_id, list_dot_product(a.embedding, c.embedding) AS dot FROM asked_ a JOIN cards c ON c.node_id <> a.query_id)) WHERE rank <= 9""",
     "lexical_simple_topk": f"{D.with_views('cards')}, {_ASKED}, {_LEX} SELECT query_id, node_id, exact, phrase, all_tokens, round(score, 6) AS score, lexical_rank FROM lex",
     "title_flags": rf"""{D.with_views("cards")}, t AS (SELECT node_id, title, '  ' || title || ' ' AS query_text FROM cards), n AS (SELECT node_id, title, {_NORM} AS query FROM t)
       SELECT node_id, (lower(title) = query)::INT AS exact, contains(lower(title), query)::INT AS phrase, list_has_all({_TOK("title")}, {_TOK("query")})::INT AS all_tokens FROM n""",
-    "hybrid_rrf_search": f"{D.with_views('cards')}, {_ASKED}, {_NEAR}, {_LEX}, {_FUSED} SELECT query_id, rank, node_id, round(rrf, 6) AS rrf, lexical_rank, vector_rank FROM best",
-    "connected_titles": f"""{_E}, {_ADJ}, {_ASKED}, {_NEAR}, {_LEX}, {_FUSED}, own AS (SELECT b.query_id, b.node_id, c.title FROM best b JOIN cards c USING (node_id)),
-      c1 AS (SELECT o.query_id, o.node_id AS match_id, a.neighbour_id AS node_id, c.title FROM own o JOIN adj a USING (node_id) JOIN cards c ON c.node_id = a.neighbour_id WHERE c.state = 'active'),
-      c2 AS (SELECT query_id, title, min((match_id, node_id)) AS spot FROM c1 WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = c1.query_id AND (o.node_id = c1.node_id OR o.title = c1.title)) GROUP BY 1, 2)
+    "hybrid_rrf_search": f"{D.with_views('cards')}, {_ASKED}, {_NEAR}, {_FULL}, {_FUSED} SELECT query_id, rank, node_id, round(rrf, 6) AS rrf, lexical_rank, vector_rank FROM best",
+    "connected_titles": f"""{_E}, {_ADJ}, {_ASKED}, {_NEAR}, {_FULL}, {_FUSED}, mine AS (SELECT b.query_id, b.node_id, c.title FROM best b JOIN cards c USING (node_id)),
+      c1 AS (SELECT o.query_id, o.node_id AS match_id, a.neighbour_id AS node_id, c.title FROM mine o JOIN adj a USING (node_id) JOIN cards c ON c.node_id = a.neighbour_id WHERE c.state = 'active'),
+      c2 AS (SELECT query_id, title, min((match_id, node_id)) AS spot FROM c1 WHERE NOT EXISTS (SELECT 1 FROM mine o WHERE o.query_id = c1.query_id AND (o.node_id = c1.node_id OR o.title = c1.title)) GROUP BY 1, 2)
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, title) AS position, title FROM c2) WHERE position <= {CONNECTED}""",
     "title_mention_pairs": f"WITH {_MENTION}, padded AS (SELECT doc_id AS content_id, {_PAD.format('text')} AS p FROM documents) SELECT content_id, title_id FROM padded JOIN dictionary ON length(phrase) > 2 AND contains(p, phrase)",
     "edge_initialisation": f"""{D.with_views("cards")}, {_MENTION}, padded AS (SELECT node_id, {_PAD.format("content")} AS p FROM cards),
