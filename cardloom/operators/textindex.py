@@ -98,8 +98,6 @@ class TextIndex:
 
 
 def of_application(spark: SparkSession, docs: DataFrame, name: str, config: str = "english") -> TextIndex:
-    """The index of docs that this application has made under a name, built when first asked for.  It lies in the cluster's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
-    index = TextIndex(spark, f"{folder.rstrip('/')}/text-index-{spark.sparkContext.applicationId}/{name}")
+    """The index of docs that this application has made under a name, built when first asked for."""
+    index = TextIndex(spark, versioned.own_folder(spark, f"text-{name}"))
     return index if versioned.current(spark, index.root) else index.build(docs, config)

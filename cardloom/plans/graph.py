@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
+from cardloom.operators import ann as A
 from cardloom.operators import fulltext as X
 from cardloom.operators import graph as G
 from cardloom.operators import search as S
 from cardloom.plans import fulltext
 from cardloom.sources import tables as D
+from cardloom.sources import versioned
 
 EVERY = 50  # cards whose node_id it divides are the queries
 LIMIT, POOL, CONNECTED = 3, 64, 7
@@ -62,6 +66,33 @@ def vector_topk_batch(spark, sf):
     return S.vector_topk(_queries(spark, sf), active, POOL).select("query_id", "node_id", _six("similarity"), "vector_rank")
 
 
+def _ann(spark, sf) -> A.VectorIndex:
+    index = A.VectorIndex(spark, versioned.own_folder(spark, f"vectors-{zlib.crc32(sf.encode()):08x}"))
+    active = D.cards(spark, sf).filter("state = 'active'").select("node_id", "embedding")
+    return index if versioned.current(spark, index.root) else index.build(active, k=POOL)
+
+
+def vector_topk_ann(spark, sf):
+    """The vector side of a search from the cells near its queries alone."""
+    found = _ann(spark, sf).search(_queries(spark, sf), POOL)
+    return found.select("query_id", "node_id", _six("similarity"), F.col("rank").alias("vector_rank"))
+
+
+def vector_ann_recall(spark, sf):
+    """Whether that search, over all queries, reaches the recall it was built for, and the exact pairs it is held against."""
+    queries = _queries(spark, sf)
+    active = D.cards(spark, sf).filter("state = 'active'").select("node_id", "embedding")
+    rows = A.recall(_ann(spark, sf).search(queries, POOL), S.vector_topk(queries, active, POOL))
+    return rows.select("n_exact", (F.col("recall") >= A.RECALL - 0.02).alias("reached"))
+
+
+def vector_topk_all_cells(spark, sf):
+    """With every cell looked into the search is exact."""
+    index = _ann(spark, sf)
+    found = index.search(_queries(spark, sf), POOL, probes=len(index._centres()))
+    return found.select("query_id", "node_id", _six("similarity"), F.col("rank").alias("vector_rank"))
+
+
 def similarity_topk_excluding(spark, sf):
     v = D.card_vectors(spark, sf)
     found = S.vector_topk(v.filter(F.col("node_id") % EVERY == 0).withColumnRenamed("node_id", "query_id"), v, 10).filter("node_id <> query_id")
@@ -124,7 +155,7 @@ def edge_initialisation(spark, sf):
     return G.initial_edges(D.cards(spark, sf), _mention_pairs(spark, sf)).select("node_id", "neighbour_id", _six("strength"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (knn_edges, knn_strength_histogram, edge_degree, adjacency_list, induced_subgraph, touching_edges, adjacent_edge_ids, vector_topk_batch, similarity_topk_excluding, lexical_simple_topk, title_flags, hybrid_rrf_search, connected_titles, title_mention_pairs, edge_initialisation)}
+QUERIES = {f.__name__: f for f in (knn_edges, knn_strength_histogram, edge_degree, adjacency_list, induced_subgraph, touching_edges, adjacent_edge_ids, vector_topk_batch, similarity_topk_excluding, lexical_simple_topk, title_flags, hybrid_rrf_search, connected_titles, title_mention_pairs, edge_initialisation, vector_topk_ann, vector_ann_recall, vector_topk_all_cells)}
 
 _E = D.with_views("cards", "edges")
 _NORM = r"lower(trim(regexp_replace(query_text, '\s+', ' ', 'g')))"
@@ -161,6 +192,8 @@ SQL = {
     "touching_edges": f"{_E} SELECT node_a_id, node_b_id, round(strength, 6) AS strength FROM edges WHERE node_a_id % 3 = 0 OR node_b_id % 3 = 0",
     "adjacent_edge_ids": f"{_E} SELECT node_a_id::VARCHAR || '-' || node_b_id::VARCHAR AS edge_id FROM edges WHERE node_a_id % 3 = 0 OR node_b_id % 3 = 0",
     "vector_topk_batch": f"{D.with_views('cards')}, {_ASKED}, {_NEAR} SELECT query_id, node_id, round(similarity, 6) AS similarity, vector_rank FROM near",
+    "vector_topk_all_cells": f"{D.with_views('cards')}, {_ASKED}, {_NEAR} SELECT query_id, node_id, round(similarity, 6) AS similarity, vector_rank FROM near",
+    "vector_ann_recall": f"{D.with_views('cards')}, {_ASKED}, {_NEAR} SELECT count(*) AS n_exact, true AS reached FROM near",
     "similarity_topk_excluding": f"""{D.with_views("cards")}, {_ASKED} SELECT query_id, node_id, round((dot + 1) / 2, 6) AS strength, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, node_id) AS rank
       FROM (SELECT query_id, c.node_id, list_dot_product(a.embedding, c.embedding) AS dot FROM asked_ a JOIN cards c ON c.node_id <> a.query_id)) WHERE rank <= 9""",
     "lexical_simple_topk": f"{D.with_views('cards')}, {_ASKED}, {_LEX} SELECT query_id, node_id, exact, phrase, all_tokens, round(score, 6) AS score, lexical_rank FROM lex",

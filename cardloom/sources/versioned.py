@@ -108,3 +108,9 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     for name in gone:
         files.delete(name)
     return gone
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application below the cluster's shared one (or the warehouse, if that is not named)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
