@@ -124,3 +124,13 @@ def initial_edges(cards: DataFrame, mention_pairs: DataFrame, mention_k: int = 2
     rest = rest.filter((V.strength(F.col("dot")) >= min_strength) & (F.col("k") <= semantic_k))
     out = named.withColumn("kind", F.lit("mention")).unionByName(rest.select("node_id", "neighbour_id", "dot").withColumn("kind", F.lit("semantic")))
     return out.select("node_id", "neighbour_id", V.strength(F.col("dot")).alias("strength"), "kind")
+
+
+def materialised(cards: DataFrame, mention_pairs: DataFrame, root_id: int = 1) -> dict[str, DataFrame]:
+    """What new cards (node_id, title, content, embedding) become, to be published as one version: `nodes` with their vectors, `versions` (each card's first), `assignments` to Root and `edges`."""
+    return {
+        "nodes": cards.select("node_id", "embedding", F.lit("active").alias("state"), F.lit(1).cast("long").alias("current_version")),
+        "versions": cards.select("node_id", F.lit(1).cast("long").alias("version"), "title", "content"),
+        "assignments": cards.select("node_id", F.lit(root_id).cast("long").alias("taxonomy_node_id")),
+        "edges": initial_edges(cards, mention_pairs),
+    }

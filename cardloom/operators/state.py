@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.operators.workflow import TERMINAL
+from cardloom.sources import versioned
 
 
 def folded_events(events: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
@@ -146,13 +147,11 @@ def rebuild_report(nodes: DataFrame, planned: DataFrame, existing: DataFrame, ap
     return joined.select("node_count", "planned_edge_count", F.when(some, F.col("planned_edge_count")).otherwise(0).alias("inserted_edge_count"), F.when(some, F.col("_old")).otherwise(0).alias("removed_edge_count"), some.alias("applied"))
 
 
-def replace_edges(planned: DataFrame, path: str) -> None:
-    """Write planned edges (node_a_id, node_b_id, strength) and their adjacency (node_id, edge_id) in place of what path/edges and path/adjacency hold."""
-    name = F.concat_ws("-", F.col("node_a_id").cast("string"), F.col("node_b_id").cast("string"))
-    named = planned.withColumn("edge_id", name)
-    named.write.mode("overwrite").parquet(f"{path}/edges")
-    kept = planned.sparkSession.read.parquet(f"{path}/edges")
-    kept.select(F.explode(F.array("node_a_id", "node_b_id")).alias("node_id"), "edge_id").write.mode("overwrite").parquet(f"{path}/adjacency")
+def replace_edges(planned: DataFrame, path: str) -> versioned.Version:
+    """Publish planned edges (node_a_id, node_b_id, strength) as `edges` and their adjacency (node_id, edge_id) as `adjacency`, both in one version in place of the last."""
+    named = planned.withColumn("edge_id", F.concat_ws("-", F.col("node_a_id").cast("string"), F.col("node_b_id").cast("string")))
+    ends = planned.select(F.explode(F.array("node_a_id", "node_b_id")).alias("node_id"), F.concat_ws("-", F.col("node_a_id").cast("string"), F.col("node_b_id").cast("string")).alias("edge_id"))
+    return versioned.publish(path, {"edges": named, "adjacency": ends})
 
 
 def without_scopes(projection: DataFrame, scopes: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
 from cardloom.operators import corpus as C
 from cardloom.sources import tables as D
+from cardloom.sources import versioned
+from cardloom.streaming import imports as I
 
 BATCHES = ("the and with", "queaux les", "the on")
 
@@ -124,7 +128,21 @@ def wikitext_clean(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", C.clean_wikitext(raw).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top, month_windows, wikitext_clean)}
+#: Every so many-th line of the written shards is cut off.
+CUT = 97
+
+
+def shard_import(spark, sf):
+    """The documents written as shards, some lines broken, and imported again: each page, and each bad line as a page without an id."""
+    root = versioned.own_folder(spark, f"import-{uuid.uuid4().hex}")
+    docs = _documents(spark, sf).select(F.to_json(F.struct("page_id", "title", F.lit("u").alias("source_url"), "clean_text")).alias("value"), "page_id")
+    docs.select(F.when(F.col("page_id") % CUT == 5, F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value")).repartition(5).write.text(f"{root}/shards")
+    I.import_shards(spark, f"{root}/shards", f"{root}/corpus", f"{root}/stream", files=2, glob="part-*").awaitTermination()
+    good = I.imported(spark, f"{root}/corpus").select("page_id", T.sha256(F.col("clean_text")).alias("text_sha256"), F.lit(0).alias("bad"))
+    return good.unionByName(I.quarantined(spark, f"{root}/corpus").select(F.lit(None).cast("long").alias("page_id"), T.sha256(F.col("line")).alias("text_sha256"), F.lit(1).alias("bad")))
+
+
+QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top, month_windows, wikitext_clean, shard_import)}
 
 _DOCS = r"docs AS (SELECT doc_id AS page_id, regexp_extract(text, '^[^.\n]{1,80}') AS title, text AS clean_text FROM documents)"
 _DONE = "done AS (SELECT doc_id AS page_id FROM labels WHERE quality = 1)"
@@ -150,6 +168,8 @@ judged AS (SELECT t.*, CASE {_TITLE_CASE} WHEN own % 29 = 0 THEN 'disambiguation
   WHEN page_id % 3 = 0 AND page_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'processed' WHEN text_length < {C.SHORT} THEN 'short_text' {_LEAD_CASE}
   WHEN regexp_matches(lead, '{C.LOCALITY}') AND text_length < {C.LOCALITY_LENGTH} THEN 'lead_low_signal_locality' END AS reason FROM t)"""
 SQL = {
+    "shard_import": f"""SELECT CASE WHEN doc_id % {CUT} <> 5 THEN doc_id END AS page_id, CASE WHEN doc_id % {CUT} <> 5 THEN sha256(text) ELSE sha256(substr('{{"page_id":' || doc_id || ',"title":"' || coalesce(regexp_extract(text, '^[^.\\n]{{1,80}}'), ''), 1, 20)) END AS text_sha256,
+      (doc_id % {CUT} = 5)::INT AS bad FROM documents""",
     "unprocessed_documents": "SELECT doc_id AS page_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND quality = 1)",
     "corpus_search_simple": f"WITH {_DOCS}, {_DONE}, {_ASK}, {_HITS('WHERE page_id NOT IN (SELECT page_id FROM done)')} SELECT query_id, page_id, round(score, 6) AS score, rank FROM ranked",
     "science_batches_dedup": f"WITH {_DOCS}, {_ASK}, {_HITS('')} SELECT page_id, min((query_id, rank))[1] AS first_batch, min((query_id, rank))[2] AS first_rank, max(query_id) AS batch FROM ranked GROUP BY 1",

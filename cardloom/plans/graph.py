@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,7 +156,17 @@ def edge_initialisation(spark, sf):
     return G.initial_edges(D.cards(spark, sf), _mention_pairs(spark, sf)).select("node_id", "neighbour_id", _six("strength"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (knn_edges, knn_strength_histogram, edge_degree, adjacency_list, induced_subgraph, touching_edges, adjacent_edge_ids, vector_topk_batch, similarity_topk_excluding, lexical_simple_topk, title_flags, hybrid_rrf_search, connected_titles, title_mention_pairs, edge_initialisation, vector_topk_ann, vector_ann_recall, vector_topk_all_cells)}
+def card_materialisation(spark, sf):
+    """Every card as its first version left it: read from the one version that was published."""
+    root = versioned.own_folder(spark, f"cards-{uuid.uuid4().hex}")
+    made = versioned.publish(root, G.materialised(D.cards(spark, sf), _mention_pairs(spark, sf)))
+    nodes, versions, places, edges = (versioned.read(spark, root, t, made) for t in ("nodes", "versions", "assignments", "edges"))
+    links = edges.groupBy("node_id").agg(F.count(F.when(F.col("kind") == "mention", 1)).alias("n_mentions"), F.count("*").alias("n_edges"))
+    rows = nodes.join(versions, (nodes["node_id"] == versions["node_id"]) & (nodes["current_version"] == versions["version"])).drop(versions["node_id"]).join(places, "node_id").join(links, "node_id", "left")
+    return rows.select("node_id", "version", T.sha256(F.col("title")).alias("title_sha256"), "taxonomy_node_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_mentions", "n_edges")])
+
+
+QUERIES = {f.__name__: f for f in (knn_edges, knn_strength_histogram, edge_degree, adjacency_list, induced_subgraph, touching_edges, adjacent_edge_ids, vector_topk_batch, similarity_topk_excluding, lexical_simple_topk, title_flags, hybrid_rrf_search, connected_titles, title_mention_pairs, edge_initialisation, vector_topk_ann, vector_ann_recall, vector_topk_all_cells, card_materialisation)}
 
 _E = D.with_views("cards", "edges")
 _NORM = r"lower(trim(regexp_replace(query_text, '\s+', ' ', 'g')))"
@@ -215,3 +226,5 @@ SQL = {
       SELECT node_id, neighbour_id, round(greatest(0, least(1, (dot + 1) / 2)), 6) AS strength, 'mention' AS kind FROM named
       UNION ALL SELECT node_id, neighbour_id, round(greatest(0, least(1, (dot + 1) / 2)), 6), 'semantic' FROM rest WHERE greatest(0, least(1, (dot + 1) / 2)) >= 0.61 AND k <= 4""",
 }
+SQL["card_materialisation"] = f"""WITH linked AS ({SQL["edge_initialisation"]}), {D.SQL["cards"]}, n AS (SELECT node_id, count(*) FILTER (kind = 'mention') AS n_mentions, count(*) AS n_edges FROM linked GROUP BY 1)
+  SELECT node_id, 1::BIGINT AS version, sha256(title) AS title_sha256, 1::BIGINT AS taxonomy_node_id, coalesce(n_mentions, 0) AS n_mentions, coalesce(n_edges, 0) AS n_edges FROM cards LEFT JOIN n USING (node_id)"""

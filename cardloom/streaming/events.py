@@ -1,4 +1,4 @@
-"""Streaming forms: idempotent intake, continuation buffers, quota decisions and shard import.
+"""Streaming forms: idempotent intake, continuation buffers and quota decisions.
 
 State keeps the meaning of the batch operators; late rows are dropped past the watermark.
 """
@@ -8,13 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cardloom.operators.usage import POLICY, quota_step
-from cardloom.sources.files import SHARD
 
 DELAY = "10 minutes"
 
@@ -71,17 +69,3 @@ def continuation_buffer(requests: DataFrame, batch: int, interval_ms: int) -> Da
             state.setTimeoutDuration(max(1, interval_ms - (now - since)))
 
     return requests.groupBy("scope_id").applyInPandasWithState(hold, "scope_id long, n long", "held long, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def import_shards(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Import every shard not yet imported and stop: the checkpoint stands for markers and lock, a failed shard is tried again by the next run."""
-    rows = spark.readStream.schema(SHARD).option("pathGlobFilter", "*.jsonl.zst").option("recursiveFileLookup", "true").json(folder)
-    rows = rows.select("page_id", "title", F.col("source_url").alias("url"), "clean_text").filter("page_id IS NOT NULL")
-    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def import_progress(query: StreamingQuery) -> dict:
-    """Documents imported, seconds taken and documents a second of a finished import."""
-    rows = sum(p["numInputRows"] for p in query.recentProgress)
-    seconds = sum(p["batchDuration"] for p in query.recentProgress) / 1000
-    return {"documents": rows, "seconds": seconds, "documents_per_second": rows / max(0.001, seconds)}

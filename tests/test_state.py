@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.operators import decisions, layout, state, usage
+from cardloom.sources import versioned
 
 
 def rows(df):
@@ -53,7 +54,7 @@ def test_rebuild_and_facts_are_written(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.7)], "node_a_id long, node_b_id long, strength double")
     for _ in range(2):  # the second rebuild replaces the first
         state.replace_edges(edges, f"file://{tmp_path}")
-    assert rows(spark.read.parquet(f"file://{tmp_path}/adjacency").select("node_id", "edge_id")) == [(1, "1-2"), (1, "1-3"), (2, "1-2"), (3, "1-3")]
+    assert rows(versioned.read(spark, f"file://{tmp_path}", "adjacency").select("node_id", "edge_id")) == [(1, "1-2"), (1, "1-3"), (2, "1-2"), (3, "1-3")]
     assert rows(state.rebuild_report(edges, edges, edges.limit(1), False)) == [(2, 2, 0, 0, False)]
     calls = spark.createDataFrame([(1, 4, "success", [5, 6], "x"), (2, 4, "error", None, "x")], "event_id long, user_sub long, status string, matched array<long>, created_at string")
     for _ in range(2):

@@ -54,19 +54,3 @@ def test_continuations_flush_by_count(spark, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert [tuple(r) for r in spark.table("flushed").collect()] == [(1, 5)]
-
-
-def test_import_is_resumable(spark, tmp_path):
-    def shard(n, ids):
-        folder = tmp_path / "in" / f"split-{n:05d}"
-        folder.mkdir(parents=True)
-        text = "\n".join(json.dumps({"page_id": i, "title": "t", "source_url": "u", "clean_text": "x"}) for i in ids)
-        (folder / f"shard-{n:05d}.jsonl.zst").write_bytes(zstandard.compress(text.encode()))
-
-    where = (str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
-    for n, ids in ((0, [1, 2]), (1, [3])):
-        shard(n, ids)
-        query = S.import_shards(spark, *where)
-        query.awaitTermination()
-        assert S.import_progress(query)["documents"] == len(ids)
-    assert sorted(r["page_id"] for r in spark.read.parquet(where[1]).collect()) == [1, 2, 3]
