@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
 from cardloom.operators import search as S
+from cardloom.sources.versioned import cut
 
 MONTH_BONUS = 100_000
 
@@ -126,6 +127,33 @@ def selected(rows: DataFrame, max_pages: int) -> DataFrame:
     return top.withColumn("selection_rank", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with `_position` from 1 in a total order, by a prefix scan: no task sorts more than its range.
+
+    The rows are cut into ranges of the order and written down, so that both passes see the same ranges; one number a
+    range, its rows, goes to the driver.
+    """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn("_position", F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+
+
+def selection_summary(rows: DataFrame, max_pages: int) -> DataFrame:
+    """(counter, n) of a selection that goes through judged rows in ranking order and stops at the max_pages-th accepted one: total_input, selected, and rejected_<reason> of the rows that it saw."""
+    placed = positions(rows, [f(c) for f, c in ORDER])
+    accepted = placed.filter("reason IS NULL").orderBy("_position").limit(max_pages)
+    last = accepted.agg(F.count("*").alias("n"), F.max("_position").alias("at")).withColumn("stop", F.when(F.col("n") >= max_pages, F.col("at")))
+    seen = placed.filter("reason IS NOT NULL").join(F.broadcast(last.select("stop")), F.col("stop").isNull() | (F.col("_position") <= F.col("stop")))  # one row
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    return count(rows, "total_input").union(last.select(F.lit("selected"), "n")).union(seen.groupBy(F.concat(F.lit("rejected_"), "reason")).agg(F.count("*")))
+
+
 def submission_plan(candidates: DataFrame, documents: DataFrame, processed: DataFrame, units: DataFrame) -> DataFrame:
     """(page_id, action): what a replay does with each candidate.  Raises nothing: a candidate without a document is `missing`."""
     has = lambda df, name: df.select("page_id", F.lit(True).alias(name)).distinct()

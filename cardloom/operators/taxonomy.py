@@ -6,14 +6,18 @@ join a level, until a level is empty.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
 
+_PRINTS = pa.schema([("scope_id", pa.int64()), ("fingerprint", pa.string())])
 
 def paths(tree: DataFrame) -> DataFrame:
     """tree with route_slug, route_path (Root: "") and breadcrumb ("A / B / C")."""
@@ -122,13 +126,47 @@ def backfilled(cards: DataFrame, assignments: DataFrame, root_id: int = 1) -> Da
 
 
 def fingerprints(graph: DataFrame, projection: DataFrame, version: str = "taxonomy-card-scope-layout-v2") -> DataFrame:
-    """(scope_id, fingerprint): sha256 of the scope graph's canonical JSON."""
-    nodes = graph.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "side"))).alias("n"))
-    edges = projection.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("node_a_id", "node_b_id", "strength"))).alias("e"))
-    node = F.transform("n", lambda x: F.concat(F.lit("["), x["node_id"].cast("string"), F.lit(',"'), x["side"], F.lit('"]')))
-    edge = F.transform("e", lambda x: F.concat(F.lit("["), x["node_a_id"].cast("string"), F.lit(","), x["node_b_id"].cast("string"), F.lit(","), x["strength"].cast("string"), F.lit("]")))
-    text = F.concat(F.lit('{"edges":['), F.coalesce(F.array_join(edge, ","), F.lit("")), F.lit(f'],"layout_version":"{version}","nodes":['), F.array_join(node, ","), F.lit("]}"))
-    return nodes.join(edges, "scope_id", "left").select("scope_id", T.sha256(text).alias("fingerprint"))
+    """(scope_id, fingerprint): sha256 of the scope graph's canonical JSON, for scopes with nodes.
+
+    The text is never put together: a scope's pieces come sorted, batch after batch, and run through one digest, so a
+    scope of any size takes a batch's memory.
+    """
+    none = F.lit(None).cast("string")
+    node = F.concat(F.lit("["), F.col("node_id").cast("string"), F.lit(',"'), F.col("side"), F.lit('"]'))
+    edge = F.concat(F.lit("["), F.col("node_a_id").cast("string"), F.lit(","), F.col("node_b_id").cast("string"), F.lit(","), F.col("strength").cast("string"), F.lit("]"))
+    nodes = graph.select("scope_id", F.lit(1).alias("kind"), F.col("node_id").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("double").alias("k3"), F.col("side").alias("k4"), node.alias("piece"))
+    edges = projection.select("scope_id", F.lit(0).alias("kind"), F.col("node_a_id").alias("k1"), F.col("node_b_id").alias("k2"), F.col("strength").cast("double").alias("k3"), none.alias("k4"), edge.alias("piece"))
+    order = ["scope_id", "kind", "k1", "k2", "k3", "k4"]
+    rows = nodes.unionByName(edges).repartition("scope_id").sortWithinPartitions(*order).select("scope_id", "kind", "piece")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, kind, running, out = None, 0, None, []
+
+        def close() -> None:
+            if kind == 1:  # a scope without nodes has no fingerprint
+                running.update(b"]}")
+                out.append((scope, running.hexdigest()))
+
+        for batch in batches:
+            for own, k, piece in zip(*(batch.column(c).to_pylist() for c in ("scope_id", "kind", "piece")), strict=True):
+                if running is None or own != scope:
+                    if running is not None:
+                        close()
+                    scope, kind, first, running = own, 0, True, hashlib.sha256(b'{"edges":[')
+                if k != kind:
+                    running.update(f'],"layout_version":"{version}","nodes":['.encode())
+                    kind, first = k, True
+                if piece is not None:
+                    running.update((piece if first else "," + piece).encode())
+                    first = False
+            if out:
+                yield pa.RecordBatch.from_pydict({"scope_id": [x[0] for x in out], "fingerprint": [x[1] for x in out]}, schema=_PRINTS)
+                out = []
+        if running is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"scope_id": [x[0] for x in out], "fingerprint": [x[1] for x in out]}, schema=_PRINTS)
+
+    return rows.mapInArrow(digest, "scope_id long, fingerprint string")
 
 
 def slug_collisions(tree: DataFrame) -> DataFrame:

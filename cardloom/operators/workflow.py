@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
+from cardloom.sources.versioned import cut
 
 #: Job states that end a branch.
 TERMINAL = ("CANCELLED", "DEAD_LETTER", "FAILED", "EXPIRED")
@@ -154,15 +154,6 @@ def continuation_work(requests: DataFrame, now, batch: int, interval_s: int, ass
     return kept.join(other.select("request_id"), "request_id", "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder that the session names; a folder of our own only where none is named (tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def pipeline_replay(units: DataFrame, results: DataFrame) -> DataFrame:
     """(candidate, unit_id, parent, state): the card pipeline at rest.
 
@@ -190,7 +181,7 @@ def pipeline_replay(units: DataFrame, results: DataFrame) -> DataFrame:
             .when(F.size("cards") <= 0, "ended")
             .otherwise("repaired")
         )
-        seen = _cut(seen.select("candidate", "unit_id", "parent", state.alias("state"), "cards"))
+        seen = cut(seen.select("candidate", "unit_id", "parent", state.alias("state"), "cards"))
         done.append(seen.select("candidate", "unit_id", "parent", "state"))
         level = seen.filter("state = 'repaired'").select("unit_id", F.col("candidate").alias("parent"), F.posexplode("cards").alias("ordinal", "title")).select(F.concat_ws("/", "parent", F.col("ordinal").cast("string")).alias("candidate"), "unit_id", "parent")
     return reduce(DataFrame.union, done or [level.select("candidate", "unit_id", "parent", F.lit(None).cast("string").alias("state"))])

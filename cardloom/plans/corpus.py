@@ -87,6 +87,15 @@ def pageview_candidates(spark, sf):
     return C.selected(_judged(spark, sf), 200).select("selection_rank", "page_id", "title", "total_views", "months_seen", "best_rank", "score", "text_length")
 
 
+#: The selection stops at so many pages, before the last row.
+STOP_AT = 60
+
+
+def selection_summary(spark, sf):
+    """Counters of a selection that ends early: rows after the last page taken are not looked at."""
+    return C.selection_summary(_judged(spark, sf), STOP_AT)
+
+
 def submission_plan(spark, sf):
     candidates = _documents(spark, sf).select((F.col("page_id") + 5).alias("page_id"))
     units = D.table(spark, sf, "labels").filter("toxic = 1 OR quality = 0").select(F.col("doc_id").alias("page_id"))
@@ -142,7 +151,7 @@ def shard_import(spark, sf):
     return good.unionByName(I.quarantined(spark, f"{root}/corpus").select(F.lit(None).cast("long").alias("page_id"), T.sha256(F.col("line")).alias("text_sha256"), F.lit(1).alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top, month_windows, wikitext_clean, shard_import)}
+QUERIES = {f.__name__: f for f in (unprocessed_documents, corpus_search_simple, science_batches_dedup, pageview_aggregate, pageview_canonical, reject_reasons, pageview_candidates, submission_plan, source_units, page_classification, html_clean_text, tokens_top, month_windows, wikitext_clean, shard_import, selection_summary)}
 
 _DOCS = r"docs AS (SELECT doc_id AS page_id, regexp_extract(text, '^[^.\n]{1,80}') AS title, text AS clean_text FROM documents)"
 _DONE = "done AS (SELECT doc_id AS page_id FROM labels WHERE quality = 1)"
@@ -179,6 +188,9 @@ SQL = {
     "reject_reasons": f"{_JUDGED} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM judged GROUP BY 1",
     "pageview_candidates": f"""{_JUDGED} SELECT row_number() OVER (ORDER BY score DESC, months_seen DESC, total_views DESC, best_rank, title) AS selection_rank, page_id, title, total_views, months_seen, best_rank, score, text_length
       FROM judged WHERE reason IS NULL QUALIFY selection_rank <= 200""",
+    "selection_summary": f"""{_JUDGED}, o AS (SELECT *, count(*) FILTER (reason IS NULL) OVER (ORDER BY score DESC, months_seen DESC, total_views DESC, best_rank, title ROWS UNBOUNDED PRECEDING) AS taken FROM judged),
+      seen AS (SELECT * FROM o WHERE taken < {STOP_AT} OR (taken = {STOP_AT} AND reason IS NULL))
+      SELECT 'total_input' AS counter, count(*) AS n FROM o UNION ALL SELECT 'selected', count(*) FILTER (reason IS NULL) FROM seen UNION ALL SELECT 'rejected_' || reason, count(*) FROM seen WHERE reason IS NOT NULL GROUP BY 1""",
     "submission_plan": """WITH c AS (SELECT doc_id + 5 AS page_id FROM documents) SELECT page_id, CASE WHEN page_id NOT IN (SELECT doc_id FROM documents) THEN 'missing' WHEN p AND u THEN 'skip_processed' WHEN u THEN 'mark_processed' WHEN p THEN 'skip_existing' ELSE 'insert' END AS action
       FROM (SELECT page_id, page_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS p, page_id IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0) AS u FROM c)""",
     "source_units": "SELECT 'wikipedia:' || page_id AS source_ref, 'Page ' || page_id AS title, url, '0.75' AS rank FROM pages",

@@ -114,3 +114,11 @@ def own_folder(spark: SparkSession, name: str) -> str:
     """A folder of this application below the cluster's shared one (or the warehouse, if that is not named)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder that the session names; into the warehouse only where none is named (tests)."""
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(own_folder(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
