@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions import layout as E
+from cardloom.operators import cells
 from cardloom.operators import graph as G
 from cardloom.operators import layout as L
 from cardloom.operators import taxonomy as X
@@ -35,6 +36,21 @@ def force_layout(spark, sf):
     return L.force_layout(*_graph(spark, sf))
 
 
+def charge_forces(spark, sf):
+    """What the nodes of each scope do to each other on the spiral, pair by pair."""
+    found = cells.charges(L.seeded(_graph(spark, sf)[0]).select("scope_id", "node_id", "x", "y"), angle=0)
+    return found.select("scope_id", "node_id", F.round("fx", 4).alias("fx"), F.round("fy", 4).alias("fy"))
+
+
+def charge_error(spark, sf):
+    """Whether the forces by cells, at an opening angle of 0.5, differ from those of all pairs by less than a fiftieth of these in the mean of squares, by scope."""
+    placed = L.seeded(_graph(spark, sf)[0]).select("scope_id", "node_id", "x", "y")
+    exact, near = cells.charges(placed, 0), cells.charges(placed, 0.5).withColumnsRenamed({"fx": "gx", "fy": "gy"})
+    off = F.pow(F.col("fx") - F.col("gx"), 2) + F.pow(F.col("fy") - F.col("gy"), 2)
+    rows = exact.join(near, ["scope_id", "node_id"]).groupBy("scope_id").agg(F.count("*").alias("n"), F.sum(off).alias("off"), F.sum(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")).alias("all"))
+    return rows.select("scope_id", "n", (F.col("off") <= F.col("all") / 2500 + 1e-9).alias("close"))
+
+
 def _viewports(spark, sf):
     c = D.table(spark, sf, "customer")
     return c.select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_acctbal") / 2).alias("y"), F.lit(1280.0).alias("w"), F.lit(800.0).alias("h"), (F.col("c_custkey") % 5 - 2).cast("double").alias("zoom"))
@@ -97,12 +113,15 @@ def screen_points(spark, sf):
     return D.table(spark, sf, "customer").select("c_custkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, byte_packing, request_bytes, layout_slice_edges, focus_sets, screen_points)}
+QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, charge_forces, charge_error, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, byte_packing, request_bytes, layout_slice_edges, focus_sets, screen_points)}
 
 _GRAPH = _TAXONOMY["card_scope_graph"].replace("SELECT * FROM graph", "")
 _SEED = f"""{_GRAPH}, placed AS (SELECT scope_id, node_id, side, round(cos(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS x, round(sin(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS y
   FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY node_id) - 1 AS i FROM graph))"""
 SQL = {
+    "charge_forces": f"""{_SEED}, f AS (SELECT a.scope_id, a.node_id, (b.x - a.x) * -180 / greatest(pow(b.x - a.x, 2) + pow(b.y - a.y, 2), 1) AS fx, (b.y - a.y) * -180 / greatest(pow(b.x - a.x, 2) + pow(b.y - a.y, 2), 1) AS fy
+      FROM placed a LEFT JOIN placed b ON a.scope_id = b.scope_id AND a.node_id <> b.node_id) SELECT scope_id, node_id, round(coalesce(sum(fx), 0), 4) AS fx, round(coalesce(sum(fy), 0), 4) AS fy FROM f GROUP BY 1, 2""",
+    "charge_error": f"{_SEED} SELECT scope_id, count(*) AS n, true AS close FROM placed GROUP BY 1",
     "layout_seed": f"{_SEED} SELECT * FROM placed",
     "layout_slice": f"{_SEED} SELECT scope_id, node_id FROM placed WHERE x BETWEEN -500 AND 500 AND y BETWEEN -300 AND 300",
     "layout_bounds": f"{_SEED} SELECT coalesce(min(x), 0) AS min_x, coalesce(max(x), 0) AS max_x, coalesce(min(y), 0) AS min_y, coalesce(max(y), 0) AS max_y FROM placed",
