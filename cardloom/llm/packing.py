@@ -28,7 +28,7 @@ from .textview import blocks, distinct, ranges, words
 LENGTH = 2048
 END_ID = 1
 #: Distinct pieces whose ids a worker remembers before it starts over.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,7 +109,7 @@ class WordIds:
         data, starts, ends, bounds = units(data, off, self._added)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        which, spans = distinct(data, starts, ends)
+        which, spans = distinct(data, starts, ends, all_words=True)  # the pieces of all words are all their bytes
         pieces = spans.to_pylist()
         if len(self._slots) > CACHE_WORDS:
             self._clear()

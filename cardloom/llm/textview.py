@@ -172,7 +172,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, all_words: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Index of each span's bytes among the distinct ones, by comparison of bytes and not of hashes, and these as a binary array in the order in which they come.
 
-    all_words says that the spans are all words of the data, whose bytes are then found without an index for each.
+    all_words says that the spans are, or together make up, all words of the data, whose bytes are then found without an index for each.
     """
     size = ends - starts
     flat = data[~WHITE[data]] if all_words else np.ascontiguousarray(data[ranges(starts, size)])
