@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import bounded_batches, lean, stored
-from .textview import blocks, distinct, ranges, words
+from .textview import between, blocks, byte_prefix, distinct, factorized, ranges, words
 
 LENGTH = 2048
 END_ID = 1
 #: Distinct pieces whose ids a worker remembers before it starts over.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -88,21 +88,52 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._slots: dict[bytes, int] = {}
-        self._bounds = np.zeros(1, np.int64)
-        self._ids = np.zeros(0, np.uint32)
+        """Slots have a piece's bytes and ids; sorted hashes lead to slots, and the bytes decide."""
+        self._keys, self._slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._raw, self._at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self._ids, self._bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        got: list[list[int]] = []
-        for lo in range(0, len(pieces), 5000):
-            got += self._encode([x.decode() for x in pieces[lo : lo + 5000]])
+    def _learn(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots for these pieces."""
+        raw, got = flat.tobytes(), []
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for lo in range(0, len(texts), 5000):
+            got += self._encode(texts[lo : lo + 5000])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self._slots.update(zip(pieces, range(len(self._slots), len(self._slots) + len(pieces)), strict=True))
+        slots = np.arange(len(got), dtype=np.int32) + len(self._bounds) - 1
         self._ids = np.concatenate((self._ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))))
         self._bounds = np.concatenate((self._bounds, self._bounds[-1] + np.cumsum(sizes)))
+        self._raw = np.concatenate((self._raw, flat[ranges(starts, ends - starts)]))
+        self._at = np.concatenate((self._at, self._at[-1] + np.cumsum(ends - starts)))
+        return slots
+
+    def _slots(self, spans: pa.Array) -> np.ndarray:
+        """The slot of each of some distinct pieces."""
+        off = np.frombuffer(spans.buffers()[1], np.int64)[: len(spans) + 1]
+        flat = np.frombuffer(spans.buffers()[2] or b"", np.uint8)
+        starts, ends = off[:-1], off[1:]
+        keys = between(byte_prefix(flat, 31), starts, ends)
+        at = np.minimum(np.searchsorted(self._keys, keys), max(len(self._keys) - 1, 0))
+        known = self._keys[at] == keys if len(self._keys) else np.zeros(len(keys), bool)
+        slot = np.full(len(keys), -1, np.int32)
+        slot[known] = self._slot[at[known]]
+        own, size = slot[known], (ends - starts)[known]
+        same = np.diff(self._at)[own] == size
+        own, size, begin = own[same], size[same], starts[known][same]
+        differ = self._raw[ranges(self._at[:-1][own], size)] != flat[ranges(begin, size)]
+        same[np.flatnonzero(same)[np.unique(np.repeat(np.arange(len(size)), size)[differ])]] = False
+        slot[np.flatnonzero(known)[~same]] = -1  # another piece has this hash
+        new = np.flatnonzero(slot < 0)
+        slot[new] = self._learn(flat, starts[new], ends[new])
+        new = new[~known[new]]
+        new = new[factorized(keys[new])[0]]
+        new = new[np.argsort(keys[new])]
+        place = np.searchsorted(self._keys, keys[new])
+        self._keys, self._slot = np.insert(self._keys, place, keys[new]), np.insert(self._slot, place, slot[new])
+        return slot
 
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and each row's id count."""
@@ -110,11 +141,9 @@ class WordIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         which, spans = distinct(data, starts, ends, all_words=True)  # the pieces of all words are all their bytes
-        pieces = spans.to_pylist()
-        if len(self._slots) > CACHE_WORDS:
+        if len(self._bounds) > CACHE_WORDS:
             self._clear()
-        self._learn([x for x in pieces if x not in self._slots])
-        slot = np.fromiter(map(self._slots.__getitem__, pieces), np.int64, len(pieces))[which]
+        slot = self._slots(spans)[which]
         sizes = np.diff(self._bounds)[slot]
         before = np.concatenate(([0], np.cumsum(sizes)))
         return self._ids[ranges(self._bounds[slot], sizes)], np.diff(before[bounds])
