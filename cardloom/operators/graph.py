@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,41 +15,79 @@ from cardloom.functions import vectors as V
 
 #: Vectors of a side that meet in one task.
 BLOCK = 2048
+#: Up to this many distinct leads of titles are looked for inside a row.
+LEADS = 2000
+
+
+def _in_order(df: DataFrame, n: int) -> DataFrame:
+    """df (id, v) with its block of n, which cut the ids in order into parts of about one size."""
+    if n == 1:
+        return df.withColumn("block", F.lit(0))
+    cuts = df.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n).alias("c")).first()["c"]  # n - 1 ids
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.searchsorted(np.array(cuts), batch.column("id").to_numpy(), side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["id", "v", "block"])
+
+    return df.mapInArrow(place, f"id long, v {df.schema['v'].dataType.simpleString()}, block int")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 def blocked_topk(left: DataFrame, right: DataFrame, k: int, earlier_only: bool = False, least: float | None = None) -> DataFrame:
     """(src, dst, dot, rank): for each row of left its k best rows of right by dot product, ties by id.
 
     left and right are (id, v).  The sides meet block by block, each pair of blocks in one task, which passes on
-    at most k rows a source; a vector travels once for every block of the other side.  With
-    earlier_only a source sees smaller ids alone, and blocks that hold none are never formed.
+    at most k rows a source; a vector travels once for every block that its own meets.  With earlier_only, for which both
+    sides are the same vectors, a source sees smaller ids alone: blocks follow the ids, and of two blocks only the
+    later one's sources meet the other, so that half of the pairs are never formed.
     """
-    n_left, n_right = (-(-max(1, df.count()) // BLOCK) for df in (left, right))
-    own = lambda df, n: df.withColumn("block", (F.pmod(F.xxhash64("id"), F.lit(n))).cast("int"))
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = own(left, n_left).select("id", "v", F.col("block").alias("i"), others(n_right).alias("j"))
-    b = own(right, n_right).select(F.col("id").alias("id2"), F.col("v").alias("v2"), others(n_left).alias("i2"), F.col("block").alias("j2"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"src": [], "dst": [], "dot": []})
-        y = y.sort_values("id2", kind="stable")
-        p, q = np.stack(x["v"]).astype(np.float64), np.stack(y["v2"]).astype(np.float64)
-        ids, out = y["id2"].to_numpy(), []
-        for lo in range(0, len(p), 256):
-            s = p[lo : lo + 256] @ q.T
-            src = x["id"].to_numpy()[lo : lo + 256]
-            hidden = np.zeros(s.shape, bool) if least is None else s < least
-            if earlier_only:
-                hidden |= ids[None] >= src[:, None]
-            s[hidden] = -np.inf
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(s, order, axis=1)
-            r, c = np.nonzero(np.isfinite(score))
-            out.append(pd.DataFrame({"src": src[r], "dst": ids[order[r, c]], "dot": score[r, c]}))
-        return pd.concat(out)
-
-    part = a.groupBy("i", "j").cogroup(b.groupBy("i2", "j2")).applyInPandas(best, "src long, dst long, dot double")
+    n_left = -(-max(1, left.count()) // BLOCK)
+    n_right = n_left if right is left else -(-max(1, right.count()) // BLOCK)
+    if earlier_only:
+        if right is not left:
+            raise ValueError("earlier_only compares vectors with themselves")
+        rows = _in_order(left.select(F.col("id").cast("long").alias("id"), "v"), n_left)
+        a = rows.select("id", "v", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
+        b = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.col("block"), F.lit(n_left - 1))).alias("i2"), F.col("block").alias("j2"))
+    else:
+        own = lambda df, n: df.withColumn("block", (F.pmod(F.xxhash64("id"), F.lit(n))).cast("int"))
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = own(left, n_left).select("id", "v", F.col("block").alias("i"), others(n_right).alias("j"))
+        b = own(right, n_right).select(F.col("id").alias("id2"), F.col("v").alias("v2"), others(n_left).alias("i2"), F.col("block").alias("j2"))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(x) and len(y):
+            ids = y["id2"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            p, q, ids, own = _matrix(x["v"]), _matrix(y["v2"])[order], ids[order], x["id"].to_numpy()
+            for lo in range(0, len(p), 256):
+                s = p[lo : lo + 256] @ q.T
+                src = own[lo : lo + 256]
+                hidden = np.zeros(s.shape, bool) if least is None else s < least
+                if earlier_only:
+                    hidden |= ids[None] >= src[:, None]
+                s[hidden] = -np.inf
+                if k < s.shape[1]:  # all that reach the k-th product, so that ties are settled by id
+                    bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    r, c = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
+                else:
+                    r, c = np.nonzero(np.isfinite(s))
+                by = np.lexsort((c, -s[r, c], r))
+                r, c = r[by], c[by]
+                first = np.flatnonzero(np.diff(r, prepend=-1))
+                keep = np.arange(len(r)) - np.repeat(first, np.diff(first, append=len(r))) < k
+                r, c = r[keep], c[keep]
+                found.append((src[r], ids[c], s[r, c]))
+        src, dst, dot = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pa.table({"src": src, "dst": dst, "dot": dot})
+
+    part = a.groupBy("i", "j").cogroup(b.groupBy("i2", "j2")).applyInArrow(best, "src long, dst long, dot double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("dot"), "dst")).cast("long")
     return part.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -96,11 +136,15 @@ def mentions(contents: DataFrame, titles: DataFrame) -> DataFrame:
     named = named.select("title_id", head(F.col("w"), 2).alias("lead"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("phrase"))
     own = contents.select("content_id", T.tokens(F.col("content")).alias("w")).filter(F.size("w") > 0)
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)).otherwise(a))
-    leads = F.array_distinct(F.concat("w", pairs))
-    padded = own.select("content_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("padded"), leads.alias("leads"))
-    dictionary = named.select("lead").distinct()
-    met = padded.select("content_id", F.explode("leads").alias("lead")).join(dictionary, "lead", "left_semi")
-    found = met.join(named, "lead").join(padded.select("content_id", "padded"), "content_id")
+    padded = own.select("content_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("padded"), F.array_distinct(F.concat("w", pairs)).alias("leads"))
+    few = [r["lead"] for r in named.select("lead").distinct().limit(LEADS + 1).collect()]
+    if len(few) <= LEADS:
+        # The leads that titles have are found inside the row: only contents that hold one go on, and none is shuffled.
+        some = padded.withColumn("leads", F.array_intersect("leads", F.lit(few).cast("array<string>"))).filter(F.size("leads") > 0)
+        found = some.select("content_id", "padded", F.explode("leads").alias("lead")).join(named, "lead")
+    else:
+        met = padded.select("content_id", F.explode("leads").alias("lead")).join(named.select("lead").distinct(), "lead", "left_semi")
+        found = met.join(named, "lead").join(padded.select("content_id", "padded"), "content_id")
     return found.filter(F.contains("padded", "phrase")).select("content_id", "title_id").distinct()
 
 

@@ -1,4 +1,4 @@
-"""Layouts: spiral seeds, force simulation by scope, slices, bubbles, labels and byte packing.
+"""Layouts: spiral seeds, force simulation by scope, slices, bubbles and byte packing.
 
 A simulation is sequential inside a scope, so a scope is one group; scopes run side by side.
 """
@@ -211,23 +211,6 @@ def branch_layout(children: DataFrame, width: float = L.DESKTOP_WIDTH, passes: i
     return own.select("parent_id", "id", "descendants", "diameter").groupBy("parent_id").applyInPandas(place, "parent_id long, id long, x double, y double, diameter double")
 
 
-def label_selection(placed: DataFrame, most: int = 40, height: float = 18.0, em: float = 0.54, font: float = 14.0) -> DataFrame:
-    """(scope_id, node_id, priority): labels in order of degree and id that overlap none chosen before; placed are (scope_id, node_id, x, y, degree, title)."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["degree", "node_id"], ascending=[False, True], kind="stable")
-        boxes, out = np.zeros((0, 4)), []
-        for row in pdf.itertuples(index=False):
-            half = max(1, len(row.title)) * em * font / 2
-            box = np.array([row.x - half, row.x + half, row.y - height / 2, row.y + height / 2])
-            if len(out) < most and not ((boxes[:, 0] < box[1]) & (boxes[:, 1] > box[0]) & (boxes[:, 2] < box[3]) & (boxes[:, 3] > box[2])).any():
-                boxes = np.vstack([boxes, box])
-                out.append((row.scope_id, row.node_id, len(out) + 1))
-        return pd.DataFrame(out, columns=["scope_id", "node_id", "priority"])
-
-    return placed.groupBy("scope_id").applyInPandas(choose, "scope_id long, node_id long, priority long")
-
-
 def request_size(payload: Column) -> Column:
     """Bytes of a payload struct as JSON."""
     return F.octet_length(F.to_json(payload)).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import layout as E
 from cardloom.operators import cells
 from cardloom.operators import graph as G
+from cardloom.operators import labels
 from cardloom.operators import layout as L
 from cardloom.operators import taxonomy as X
 from cardloom.plans.taxonomy import SQL as _TAXONOMY
@@ -78,11 +79,30 @@ def branch_layout(spark, sf):
     return L.branch_layout(tree.filter("parent_id IS NOT NULL").join(counts, "id").select("parent_id", "id", "descendants"))
 
 
-def label_selection(spark, sf):
+#: The canvas that labels are chosen for, and every so many-th node is selected or hovered.
+CANVAS, ZOOM, MARKED = (1280.0, 800.0), -1.0, 40
+
+
+def _labels(spark, sf):
     nodes, edges = _graph(spark, sf)
-    degree = G.adjacency(edges).groupBy("node_id").agg(F.countDistinct("neighbour_id").alias("degree"))
+    degree = G.degree(edges)
     titles = D.cards(spark, sf).select("node_id", "title")
-    return L.label_selection(L.seeded(nodes).join(titles, "node_id").join(degree, "node_id", "left").fillna(0, ["degree"]))
+    placed = L.seeded(nodes).join(titles, "node_id").join(degree, "node_id", "left").fillna(0, ["degree"])
+    return labels.boxes(placed.withColumn("first", F.col("node_id") % MARKED == 0), (0.0, 0.0), ZOOM, *CANVAS)
+
+
+def label_selection(spark, sf):
+    return labels.chosen(_labels(spark, sf))
+
+
+def label_boxes(spark, sf):
+    six = lambda c: F.round(c, 6).alias(c)
+    return _labels(spark, sf).select("scope_id", "node_id", F.array_join("lines", "|").alias("lines"), *[six(c) for c in ("x0", "x1", "y0", "y1")])
+
+
+def wrapped_titles(spark, sf):
+    """The first words of every document, set in lines."""
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(labels.wrapped(F.substring("text", 1, 300)), "|").alias("lines"))
 
 
 def byte_packing(spark, sf):
@@ -113,12 +133,26 @@ def screen_points(spark, sf):
     return D.table(spark, sf, "customer").select("c_custkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, charge_forces, charge_error, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, byte_packing, request_bytes, layout_slice_edges, focus_sets, screen_points)}
+QUERIES = {f.__name__: f for f in (layout_seed, layout_slice, layout_bounds, force_layout, charge_forces, charge_error, viewport_tiles, bubble_metrics, ring_slots, branch_layout, label_selection, label_boxes, wrapped_titles, byte_packing, request_bytes, layout_slice_edges, focus_sets, screen_points)}
 
 _GRAPH = _TAXONOMY["card_scope_graph"].replace("SELECT * FROM graph", "")
 _SEED = f"""{_GRAPH}, placed AS (SELECT scope_id, node_id, side, round(cos(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS x, round(sin(i * {E.GOLDEN_ANGLE}) * (80 + sqrt(i + 1) * 96), 6) AS y
   FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY node_id) - 1 AS i FROM graph))"""
+#: A title's words put in lines one after the other; a word that is too long is cut.
+_WRAP = lambda t: rf"""list_reduce(list_prepend('', list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')), lambda text, w: CASE WHEN text = '' THEN CASE WHEN length(w) <= {labels.FIT} THEN w ELSE rtrim(regexp_replace(w, '(.{{{labels.FIT}}})', '\1' || chr(10), 'g'), chr(10)) END
+  WHEN length(split_part(text, chr(10), -1)) + 1 + length(w) <= {labels.FIT} THEN text || ' ' || w ELSE text || chr(10) || CASE WHEN length(w) <= {labels.FIT} THEN w ELSE rtrim(regexp_replace(w, '(.{{{labels.FIT}}})', '\1' || chr(10), 'g'), chr(10)) END END)"""
+_BOXES = f"""{_SEED}, both_ends AS (SELECT node_a_id AS node_id, node_b_id AS other FROM projection UNION SELECT node_b_id, node_a_id FROM projection), degrees AS (SELECT node_id, count(DISTINCT other) AS degree FROM both_ends GROUP BY 1),
+  named AS (SELECT scope_id, node_id, x * 0.5 + 640 AS sx, y * 0.5 + 400 AS sy, coalesce(degree, 0) AS degree, node_id % {MARKED} = 0 AS first, string_split({_WRAP("title")}, chr(10)) AS lines FROM placed JOIN cards USING (node_id) LEFT JOIN degrees USING (node_id) WHERE title IS NOT NULL),
+  sized AS (SELECT *, least(384, list_max(list_transform(lines, lambda t: length(t))) * 12.96::DOUBLE) AS w, 24 + (len(lines) - 1) * 30.0::DOUBLE AS h FROM named),
+  boxes AS (SELECT scope_id, node_id, degree, first, lines, sx - w / 2 AS x0, sx + w / 2 AS x1, sy + 16 AS y0, sy + 16 + h AS y1 FROM sized WHERE sx + w / 2 >= 0 AND sx - w / 2 <= 1280 AND sy + 16 + h >= 0 AND sy + 16 <= 800)"""
 SQL = {
+    "wrapped_titles": f"SELECT doc_id, replace({_WRAP('substr(text, 1, 300)')}, chr(10), '|') AS lines FROM documents",
+    "label_boxes": f"{_BOXES} SELECT scope_id, node_id, array_to_string(lines, '|') AS lines, round(x0, 6) AS x0, round(x1, 6) AS x1, round(y0, 6) AS y0, round(y1, 6) AS y1 FROM boxes",
+    "label_selection": f"""{_BOXES.replace("WITH ", "WITH RECURSIVE ", 1)}, ordered AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY first DESC, degree DESC, node_id) AS i FROM boxes),
+      step AS (SELECT scope_id, i, [{{'n': node_id, 'a': x0, 'b': x1, 'c': y0, 'd': y1}}] AS shown FROM ordered WHERE i = 1
+        UNION ALL SELECT s.scope_id, o.i, CASE WHEN len(list_filter(shown, lambda k: x0 <= k.b AND x1 >= k.a AND y0 <= k.d AND y1 >= k.c)) > 0 THEN shown ELSE list_append(shown, {{'n': node_id, 'a': x0, 'b': x1, 'c': y0, 'd': y1}}) END
+        FROM step s JOIN ordered o ON o.scope_id = s.scope_id AND o.i = s.i + 1),
+      last AS (SELECT scope_id, arg_max(shown, i) AS shown FROM step GROUP BY 1) SELECT scope_id, unnest(shown).n AS node_id FROM last""",
     "charge_forces": f"""{_SEED}, f AS (SELECT a.scope_id, a.node_id, (b.x - a.x) * -180 / greatest(pow(b.x - a.x, 2) + pow(b.y - a.y, 2), 1) AS fx, (b.y - a.y) * -180 / greatest(pow(b.x - a.x, 2) + pow(b.y - a.y, 2), 1) AS fy
       FROM placed a LEFT JOIN placed b ON a.scope_id = b.scope_id AND a.node_id <> b.node_id) SELECT scope_id, node_id, round(coalesce(sum(fx), 0), 4) AS fx, round(coalesce(sum(fy), 0), 4) AS fy FROM f GROUP BY 1, 2""",
     "charge_error": f"{_SEED} SELECT scope_id, count(*) AS n, true AS close FROM placed GROUP BY 1",

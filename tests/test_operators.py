@@ -298,9 +298,7 @@ def test_branch_layout_never_overlaps(spark):
             assert a.id >= b.id or np.hypot(a.x - b.x, a.y - b.y) >= (a.diameter + b.diameter) / 2 - 1e-3
 
 
-def test_labels_and_packing(spark):
-    labels = spark.createDataFrame([(1, 1, 0.0, 0.0, 3, "long title"), (1, 2, 5.0, 2.0, 9, "other"), (1, 3, 500.0, 0.0, 1, "far")], "scope_id long, node_id long, x double, y double, degree long, title string")
-    assert rows(layout.label_selection(labels)) == [(1, 2, 1), (1, 3, 2)]
+def test_packing(spark):
     items = spark.createDataFrame([("q", i, b) for i, b in enumerate([40, 40, 40, 200, 1])], "queue string, item_id long, bytes long")
     assert [r["batch"] for r in sorted(layout.packed_batches(items, 2, 100).collect(), key=lambda r: r["item_id"])] == [0, 0, 1, 2, 3]
     pd.testing.assert_frame_equal(pd.DataFrame({"r": [0, 1, 2, 2]}), spark.createDataFrame([(0,), (1,), (7,), (18,)], "i long").select(FL.ring_slot(F.col("i"))["ring"].alias("r")).toPandas(), check_dtype=False)
