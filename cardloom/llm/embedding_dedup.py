@@ -2,12 +2,13 @@
 
 Unit vectors are cut in halves with a codebook each (k-means on at most `SAMPLE` vectors); the
 product of the codebooks is a grid of cells, and every vector has a home cell.  A vector visits
-cells in the order of a lower bound on its distance to anything at home there: for
-each half the distance to the plane between its own codeword and the cell's, squared and summed.
-Vectors of cosine >= t lie within squared distance 2 - 2 t, so visiting all cells up to that
-bound finds every link, of pairs and small groups as of large ones.  A sample chooses the size of the
-codebooks, which changes cost only: where the bound excludes few cells the work is quadratic.
-A pair needs to meet once, so a vector visits only cells before its own home.
+cells by multi-sequence traversal: each half's codewords in the order of the squared distance from the vector to the plane
+between its own codeword and theirs, and cells in the order of the sum of both, which is a lower bound on the distance to
+anything at home there.  It stops at the bound that reaches the recall asked for.  Recall 1 is the bound of the threshold
+itself: vectors of cosine >= t lie within squared distance 2 - 2 t, so that every link is found, of pairs and small groups as of
+large ones.  For less, the links of a probe set among the sample tell the bound that holds so many of them.
+The sample also chooses the size of the codebooks, which changes cost only: where the bound excludes few cells the work is
+quadratic.  A pair needs to meet once, so a vector visits only cells before its own home.
 
 Met vectors are verified in double precision.  Equal vectors are one node with a
 multiplicity.  Cells are split into blocks of homes and of visitors by counts taken
@@ -35,7 +36,7 @@ from .jobs import lean, stored
 from .textview import mix, ranges
 
 COSINE = 0.9
-TARGET_RECALL = 0.999
+TARGET_RECALL = 1.0
 #: Vectors that the codebooks are fitted on, and vectors that tell their cost.
 SAMPLE, PROBES = 8192, 256
 #: Homes and visitors of a block.
@@ -96,7 +97,7 @@ class Grid:
         return homes[0] * len(self.books[1]) + homes[1], out
 
     def visits(self, x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home cells; (row, cell) of all cells up to the bound and not after the home, in the order of their first halves."""
+        """Home cells; (row, cell) of all cells up to the bound and not after the home, each row's nearest first: a merge of both halves' sorted sequences by their sums."""
         home, (a, b) = self.bounds(x)
         row, i = np.nonzero(a <= most)
         order = np.argsort(b, axis=1)
@@ -109,9 +110,24 @@ class Grid:
         place = ranges(np.zeros(len(row), np.int64), n)
         row, i = np.repeat(row, n), np.repeat(i, n)
         cell = i * len(self.books[1]) + order[row, place]
-        keep = cell <= home[row]
+        near = a[row, i] + ranked[row, place]
+        keep = np.flatnonzero(cell <= home[row])
+        keep = keep[np.lexsort((cell[keep], near[keep], row[keep]))]
         return home, row[keep], cell[keep]
 
+    def stop(self, sample: np.ndarray, cosine: float, recall: float) -> float:
+        """The bound up to which vectors visit cells to find that share of the links."""
+        most = 2 - 2 * cosine + 1e-9
+        if recall >= 1:
+            return most
+        home, (a, b) = self.bounds(sample)
+        x, y = np.nonzero(sample[:PROBES] @ sample.T >= cosine)
+        x, y = x[x != y], y[x != y]
+        first = np.where(home[x] >= home[y], x, y)  # visits
+        other = np.where(home[x] >= home[y], y, x)
+        needs = a[first, home[other] // len(self.books[1])] + b[first, home[other] % len(self.books[1])]
+        return min(most, float(np.quantile(needs, recall, method="higher")) + 1e-12) if len(needs) else most
+
 
 def _prepared(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFrame, str, DataFrame]:
     """(vec_id, raw) of every row, the element type, and the distinct valid vectors (uid, least, copies, raw)."""
@@ -129,10 +145,9 @@ def _prepared(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFram
                 raw.append(a.astype(kind).tobytes() if ok and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    rows = own.mapInArrow(lean(pack), "vec_id long, raw binary").withColumn("uid", F.xxhash64("raw"))
-    rows = stored(rows, "embedding-rows")
-    distinct = rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.first("uid").alias("uid"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    return rows, kind, stored(distinct, "embedding-distinct")
+    rows = stored(own.mapInArrow(lean(pack), "vec_id long, raw binary"), "embedding-rows")
+    distinct = rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    return rows, kind, stored(distinct.withColumn("uid", F.monotonically_increasing_id()), "embedding-distinct")  # numbered as they are written
 
 
 def _columns(batch: pa.RecordBatch, kind: str):
@@ -154,11 +169,12 @@ def fitted(sample: np.ndarray, n: int, most: float) -> Grid:
     return best[1]
 
 
-def _met(distinct: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
+def _met(distinct: DataFrame, n: int, kind: str, cosine: float, recall: float) -> DataFrame:
     """(uid, n, a, b) of all links among n distinct vectors of one length: link counts, and stars over the least vec_ids."""
-    sample = units([bytes(r["raw"]) for r in distinct.orderBy(F.xxhash64("uid"), "raw").limit(SAMPLE).collect()], kind)
+    sample = units([bytes(r["raw"]) for r in distinct.orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).collect()], kind)
     most = 2 - 2 * cosine + 1e-9
     grid = fitted(sample, n, most)
+    most = grid.stop(sample, cosine, recall)
     rows = max(1, min(1000, 500_000 // (len(grid.books[0]) * len(grid.books[1]))))  # a chunk's visits fit in memory
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,18 +271,18 @@ def _met(distinct: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
 
 
 def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id), one row a vector.  All links are found, so any target_recall is met."""
+    """(vec_id, n_links, component_id), one row a vector; no link is found below the cosine, and at a target_recall of 1 all are."""
     rows, kind, distinct = _prepared(vectors, id_column, column)
     size = F.octet_length("raw")
     lengths = distinct.groupBy(size.alias("size")).count().filter("count > 1").orderBy("size").collect()  # a row a length
     none = vectors.sparkSession.createDataFrame([], "uid long, n long, a long, b long")
-    met = reduce(DataFrame.union, [_met(distinct.filter(size == r["size"]), r["count"], kind, cosine) for r in lengths] or [none])
+    met = reduce(DataFrame.union, [_met(distinct.filter(size == r["size"]), r["count"], kind, cosine, target_recall) for r in lengths] or [none])
     counts = met.filter("uid IS NOT NULL").groupBy("uid").agg(F.sum("n").alias("far"))
     groups = components(met.filter("uid IS NULL").select("a", "b"))
     nodes = distinct.join(counts, "uid", "left").join(groups, distinct["least"] == groups["node"], "left")
-    nodes = nodes.select(F.col("uid").alias("_uid"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "least").alias("least"))
-    joined = rows.withColumn("_key", F.when(F.col("raw").isNotNull(), F.col("uid"))).join(nodes, F.col("_key") == F.col("_uid"), "left")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.when(F.col("_key").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    nodes = nodes.select(F.col("raw").alias("_raw"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "least").alias("least"))
+    joined = rows.join(nodes, F.col("raw") == F.col("_raw"), "left")
+    return joined.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.when(F.col("raw").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _summed(ids: list, counts: list) -> tuple[list, list]:

@@ -46,6 +46,22 @@ def test_measured_recall_reaches_the_target(spark):
     assert all(got[i] <= n[i] for i in n) and sum(got.values()) >= 0.9 * sum(n.values())
 
 
+def test_cells_are_visited_nearest_first_and_less_recall_stops_sooner():
+    x = np.array([v for _, v, _ in vectors(3, 400)], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    half = x.shape[1] // 2
+    grid = E.Grid(E.codebook(x[:, :half], 8), E.codebook(x[:, half:], 8))
+    most = grid.stop(x, 0.9, 1.0)
+    home, row, cell = grid.visits(x, most)
+    _, (a, b) = grid.bounds(x)
+    bound = a[row, cell // 8] + b[row, cell % 8]
+    assert most == pytest.approx(0.2) and all((np.diff(bound[row == r]) >= 0).all() for r in range(len(x))) and bound.max() <= most + 1e-9
+    want = {(r, i * 8 + j) for r in range(len(x)) for i in range(8) for j in range(8) if a[r, i] + b[r, j] <= most and i * 8 + j <= home[r]}
+    assert set(zip(row.tolist(), cell.tolist(), strict=True)) == want
+    stops = [grid.stop(x, 0.9, t) for t in (0.5, 0.9, 0.99, 1.0)]
+    assert stops == sorted(stops) and len(grid.visits(x, stops[0])[2]) <= len(cell)
+
+
 def test_small_groups_keep_their_links_beside_a_large_one(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(700, 16))
