@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 BUCKET_BYTES = 8 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one of our own only where it is unset (tests)."""
+    """The cluster's shared checkpoint folder; one of this application's own only where none is named (tests on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cardloom-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cardloom-checkpoints-"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ repeated windows) among its rules.  `quality` reports measures of every document
 verdict already and runs the cascade of the further rules over the documents that pass it.
 
 Defined cases: null or empty text has no words and fails the base rule; repeated rows are
-judged each; other columns are carried by `quality_filter` and ignored by `quality`.
+judged each; other columns are carried, but `quality` puts its measures in place of columns of their names.
 """
 
 from __future__ import annotations
@@ -189,6 +189,7 @@ _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def quality(docs: DataFrame) -> DataFrame:
     """docs with the measures, `base_failed` and `kept`."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(*(x.split()[0] for x in _COLUMNS.split(", ")))
     order, names = rule_order(docs, RULES), docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
