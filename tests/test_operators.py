@@ -56,6 +56,29 @@ def test_blocked_topk_over_many_blocks(spark, monkeypatch):
         assert [got[(i + 1, k)] - 1 for k in (1, 2, 3)] == want
 
 
+def test_neighbours_among_earlier_ids_by_blocks_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    ids = sorted(rng.choice(10_000, 40, replace=False).tolist())
+    v = rng.normal(size=(40, 5))
+    v[5] = v[6] = v[20]  # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, v array<double>").repartition(4)
+    want = {(ids[a], k + 1, ids[b]) for a in range(40) for k, b in enumerate(sorted((b for b in range(a) if v[a] @ v[b] >= 0.1), key=lambda b: (-round(v[a] @ v[b], 9), b))[:3])}
+    got = graph.blocked_topk(df, df, 3, earlier_only=True, least=0.1)
+    assert {(r["src"], r["rank"], r["dst"]) for r in got.collect()} == want
+    with pytest.raises(ValueError, match="themselves"):
+        graph.blocked_topk(df, df.limit(3), 3, earlier_only=True)
+
+
+def test_mentions_with_many_titles(spark, monkeypatch):
+    contents = spark.createDataFrame([(1, "the red house and a red fox"), (2, "red"), (3, None), (4, "fox hunt")], "content_id long, content string")
+    titles = spark.createDataFrame([(1, "Red house"), (2, "red"), (3, "fox"), (4, "fox hunting"), (5, "!")], "title_id long, title string")
+    want = [(1, 1), (1, 2), (1, 3), (2, 2), (4, 3)]
+    for most in (2000, 1):
+        monkeypatch.setattr(graph, "LEADS", most)
+        assert rows(graph.mentions(contents, titles)) == want
+
+
 def test_mentions_need_the_whole_phrase(spark):
     contents = spark.createDataFrame([(9, "Quantum Mechanics is referenced directly. Mappings are not the target title."), (8, None), (7, "relativity")], "content_id long, content string")
     titles = spark.createDataFrame([(1, "Quantum Mechanics"), (2, "Map"), (3, "Relativity"), (4, "!!"), (5, None)], "title_id long, title string")
