@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from cardloom.functions import layout as L
 
 TICKS = 160
+#: Nodes by nodes whose pairs are formed at a time: a tile stays in a core's cache.
+TILE = (128, 1024)
+#: Partitions that scopes are spread over, at most.
+TASKS = 2000
 
 
 @dataclass(frozen=True)
@@ -63,11 +67,104 @@ def _unit(i: int, j: int, ids: np.ndarray) -> np.ndarray:
     return np.array([np.cos(angle), np.sin(angle)])
 
 
+def _charged(ids: np.ndarray, pos: np.ndarray, force: float) -> np.ndarray:
+    """What all nodes do to each, added up in their order, a tile after the other."""
+    x, y = np.ascontiguousarray(pos.T)
+    n, out = len(ids), np.zeros((2, len(ids)))
+    dx, dy, f, g = np.empty((4, *TILE))
+    for lo in range(0, n, TILE[1]):
+        hi = min(lo + TILE[1], n)
+        for at in range(0, n, TILE[0]):
+            to = min(at + TILE[0], n)
+            a, b, c, d = (z[: to - at, : hi - lo] for z in (dx, dy, f, g))
+            np.subtract(x[at:to, None], x[None, lo:hi], out=a)
+            np.subtract(y[at:to, None], y[None, lo:hi], out=b)
+            np.multiply(a, a, out=c)
+            np.multiply(b, b, out=d)
+            np.add(c, d, out=c)
+            zero = np.argwhere(c == 0) if c.min() == 0 else ()
+            np.maximum(c, 1, out=c)
+            np.divide(force, c, out=c)
+            for j, i in zero:
+                if i + lo == j + at:
+                    c[j, i] = 0
+                else:
+                    low, high = sorted((i + lo, j + at))
+                    a[j, i], b[j, i] = _unit(low, high, ids) * (1 if i + lo == low else -1)
+            for k, z in enumerate((a, b)):
+                np.multiply(z, c, out=z)
+                z[0] += out[k, lo:hi]
+                np.add.reduce(z, axis=0, out=out[k, lo:hi])
+    return out.T
+
+
+def _pulled(ids: np.ndarray, edges: list[tuple[int, int, float]], pos: np.ndarray, vel: np.ndarray, alpha: float, forces: Forces) -> np.ndarray:
+    """Velocities after the links, one after the other.  abs(complex) is C's hypot, as in numpy."""
+    (px, py), (vx, vy) = pos.T.tolist(), vel.T.tolist()
+    for i, j, strength in edges:
+        dx, dy = px[j] + vx[j] - px[i] - vx[i], py[j] + vy[j] - py[i] - vy[i]
+        length = abs(complex(dx, dy))
+        if length == 0:
+            (dx, dy), length = _unit(i, j, ids).tolist(), 1.0
+        wanted = forces.link_distance - forces.link_distance_by_strength * strength
+        f = (length - wanted) / length * alpha * (forces.link_pull + forces.link_pull_by_strength * strength)
+        fx, fy = dx * f / 2, dy * f / 2
+        vx[i] += fx
+        vy[i] += fy
+        vx[j] -= fx
+        vy[j] -= fy
+    return np.array([vx, vy]).T.copy()
+
+
+def _apart(ids: np.ndarray, ahead: np.ndarray, alpha: float, forces: Forces) -> np.ndarray:
+    """Places after the collisions: each node in order meets the later ones in order, as they then stand; squares keep who is near."""
+    least = 2 * forces.radius
+    if not least:
+        return ahead
+    x, y = ahead.T.tolist()
+    side, square = least * (1 + 1e-9), least * least
+    at = [(a // side, b // side) for a, b in zip(x, y, strict=True)]
+    held: dict[tuple[float, float], set[int]] = {}
+    for i, c in enumerate(at):
+        held.setdefault(c, set()).add(i)
+
+    def moved(i: int, dx: float, dy: float) -> None:
+        x[i] += dx
+        y[i] += dy
+        c = (x[i] // side, y[i] // side)
+        if c != at[i]:
+            held[at[i]].discard(i)
+            held.setdefault(c, set()).add(i)
+            at[i] = c
+
+    for i in range(len(x) - 1):
+        last = i
+        while True:
+            (a, b), j = at[i], len(x)
+            for c in (a - 1, a, a + 1):
+                for k in (b - 1, b, b + 1):
+                    for m in held.get((c, k), ()):
+                        if last < m < j and (x[m] - x[i]) * (x[m] - x[i]) + (y[m] - y[i]) * (y[m] - y[i]) < square:
+                            j = m
+            if j == len(x):
+                break
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            length = abs(complex(dx, dy))
+            if length == 0:
+                (dx, dy), length = _unit(i, j, ids).tolist(), 1.0
+            f = (least - length) / length * forces.collide * alpha
+            moved(i, -dx * f / 2, -dy * f / 2)
+            moved(j, dx * f / 2, dy * f / 2)
+            last = j
+    return np.array([x, y]).T.copy()
+
+
 def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int | None = None, forces: Forces = Forces()) -> np.ndarray:
     """Places of nodes (ids ascending) after the simulation; edges are index pairs with a strength.
 
     Links and collisions look at where nodes are about to be, and each pair moves before the next is looked at; charge, center and
-    boundary look at places.  Memory is a row of 512 nodes against all, work the square of the nodes each tick.
+    boundary look at places.  Memory is linear in the nodes; charges, which are exact, take the square of the nodes each tick, all
+    else is linear.
     """
     n = len(ids)
     index = np.arange(n)
@@ -75,48 +172,13 @@ def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int |
     pos = np.stack([np.cos(index * L.GOLDEN_ANGLE) * radius, np.sin(index * L.GOLDEN_ANGLE) * radius], axis=1)
     if n <= 1:
         return np.round(pos, 6)
-    vel, alpha, least = np.zeros_like(pos), 1.0, 2 * forces.radius
+    vel, alpha = np.zeros_like(pos), 1.0
     decay = 1 - forces.alpha_min ** (1 / 300)
     for _ in range(forces.ticks if ticks is None else ticks):
         alpha -= alpha * decay
-        for i, j, strength in edges:
-            d = pos[j] + vel[j] - pos[i] - vel[i]
-            length = float(np.hypot(*d))
-            if length == 0:
-                d, length = _unit(i, j, ids), 1.0
-            wanted = forces.link_distance - forces.link_distance_by_strength * strength
-            f = d * ((length - wanted) / length * alpha * (forces.link_pull + forces.link_pull_by_strength * strength)) / 2
-            vel[i] += f
-            vel[j] -= f
-        for lo in range(0, n, 512):
-            d = pos[None] - pos[lo : lo + 512, None]
-            square = (d * d).sum(axis=2)
-            for a, b in zip(*np.nonzero(square == 0), strict=True):
-                if a + lo != b:
-                    i, j = sorted((a + lo, b))
-                    d[a, b] = _unit(i, j, ids) * (1 if a + lo == i else -1)
-                    square[a, b] = 1
-            f = forces.charge * alpha / np.maximum(square, 1)
-            np.fill_diagonal(f[:, lo : lo + 512], 0)
-            vel[lo : lo + 512] += (d * f[:, :, None]).sum(axis=1)
-        ahead = pos + vel
-        for i in range(n - 1):
-            j = i + 1
-            while j < n:
-                d = ahead[j:] - ahead[i]
-                near = np.flatnonzero((d * d).sum(axis=1) < least * least)
-                if not len(near):
-                    break
-                j += int(near[0])
-                d = d[near[0]]
-                length = float(np.hypot(*d))
-                if length == 0:
-                    d, length = _unit(i, j, ids), 1.0
-                f = d * ((least - length) / length * forces.collide * alpha) / 2
-                ahead[i] -= f
-                ahead[j] += f
-                j += 1
-        vel = ahead - pos
+        vel = _pulled(ids, edges, pos, vel, alpha, forces)
+        vel += _charged(ids, pos, forces.charge * alpha)
+        vel = _apart(ids, pos + vel, alpha, forces) - pos
         vel -= pos * (forces.center * alpha)
         if forces.boundary and forces.boundary_radius:
             length = np.hypot(*pos.T)
@@ -147,7 +209,10 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS, forces:
         pos = simulate(ids, canonical_edges(ids, right[["node_a_id", "node_b_id", "strength"]].itertuples(index=False)), ticks, forces)
         return pd.DataFrame({"scope_id": key[0], "node_id": ids, "x": pos[:, 0], "y": pos[:, 1]}) if len(ids) else pd.DataFrame({"scope_id": [], "node_id": [], "x": [], "y": []})
 
-    return nodes.select("scope_id", "node_id").groupBy("scope_id").cogroup(links.groupBy("s")).applyInPandas(place, "scope_id long, node_id long, x double, y double")
+    # Scopes are small in bytes and long in work: a fixed number of partitions keeps them from being put together in a few tasks.
+    tasks = min(max(1, 8 * nodes.select("scope_id").distinct().count()), TASKS)
+    own, links = nodes.select("scope_id", "node_id").repartition(tasks, "scope_id"), links.repartition(tasks, "s")
+    return own.groupBy("scope_id").cogroup(links.groupBy("s")).applyInPandas(place, "scope_id long, node_id long, x double, y double")
 
 
 def bounds(placed: DataFrame) -> DataFrame:

@@ -313,6 +313,33 @@ def test_layout(spark):
         layout.sliced(placed, 1, 0, 0, 1)
 
 
+def test_simulation_by_tiles_and_squares(monkeypatch):
+    """Charges come tile by tile and collisions from the squares around a node, to the last bit as if all pairs were looked at."""
+    ids, forces = np.arange(40) * 3 + 1, layout.Forces(radius=90.0)
+    edges = [(i, j, 0.5) for i in range(40) for j in range(i + 1, 40) if (i * j) % 11 == 3]
+    whole = layout.simulate(ids, edges, 12, forces)
+    monkeypatch.setattr(layout, "TILE", (3, 7))
+    assert (layout.simulate(ids, edges, 12, forces) == whole).all()
+    ahead = np.random.default_rng(2).normal(0, 150, (60, 2))
+    ahead[7] = ahead[5]
+    ids, want = np.arange(60), ahead.copy()
+    for i in range(59):
+        for j in range(i + 1, 60):
+            d = want[j] - want[i]
+            length = float(np.hypot(*d))
+            if float((d * d).sum()) < 180.0 * 180.0:
+                d, length = (d, length) if length else (layout._unit(i, j, ids), 1.0)
+                f = d * ((180.0 - length) / length * forces.collide * 0.7) / 2
+                want[i] -= f
+                want[j] += f
+    assert (layout._apart(ids, ahead, 0.7, forces) == want).all()
+    force = layout._charged(ids, ahead, -126.0)
+    for i in range(60):
+        d = np.delete(ahead, i, 0) - ahead[i]
+        d[(d == 0).all(1)] = layout._unit(5, 7, ids) * (1 if i == 5 else -1)
+        assert force[i] == pytest.approx((d * (-126.0 / np.maximum((d * d).sum(1), 1))[:, None]).sum(0), abs=1e-9)
+
+
 def test_branch_layout_never_overlaps(spark):
     kids = spark.createDataFrame([(1, i, 10 * i * i) for i in range(2, 20)], "parent_id long, id long, descendants long")
     p = layout.branch_layout(kids).toPandas()
