@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import layout as L
-from cardloom.operators.layout import TICKS, Forces
+from cardloom.operators.layout import TASKS, TICKS, TILE, Forces
 from cardloom.sources.versioned import cut
 
 #: Nodes that a cell holds on average, at most.
 OCCUPANCY = 64
-#: Nodes of a side that meet in one task.
-PART = 2048
+#: Nodes of a side that meet in one task.  A node travels once for every part of its scope, so large parts keep the shuffle small; memory is a tile.
+PART = 16384
 _ROWS = "scope_id long, cx long, cy long, tp int, sp int, kind int, node_id long, x double, y double, mass double"
 
 
@@ -35,6 +35,46 @@ def _unit(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(angle), np.sin(angle)], axis=-1)
 
 
+def repulsion(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, weight: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """What points (u, v) do to points (x, y) and, if they have no weights, these to them, at a charge of 1: d / max(d^2, 1) summed over the pairs.
+
+    With own both are the same points, and each pair is met once.  Pairs in one place are left out and returned by their indices.  Memory
+    is a tile, whatever the number of points.
+    """
+    left, right, same = np.zeros((len(x), 2)), np.zeros((len(u), 2)), []
+    a, b = np.stack([x, y, np.ones(len(x))], axis=1), np.stack([u, v, np.ones(len(u))], axis=1)
+    if weight is not None:
+        b *= weight[:, None]
+    dx, dy = np.empty((2, min(TILE[0], len(x)), min(TILE[1], len(u))))
+    for lo in range(0, len(x), TILE[0]):
+        hi = min(lo + TILE[0], len(x))
+        for at in range(lo if own else 0, len(u), TILE[1]):
+            to = min(at + TILE[1], len(u))
+            d, f = dx[: hi - lo, : to - at], dy[: hi - lo, : to - at]
+            np.subtract(u[None, at:to], x[lo:hi, None], out=d)
+            np.subtract(v[None, at:to], y[lo:hi, None], out=f)
+            np.multiply(d, d, out=d)
+            np.multiply(f, f, out=f)
+            np.add(f, d, out=f)
+            if own and at < hi:  # of the tiles on the diagonal the upper half
+                f[np.arange(lo, hi)[:, None] >= np.arange(at, to)[None]] = np.inf
+            if f.size and f.min() == 0:
+                r, c = np.nonzero(f == 0)
+                same.extend(zip((r + lo).tolist(), (c + at).tolist(), strict=True))
+                f[r, c] = np.inf
+            np.maximum(f, 1, out=f)
+            np.reciprocal(f, out=f)
+            s = f @ b[at:to]
+            left[lo:hi, 0] += s[:, 0] - x[lo:hi] * s[:, 2]
+            left[lo:hi, 1] += s[:, 1] - y[lo:hi] * s[:, 2]
+            if weight is not None:
+                continue
+            s = f.T @ a[lo:hi]
+            right[at:to, 0] += s[:, 0] - u[at:to] * s[:, 2]
+            right[at:to, 1] += s[:, 1] - v[at:to] * s[:, 2]
+    return (left + right if own else left), right, same
+
+
 def _grid(placed: DataFrame, occupancy: int, one_cell: bool) -> DataFrame:
     """placed (scope_id, node_id, x, y) with its leaf cell cx, cy, the number of halvings `depth`, and `parts`."""
     box = placed.groupBy("scope_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"), F.count("*").alias("n"))
@@ -55,7 +95,9 @@ def charges(placed: DataFrame, angle: float = 0.5, charge: float = -180.0, alpha
     if not 0 <= angle < 1:
         raise ValueError("the opening angle lies from 0 to below 1")
     rows = cut(_grid(placed, occupancy, angle == 0))
-    reach = 0 if angle == 0 else math.ceil(1 / angle)
+    if angle == 0:
+        return _all_pairs(rows, charge * alpha)
+    reach = math.ceil(1 / angle)
     part = lambda: F.pmod(F.xxhash64("node_id"), F.col("parts")).cast("int")
     every = lambda: _explode_range(F.lit(0), F.col("parts") - 1)
     target = rows.select("scope_id", "cx", "cy", part().alias("tp"), every().alias("sp"), F.lit(0).alias("kind"), "node_id", "x", "y", F.lit(1.0).alias("mass"))
@@ -64,43 +106,65 @@ def charges(placed: DataFrame, angle: float = 0.5, charge: float = -180.0, alpha
     near = rows.withColumn("edge", edge).withColumn("nx", around("cx")).withColumn("ny", around("cy"))
     near = near.select("scope_id", F.col("nx").alias("cx"), F.col("ny").alias("cy"), every().alias("tp"), part().alias("sp"), F.lit(1).alias("kind"), "node_id", "x", "y", F.lit(1.0).alias("mass"))
     both = target.unionByName(near)
-    if reach:
-        leaves = rows.groupBy("scope_id", "cx", "cy").agg(F.first("depth").alias("depth"), F.first("parts").alias("parts"), F.count("*").alias("mass"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-        levels = leaves.withColumn("level", _explode_range(F.lit(1), F.greatest(F.col("depth"), F.lit(1)))).filter("level <= depth").withColumn("scale", F.pow(F.lit(2.0), F.col("depth") - F.col("level")).cast("long"))
-        up = lambda c: F.floor(F.col(c) / F.col("scale")).cast("long")
-        sums = levels.groupBy("scope_id", "level", up("cx").alias("jx"), up("cy").alias("jy")).agg(F.sum("mass").cast("double").alias("mass"), (F.sum("sx") / F.sum("mass")).alias("x"), (F.sum("sy") / F.sum("mass")).alias("y"))
-        # Far cells of a level: those around the parent's place that the next finer level does not look at.
-        own = levels.withColumns({"ux": up("cx"), "uy": up("cy")})
-        wide = lambda c: _explode_range(F.greatest(2 * (F.floor(F.col(c) / 2) - reach), F.lit(0)).cast("long"), (2 * (F.floor(F.col(c) / 2) + reach) + 1).cast("long"))
-        own = own.withColumn("jx", wide("ux")).withColumn("jy", wide("uy")).filter((F.abs(F.col("jx") - F.col("ux")) > reach) | (F.abs(F.col("jy") - F.col("uy")) > reach))
-        far = own.select("scope_id", "level", "jx", "jy", "cx", "cy", "parts").join(sums, ["scope_id", "level", "jx", "jy"])
-        far = far.select("scope_id", "cx", "cy", every().alias("tp"), F.lit(0).alias("sp"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("node_id"), "x", "y", "mass")
-        both = both.unionByName(far)
+    leaves = rows.groupBy("scope_id", "cx", "cy").agg(F.first("depth").alias("depth"), F.first("parts").alias("parts"), F.count("*").alias("mass"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    levels = leaves.withColumn("level", _explode_range(F.lit(1), F.greatest(F.col("depth"), F.lit(1)))).filter("level <= depth").withColumn("scale", F.pow(F.lit(2.0), F.col("depth") - F.col("level")).cast("long"))
+    up = lambda c: F.floor(F.col(c) / F.col("scale")).cast("long")
+    sums = levels.groupBy("scope_id", "level", up("cx").alias("jx"), up("cy").alias("jy")).agg(F.sum("mass").cast("double").alias("mass"), (F.sum("sx") / F.sum("mass")).alias("x"), (F.sum("sy") / F.sum("mass")).alias("y"))
+    # Far cells of a level: those around the parent's place that the next finer level does not look at.
+    own = levels.withColumns({"ux": up("cx"), "uy": up("cy")})
+    wide = lambda c: _explode_range(F.greatest(2 * (F.floor(F.col(c) / 2) - reach), F.lit(0)).cast("long"), (2 * (F.floor(F.col(c) / 2) + reach) + 1).cast("long"))
+    own = own.withColumn("jx", wide("ux")).withColumn("jy", wide("uy")).filter((F.abs(F.col("jx") - F.col("ux")) > reach) | (F.abs(F.col("jy") - F.col("uy")) > reach))
+    far = own.select("scope_id", "level", "jx", "jy", "cx", "cy", "parts").join(sums, ["scope_id", "level", "jx", "jy"])
+    far = far.select("scope_id", "cx", "cy", every().alias("tp"), F.lit(0).alias("sp"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("node_id"), "x", "y", "mass")
+    both = both.unionByName(far)
 
     def meet(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
         ids, x, y, mass = (table[c].to_numpy() for c in ("node_id", "x", "y", "mass"))
         a, b = np.flatnonzero(kind == 0), np.flatnonzero(kind > 0)
-        total = np.zeros((len(a), 2))
         named = np.where(kind == 2, -1, np.nan_to_num(ids.astype(float), nan=-1)).astype(np.int64)
-        for lo in range(0, len(a), 256):
-            t = a[lo : lo + 256]
-            d = np.stack([x[b][None] - x[t][:, None], y[b][None] - y[t][:, None]], axis=-1)
-            square = np.square(d).sum(-1)
-            same = (named[b][None] == named[t][:, None]) & (kind[b] == 1)[None]
-            for i, j in zip(*np.nonzero((square == 0) & ~same & (kind[b] == 1)[None]), strict=True):
-                p, q = named[t[i]], named[b[j]]
-                d[i, j] = _unit(np.float64(min(p, q)), np.float64(max(p, q))) * (1 if p < q else -1)
-                square[i, j] = 1
-            f = charge * alpha * mass[b][None] / np.maximum(square, 1)
-            f[same] = 0
-            total[lo : lo + 256] = (d * f[:, :, None]).sum(axis=1)
+        total, _, same = repulsion(x[a], y[a], x[b], y[b], mass[b])
+        for i, j in same:
+            p, q = named[a[i]], named[b[j]]
+            if kind[b[j]] == 1 and p != q:
+                total[i] += _unit(np.float64(min(p, q)), np.float64(max(p, q))) * (1 if p < q else -1)
+        total *= charge * alpha
         return pa.table({"scope_id": table["scope_id"].take(pa.array(a)), "node_id": pa.array(named[a]), "fx": total[:, 0], "fy": total[:, 1]})
 
     met = both.select(*[c.split()[0] for c in _ROWS.split(", ")]).groupBy("scope_id", "cx", "cy", "tp", "sp").applyInArrow(meet, "scope_id long, node_id long, fx double, fy double")
     return met.groupBy("scope_id", "node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
+def _all_pairs(rows: DataFrame, force: float) -> DataFrame:
+    """The charges of nodes (scope_id, node_id, x, y, parts) pair by pair: two parts meet once, for both."""
+    part = F.pmod(F.xxhash64("node_id"), F.col("parts")).cast("int")
+    both = rows.withColumn("p", part).withColumn("q", _explode_range(F.lit(0), F.col("parts") - 1))
+    both = both.select("scope_id", F.least("p", "q").alias("tp"), F.greatest("p", "q").alias("sp"), (F.col("p") > F.col("q")).cast("int").alias("kind"), F.col("node_id").cast("long").alias("node_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, x, y, kind = (table[c].to_numpy() for c in ("node_id", "x", "y", "kind"))
+        a = np.flatnonzero(kind == 0)
+        own = table["tp"][0].as_py() == table["sp"][0].as_py()
+        b = a if own else np.flatnonzero(kind == 1)
+        left, right, same = repulsion(x[a], y[a], x[b], y[b], own=own)
+        back = left if own else right
+        for i, j in same:
+            p, q = ids[a[i]], ids[b[j]]
+            if p != q:
+                push = _unit(np.float64(min(p, q)), np.float64(max(p, q))) * (1 if p < q else -1)
+                left[i] += push
+                back[j] -= push
+        at, total = (a, left) if own else (np.concatenate([a, b]), np.concatenate([left, right]))
+        total *= force
+        return pa.table({"scope_id": table["scope_id"].take(pa.array(at)), "node_id": pa.array(ids[at]), "fx": total[:, 0], "fy": total[:, 1]})
+
+    # The groups are small in bytes and long in work: a fixed number of partitions keeps them apart.
+    groups = rows.groupBy("scope_id").agg(F.first("parts").cast("long").alias("n")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("n")).first()["n"] or 0
+    both = both.repartition(min(max(1, 8 * int(groups)), TASKS), "scope_id", "tp", "sp")
+    met = both.groupBy("scope_id", "tp", "sp").applyInArrow(meet, "scope_id long, node_id long, fx double, fy double")
+    return met.groupBy("scope_id", "node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+
+
 def _direction(dx: Column, dy: Column, low: Column, high: Column) -> tuple[Column, Column, Column]:
     """dx, dy and their length; of two nodes in one place a direction from their ids, length 1."""
     length = F.sqrt(dx * dx + dy * dy)

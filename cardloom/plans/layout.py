@@ -14,6 +14,7 @@ from cardloom.operators import taxonomy as X
 from cardloom.plans.taxonomy import SQL as _TAXONOMY
 from cardloom.plans.taxonomy import _scope_edges
 from cardloom.sources import tables as D
+from cardloom.sources import versioned
 
 
 def _graph(spark, sf):
@@ -45,7 +46,7 @@ def charge_forces(spark, sf):
 
 def charge_error(spark, sf):
     """Whether the forces by cells, at an opening angle of 0.5, differ from those of all pairs by less than a fiftieth of these in the mean of squares, by scope."""
-    placed = L.seeded(_graph(spark, sf)[0]).select("scope_id", "node_id", "x", "y")
+    placed = versioned.cut(L.seeded(_graph(spark, sf)[0]).select("scope_id", "node_id", "x", "y"))
     exact, near = cells.charges(placed, 0), cells.charges(placed, 0.5).withColumnsRenamed({"fx": "gx", "fy": "gy"})
     off = F.pow(F.col("fx") - F.col("gx"), 2) + F.pow(F.col("fy") - F.col("gy"), 2)
     rows = exact.join(near, ["scope_id", "node_id"]).groupBy("scope_id").agg(F.count("*").alias("n"), F.sum(off).alias("off"), F.sum(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")).alias("all"))

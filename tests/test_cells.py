@@ -94,3 +94,17 @@ def test_edges_of_charges(spark):
     assert cells.charges(none).count() == 0
     with pytest.raises(ValueError, match="opening angle"):
         cells.charges(none, 1.5)
+
+
+def test_charges_meet_in_tiles_and_each_pair_of_parts_once(spark, monkeypatch):
+    monkeypatch.setattr(cells, "TILE", (5, 16))
+    monkeypatch.setattr(cells, "PART", 40)
+    ids, pos = placed(3, 130)
+    x, y = pos.T
+    left, right, same = cells.repulsion(x[:70], y[:70], x[70:], y[70:])
+    both, _, own = cells.repulsion(x, y, x, y, own=True)
+    assert same == [] and own == [(3, 4)]
+    a, b, c = cells.repulsion(x[:70], y[:70], x[:70], y[:70], own=True), cells.repulsion(x[70:], y[70:], x[70:], y[70:], own=True), both
+    assert np.concatenate([a[0] + left, b[0] + right]) == pytest.approx(c, abs=1e-9)
+    got = {r["node_id"]: (r["fx"], r["fy"]) for r in cells.charges(frame(spark, {1: (ids, pos)}), 0).collect()}
+    assert np.array([got[i] for i in ids]) == pytest.approx(pairwise(ids, pos, -180.0, 1.0), abs=1e-7)
