@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from cardloom.functions import text as T
 from cardloom.functions import vectors as V
 
-#: Vectors of a side that meet in one task.
-BLOCK = 2048
+#: Vectors of a side that meet in one task while a side has up to SIDE blocks; a vector travels once for each block of the other side,
+#: so beyond these blocks grow, until one holds NUMBERS components.
+BLOCK, SIDE, NUMBERS = 2048, 8, 1 << 21
 #: Up to this many distinct leads of titles are looked for inside a row.
 LEADS = 2000
 
@@ -33,6 +34,12 @@ def _in_order(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(place, f"id long, v {df.schema['v'].dataType.simpleString()}, block int")
 
 
+def _blocks(df: DataFrame) -> int:
+    """How many blocks df (id, v) is cut into."""
+    size = df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    return max(1, -(-size["n"] * max(size["width"] or 1, 1) // NUMBERS), min(-(-size["n"] // BLOCK), SIDE))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
@@ -46,8 +53,8 @@ def blocked_topk(left: DataFrame, right: DataFrame, k: int, earlier_only: bool =
     sides are the same vectors, a source sees smaller ids alone: blocks follow the ids, and of two blocks only the
     later one's sources meet the other, so that half of the pairs are never formed.
     """
-    n_left = -(-max(1, left.count()) // BLOCK)
-    n_right = n_left if right is left else -(-max(1, right.count()) // BLOCK)
+    n_left = _blocks(left)
+    n_right = n_left if right is left else _blocks(right)
     if earlier_only:
         if right is not left:
             raise ValueError("earlier_only compares vectors with themselves")
@@ -66,9 +73,10 @@ def blocked_topk(left: DataFrame, right: DataFrame, k: int, earlier_only: bool =
             ids = y["id2"].to_numpy()
             order = np.argsort(ids, kind="stable")
             p, q, ids, own = _matrix(x["v"]), _matrix(y["v2"])[order], ids[order], x["id"].to_numpy()
-            for lo in range(0, len(p), 256):
-                s = p[lo : lo + 256] @ q.T
-                src = own[lo : lo + 256]
+            step = max(1, min(256, NUMBERS // len(q)))
+            for lo in range(0, len(p), step):
+                s = p[lo : lo + step] @ q.T
+                src = own[lo : lo + step]
                 hidden = np.zeros(s.shape, bool) if least is None else s < least
                 if earlier_only:
                     hidden |= ids[None] >= src[:, None]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import random
 
 import numpy as np
@@ -313,6 +314,21 @@ def test_layout(spark):
         layout.sliced(placed, 1, 0, 0, 1)
 
 
+def test_blocks_grow_so_that_vectors_travel_a_bounded_number_of_times(spark, monkeypatch):
+    rows = [(i, [math.cos(i * i), math.sin(i * i)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    assert graph._blocks(df) == graph.SIDE  # of 43 blocks of 7
+    assert graph._blocks(df.limit(20)) == 3 and graph._blocks(df.limit(0)) == 1
+    monkeypatch.setattr(graph, "NUMBERS", 60)  # 30 vectors of two components
+    assert graph._blocks(df) == 10
+    got = {(r["src"], r["rank"]): r["dst"] for r in graph.blocked_topk(df, df, 2, earlier_only=True).collect()}
+    vectors = np.array([v for _, v in rows], np.float32).astype(float)
+    for i in range(300):
+        order = sorted(range(i), key=lambda j: (-float(vectors[i] @ vectors[j]), j))[:2]
+        assert [got.get((i, k + 1)) for k in range(2)] == [*order, None, None][:2]
+
+
 def test_simulation_by_tiles_and_squares(monkeypatch):
     """Charges come tile by tile and collisions from the squares around a node, to the last bit as if all pairs were looked at."""
     ids, forces = np.arange(40) * 3 + 1, layout.Forces(radius=90.0)
