@@ -179,3 +179,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "node_id long, title string, content string")
     assert fulltext.found(queries_of(spark), none).count() == 0
     assert fulltext.found(queries_of(spark).limit(0), frame_of(spark, cards_of(1, 5))).count() == 0
+
+
+def test_texts_are_analysed_in_portions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"title {i % 3}", None if i % 5 == 0 else "the words of it " * (i % 4)) for i in range(40)], "node_id long, title string, content string").coalesce(1)
+    rows = lambda: sorted(tuple(map(str, r)) for r in fulltext.postings(docs, "simple").collect())
+    whole = rows()
+    monkeypatch.setattr(fulltext, "WORDS", 7)
+    monkeypatch.setattr(fulltext, "KNOWN", 2)
+    assert rows() == whole and len(whole) > 5
