@@ -10,6 +10,7 @@ The lexemes depend on the configuration, which is kept with the texts; an index
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +67,12 @@ class TextIndex:
         return self._publish(blocks, docs.select(F.col("node_id").cast("long").alias("node_id"), "title", "alive", F.lit(segment).alias("segment"), F.lit(config).alias("config")), add)
 
     def _publish(self, blocks: DataFrame, texts: DataFrame, add: bool) -> TextIndex:
-        tables = {"postings": _sorted(blocks), "texts": texts.select("node_id", "title", "alive", "segment", "config")}
-        versioned.publish(self.root, tables, add, **{"parquet.block.size": str(GROUP_BYTES)})
+        blocks = blocks.persist(StorageLevel.DISK_ONLY)  # sorting by ranges looks at its rows twice
+        try:
+            tables = {"postings": _sorted(blocks), "texts": texts.select("node_id", "title", "alive", "segment", "config")}
+            versioned.publish(self.root, tables, add, **{"parquet.block.size": str(GROUP_BYTES)})
+        finally:
+            blocks.unpersist()
         return self
 
     def _postings(self) -> DataFrame:

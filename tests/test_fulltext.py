@@ -188,3 +188,41 @@ def test_texts_are_analysed_in_portions(spark, monkeypatch):
     monkeypatch.setattr(fulltext, "WORDS", 7)
     monkeypatch.setattr(fulltext, "KNOWN", 2)
     assert rows() == whole and len(whole) > 5
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_travel_once_for_all_queries(spark, monkeypatch):
+    """Twenty times the queries add their own rows to what is shuffled, not the postings of their words."""
+    monkeypatch.setattr(fulltext, "BLOCK", 8)
+    search = fulltext.searcher(spark.createDataFrame([(i, f"the text {i % 7}", "the text of it " * 50) for i in range(64)], "node_id long, title string, content string"), "simple")
+    queries = lambda n: spark.createDataFrame([(q, f"the text {q % 7}") for q in range(n)], "query_id long, query_text string")
+
+    def joined(n):
+        found = search.topk(queries(n), 2)
+        assert found.count() == 2 * n
+        plan = plan_of(found)
+        assert plan.count("FlatMapCoGroupsInArrow") == 1 and "query_text" not in "".join(x for x in plan.splitlines() if "Join" in x)
+        return sorted((r["query_id"] % 7, r["lexical_rank"], r["node_id"], r["score"]) for r in found.collect())
+
+    few, many = joined(7), joined(140)
+    assert sorted(few * 20) == many and [(r[1], r[2]) for r in few] == [(k, q + 7 * (k - 1)) for q in range(7) for k in (1, 2)]
+
+
+def test_excluding_queries_rank_the_blocks_once(spark):
+    found = fulltext.found(queries_of(spark), frame_of(spark, cards_of(4)))
+    plan = plan_of(found)
+    assert plan.count("InArrow") - plan.count("MapInArrow") - plan.count("FlatMapCoGroupsInArrow") == 0 and plan.count("FlatMapCoGroupsInArrow") == 1 and "NestedLoop" not in plan
+
+
+def test_large_blocks_have_several_rows_of_a_lexeme(spark, monkeypatch):
+    cards = cards_of(6)
+    whole = fulltext.postings(frame_of(spark, cards), "english").count()
+    monkeypatch.setattr(fulltext, "HELD", 20)
+    monkeypatch.setattr(fulltext, "WORDS", 20)
+    search = fulltext.searcher(frame_of(spark, cards))
+    assert search.blocks.count() > whole and rows_of(search.found(queries_of(spark))) == wanted(cards)
+    best = {(r["query_id"], r["node_id"]): round(r["score"], 9) for r in search.best(queries_of(spark), 200).collect()}
+    assert best == {k: score for k, (score, _) in wanted(cards).items()}
