@@ -115,6 +115,15 @@ def test_connected_titles(spark):
     assert got == {(1, 1): "Physics Notes", (1, 2): "Mechanics and Quantum Notes", (2, 1): "Quantum Mechanics", (2, 2): "Mechanics and Quantum Notes"}
 
 
+def test_lexical_search_passes_on_few_cards_a_query(spark):
+    own = cards(spark).filter("state = 'active'")
+    queries = spark.createDataFrame([(1, " quantum  MECHANICS "), (2, "mechanics-or -quantum"), (3, " "), (4, "QUANTUM quantum"), (5, None)], "query_id long, query_text string")
+    got = search.lexical_topk(queries, own, 2)
+    assert sorted((r["query_id"], r["lexical_rank"], r["node_id"], r["exact"], r["phrase"], r["all_tokens"], round(r["score"], 6)) for r in got.collect()) == [(1, 1, 1, 1, 1, 1, 2.0), (1, 2, 3, 0, 0, 1, 2.0), (4, 1, 1, 0, 0, 1, 1.0), (4, 2, 3, 0, 0, 1, 1.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(array_distinct" not in plan  # no row for each pair of a query and a card
+
+
 TREE = [(1, None, "Root", 0), (2, 1, "Branch 1", 1), (3, 1, "Branch 2", 1), (4, 2, "Leaf 1", 2), (5, 2, "Leaf 2", 2), (6, 3, "Leaf 3", 2)]
 
 
