@@ -139,14 +139,22 @@ def wikitext_clean(spark, sf):
 
 #: Every so many-th line of the written shards is cut off.
 CUT = 97
+#: Shards that are written at least, characters of one beyond that, and batches in which they are imported.
+SHARDS, SHARD_CHARS, SHARD_BATCHES = 5, 1 << 26, 3
+
+
+def _shards(docs) -> int:
+    """Into how many shards documents go, so that none grows with the table."""
+    return max(SHARDS, -(-(docs.agg(F.sum(F.length("clean_text"))).first()[0] or 0) // SHARD_CHARS))
 
 
 def shard_import(spark, sf):
     """The documents written as shards, some lines broken, and imported again: each page, and each bad line as a page without an id."""
     root = versioned.own_folder(spark, f"import-{uuid.uuid4().hex}")
+    number = _shards(_documents(spark, sf))
     docs = _documents(spark, sf).select(F.to_json(F.struct("page_id", "title", F.lit("u").alias("source_url"), "clean_text")).alias("value"), "page_id")
-    docs.select(F.when(F.col("page_id") % CUT == 5, F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value")).repartition(5).write.text(f"{root}/shards")
-    I.import_shards(spark, f"{root}/shards", f"{root}/corpus", f"{root}/stream", files=2, glob="part-*").awaitTermination()
+    docs.select(F.when(F.col("page_id") % CUT == 5, F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value")).repartition(number).write.text(f"{root}/shards")
+    I.import_shards(spark, f"{root}/shards", f"{root}/corpus", f"{root}/stream", files=-(-number // SHARD_BATCHES), glob="part-*").awaitTermination()
     good = I.imported(spark, f"{root}/corpus").select("page_id", T.sha256(F.col("clean_text")).alias("text_sha256"), F.lit(0).alias("bad"))
     return good.unionByName(I.quarantined(spark, f"{root}/corpus").select(F.lit(None).cast("long").alias("page_id"), T.sha256(F.col("line")).alias("text_sha256"), F.lit(1).alias("bad")))
 

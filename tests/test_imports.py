@@ -9,6 +9,7 @@ import pytest
 import zstandard
 
 from cardloom.operators import state
+from cardloom.plans import corpus
 from cardloom.sources import versioned
 from cardloom.streaming import imports
 
@@ -114,3 +115,15 @@ def test_readers_see_whole_versions(spark, tmp_path, monkeypatch):
     assert len(versioned.vacuum(spark, root)) == 5 and both() == (2, 4)  # a list, and two folders each of the first version and of the stopped one
     with pytest.raises(Exception, match="already exists"):
         versioned._Files(spark, root).create(f"{root}/_versions/{1:020d}.json", "{}")
+
+
+def test_shards_of_a_query_grow_in_number_not_in_size(spark, monkeypatch, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    before = sorted(map(str, corpus.shard_import(spark, sf).collect()))
+    folders: list[str] = []
+    own = versioned.own_folder
+    monkeypatch.setattr(versioned, "own_folder", lambda spark, name: folders.append(own(spark, name)) or folders[-1])
+    monkeypatch.setattr(corpus, "SHARD_CHARS", 50_000)
+    assert sorted(map(str, corpus.shard_import(spark, sf).collect())) == before
+    text = spark.read.text(f"{folders[0]}/shards").selectExpr("length(value) n", "input_file_name() f").groupBy("f").sum("n").collect()
+    assert len(text) > 5 and max(r["sum(n)"] for r in text) < 200_000
