@@ -16,12 +16,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions import layout as L
+from cardloom.functions.series import inverse_distances
+from cardloom.sources.versioned import cut
 
 TICKS = 160
+#: Nodes of a scope whose charges are added up pair by pair, at most; those of more nodes meet by groups.
+PLAIN = 1024
 #: Nodes by nodes whose pairs are formed at a time: a tile stays in a core's cache.
 TILE = (128, 1024)
 #: Partitions that scopes are spread over, at most.
 TASKS = 2000
+#: Squares of collisions end this far out, so that they have whole numbers; pairs whose distances are held at a time.
+FAR, PAIRS = 1 << 30, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -116,46 +122,93 @@ def _pulled(ids: np.ndarray, edges: list[tuple[int, int, float]], pos: np.ndarra
     return np.array([vx, vy]).T.copy()
 
 
+def _charges(ids: np.ndarray, pos: np.ndarray, force: float) -> np.ndarray:
+    """What all nodes do to each."""
+    if len(ids) <= PLAIN:
+        return _charged(ids, pos, force)
+    x, y = pos.T
+    met = -force * inverse_distances(x + 1j * y)
+    out = np.stack([met.real, -met.imag], axis=1)
+    order = np.lexsort((np.arange(len(ids)), y, x))
+    same = np.append((np.diff(x[order]) == 0) & (np.diff(y[order]) == 0), False)
+    for at in np.flatnonzero(same & ~np.roll(same, 1)):  # nodes in one place
+        group = order[at : at + 1 + np.argmin(same[at:])].tolist()
+        for k, i in enumerate(group):
+            for j in group[k + 1 :]:
+                push = _unit(i, j, ids) * force
+                out[i] += push
+                out[j] -= push
+    return out
+
+
+def _close(x: np.ndarray, y: np.ndarray, key: np.ndarray, order: np.ndarray, square: float) -> np.ndarray:
+    """The lower nodes of the pairs nearer than the root of `square`; nodes come in the order of their squares' keys."""
+    key, found = key[order], [np.zeros(0, np.int64)]
+    after = np.arange(1, len(key) + 1)
+    for lo, hi in ((after, np.searchsorted(key, key + 1, "right")), (np.searchsorted(key, key + 4 * FAR - 1), np.searchsorted(key, key + 4 * FAR + 1, "right"))):
+        ends = np.cumsum(hi - lo)
+        for rows in np.split(np.arange(len(key)), np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS))):
+            n = (hi - lo)[rows]
+            i = np.repeat(rows, n)
+            j = np.arange(len(i)) + np.repeat(lo[rows] - np.cumsum(n) + n, n)
+            i, j = order[i], order[j]
+            found.append(np.minimum(i, j)[np.square(x[i] - x[j]) + np.square(y[i] - y[j]) <= square])
+    return np.concatenate(found)
+
+
 def _apart(ids: np.ndarray, ahead: np.ndarray, alpha: float, forces: Forces) -> np.ndarray:
-    """Places after the collisions: each node in order meets the later ones in order, as they then stand; squares keep who is near."""
+    """Places after the collisions: each node in order meets the later ones in order, as they then stand.
+
+    Squares keep who is near, and only nodes that are, or come to be, near a later one are looked at.
+    """
     least = 2 * forces.radius
     if not least:
         return ahead
-    x, y = ahead.T.tolist()
     side, square = least * (1 + 1e-9), least * least
-    at = [(a // side, b // side) for a, b in zip(x, y, strict=True)]
-    held: dict[tuple[float, float], set[int]] = {}
-    for i, c in enumerate(at):
-        held.setdefault(c, set()).add(i)
-
-    def moved(i: int, dx: float, dy: float) -> None:
+    a, b = np.clip(ahead // side, -FAR, FAR).astype(np.int64).T
+    keys = a * (4 * FAR) + b
+    order = np.argsort(keys, kind="stable")
+    due = bytearray(len(keys))
+    for i in _close(*ahead.T, keys, order, square * (1 + 1e-9)).tolist():
+        due[i] = 1
+    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1)).tolist()
+    nodes, (x, y), at = order.tolist(), ahead.T.tolist(), keys.tolist()
+    held = {at[nodes[lo]]: nodes[lo:hi] for lo, hi in zip(first, [*first[1:], len(nodes)], strict=True)}
+    around = [p * 4 * FAR + q for p in (-1, 0, 1) for q in (-1, 0, 1)]
+
+    def moved(i: int, dx: float, dy: float) -> bool:
         x[i] += dx
         y[i] += dy
-        c = (x[i] // side, y[i] // side)
-        if c != at[i]:
-            held[at[i]].discard(i)
-            held.setdefault(c, set()).add(i)
-            at[i] = c
-
-    for i in range(len(x) - 1):
-        last = i
-        while True:
-            (a, b), j = at[i], len(x)
-            for c in (a - 1, a, a + 1):
-                for k in (b - 1, b, b + 1):
-                    for m in held.get((c, k), ()):
-                        if last < m < j and (x[m] - x[i]) * (x[m] - x[i]) + (y[m] - y[i]) * (y[m] - y[i]) < square:
-                            j = m
-            if j == len(x):
-                break
+        c = int(min(max(x[i] // side, -FAR), FAR)) * 4 * FAR + int(min(max(y[i] // side, -FAR), FAR))
+        if c == at[i]:
+            return False
+        held[at[i]].remove(i)
+        held.setdefault(c, []).append(i)
+        at[i] = c
+        return True
+
+    def later(i: int, last: int) -> list[int]:
+        return sorted([m for k in around for m in held.get(at[i] + k, ()) if m > last], reverse=True)
+
+    i = due.find(1)
+    while i >= 0:
+        left = later(i, i)
+        while left:
+            j = left.pop()
             dx, dy = x[j] - x[i], y[j] - y[i]
+            if dx * dx + dy * dy >= square:
+                continue
             length = abs(complex(dx, dy))
             if length == 0:
                 (dx, dy), length = _unit(i, j, ids).tolist(), 1.0
             f = (least - length) / length * forces.collide * alpha
-            moved(i, -dx * f / 2, -dy * f / 2)
+            if moved(i, -dx * f / 2, -dy * f / 2):
+                left = later(i, j)
             moved(j, dx * f / 2, dy * f / 2)
-            last = j
+            for m in later(j, i):
+                if m != j and (x[m] - x[j]) * (x[m] - x[j]) + (y[m] - y[j]) * (y[m] - y[j]) < square:
+                    due[min(m, j)] = 1
+        i = due.find(1, i + 1)
     return np.array([x, y]).T.copy()
 
 
@@ -163,8 +216,8 @@ def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int |
     """Places of nodes (ids ascending) after the simulation; edges are index pairs with a strength.
 
     Links and collisions look at where nodes are about to be, and each pair moves before the next is looked at; charge, center and
-    boundary look at places.  Memory is linear in the nodes; charges, which are exact, take the square of the nodes each tick, all
-    else is linear.
+    boundary look at places.  Memory is linear in the nodes, and so is a tick's work, but for the log of the nodes in their charges; these are
+    as exact as a sum over all pairs.
     """
     n = len(ids)
     index = np.arange(n)
@@ -177,7 +230,7 @@ def simulate(ids: np.ndarray, edges: list[tuple[int, int, float]], ticks: int |
     for _ in range(forces.ticks if ticks is None else ticks):
         alpha -= alpha * decay
         vel = _pulled(ids, edges, pos, vel, alpha, forces)
-        vel += _charged(ids, pos, forces.charge * alpha)
+        vel += _charges(ids, pos, forces.charge * alpha)
         vel = _apart(ids, pos + vel, alpha, forces) - pos
         vel -= pos * (forces.center * alpha)
         if forces.boundary and forces.boundary_radius:
@@ -209,9 +262,10 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS, forces:
         pos = simulate(ids, canonical_edges(ids, right[["node_a_id", "node_b_id", "strength"]].itertuples(index=False)), ticks, forces)
         return pd.DataFrame({"scope_id": key[0], "node_id": ids, "x": pos[:, 0], "y": pos[:, 1]}) if len(ids) else pd.DataFrame({"scope_id": [], "node_id": [], "x": [], "y": []})
 
-    # Scopes are small in bytes and long in work: a fixed number of partitions keeps them from being put together in a few tasks.
-    tasks = min(max(1, 8 * nodes.select("scope_id").distinct().count()), TASKS)
-    own, links = nodes.select("scope_id", "node_id").repartition(tasks, "scope_id"), links.repartition(tasks, "s")
+    # Scopes are small in bytes and long in work: many more partitions than scopes keep two from falling into one task.
+    own = cut(nodes.select("scope_id", "node_id"))
+    tasks = min(max(1, 64 * own.select("scope_id").distinct().count()), TASKS)
+    own, links = own.repartition(tasks, "scope_id"), links.repartition(tasks, "s")
     return own.groupBy("scope_id").cogroup(links.groupBy("s")).applyInPandas(place, "scope_id long, node_id long, x double, y double")
 
 

@@ -17,8 +17,9 @@ from cardloom.sources import tables as D
 from cardloom.sources import versioned
 
 
-def _graph(spark, sf):
+def _graph(spark, sf, kept=lambda rows: rows):
     scopes, projection = _scope_edges(spark, sf)
+    projection = kept(projection)
     return X.scope_graph(scopes, projection), projection.withColumn("strength", F.col("strength") / 100)
 
 
@@ -35,7 +36,7 @@ def layout_bounds(spark, sf):
 
 
 def force_layout(spark, sf):
-    return L.force_layout(*_graph(spark, sf))
+    return L.force_layout(*_graph(spark, sf, versioned.cut))
 
 
 def charge_forces(spark, sf):

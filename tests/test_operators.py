@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from cardloom.functions import layout as FL
+from cardloom.functions import series
 from cardloom.functions import text as T
 from cardloom.functions import vectors as V
 from cardloom.operators import corpus, graph, layout, search, taxonomy, usage, workflow
@@ -365,6 +366,50 @@ def test_simulation_by_tiles_and_squares(monkeypatch):
         assert force[i] == pytest.approx((d * (-126.0 / np.maximum((d * d).sum(1), 1))[:, None]).sum(0), abs=1e-9)
 
 
+def test_charges_of_many_nodes_meet_by_groups(monkeypatch):
+    """Nodes in bunches, on a line, far out, nearer than 1 and in one place: charges as exact as sums over all pairs, of which few are formed."""
+    rng = np.random.default_rng(3)
+    pos = np.concatenate([rng.normal(0, 120, (2500, 2)), rng.normal(9000, 2000, (2500, 2)), np.stack([np.arange(996.0), np.zeros(996)], axis=1), [[1e7, -3.0]] * 3, [[2e7, 1e-3]]])
+    pos[40], pos[41] = pos[3], pos[4] + [0.4, 0.3]
+    n, pairs = len(pos), []
+    ids, near = np.arange(n) * 5 + 2, series._near
+    monkeypatch.setattr(series, "_near", lambda x, y, weight, a, b: pairs.append(len(a) * x.shape[1] ** 2) or near(x, y, weight, a, b))
+    got, want = layout._charges(ids, pos, -180.0), layout._charged(ids, pos, -180.0)
+    z = pos[:, 0] + 1j * pos[:, 1]
+    share = 180 * sum((1 / np.maximum(np.abs(z[:, None] - z[k : k + 500]), 1)).sum(1) for k in range(0, n, 500))
+    assert (np.abs(got - want).max(1) <= 1e-13 * share).all()
+    assert sum(pairs) < n * n / 8
+    for n in (1, 2, 3, series.LEAF, series.LEAF + 1, 4 * series.LEAF + 3, 1024):
+        monkeypatch.setattr(layout, "PLAIN", n)
+        want = layout._charges(ids[:n], pos[-n:], 3.0)
+        monkeypatch.setattr(layout, "PLAIN", 0)
+        assert layout._charges(ids[:n], pos[-n:], 3.0) == pytest.approx(want, abs=1e-9)
+
+
+def test_collisions_look_only_at_nodes_that_come_near(monkeypatch):
+    """A row of nodes that push each other on: those that nobody was near at first are looked at too; the far ones are not."""
+    ids, forces = np.arange(400), layout.Forces(radius=16.0)
+    ahead = np.stack([np.arange(400) * 33.0, np.zeros(400)], axis=1)
+    ahead[:3, 0] = [20.0, 25.0, 60.0]
+    ahead[200:] += 1e6
+    ahead[300] = ahead[299]
+    want = ahead.copy()
+    for i in range(399):
+        for j in range(i + 1, 400):
+            d = want[j] - want[i]
+            length = float(np.hypot(*d))
+            if length < 32.0:
+                d, length = (d, length) if length else (layout._unit(i, j, ids), 1.0)
+                f = d * ((32.0 - length) / length * forces.collide * 1.9) / 2
+                want[i] -= f
+                want[j] += f
+    moved = (want != ahead).any(1)
+    assert moved[:8].all() and not moved[100:299].any()
+    assert (layout._apart(ids, ahead, 1.9, forces) == want).all()
+    monkeypatch.setattr(layout, "PAIRS", 3)
+    assert (layout._apart(ids, ahead, 1.9, forces) == want).all()
+
+
 def test_branch_layout_never_overlaps(spark):
     kids = spark.createDataFrame([(1, i, 10 * i * i) for i in range(2, 20)], "parent_id long, id long, descendants long")
     p = layout.branch_layout(kids).toPandas()
